@@ -146,3 +146,42 @@ def along(
     for i, (name, spec) in enumerate(running.items()):
         made[name] = fold[spec[0]][2](F.col(f"_b{i}"), F.col(f"_q{i}"))
     return out.select(*[F.col(x) for x in df.columns if x not in made], *[e.alias(n) for n, e in made.items()])
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], order: str, payload: dict[str, str], span: int = 4096) -> DataFrame:
+    """Each left row with the newest right row at or before it (right first on ties).
+
+    Both sides become one ordered stream, so there is no inequality join. ``payload`` maps new
+    column names to right columns; they stay null where nothing arrived before.
+    """
+    packed = F.struct(*[F.col(v).alias(k) for k, v in payload.items()])
+    a = left.withColumn("_right", F.lit(None).cast(right.select(packed.alias("p")).schema[0].dataType)).withColumn("_left", F.lit(True))
+    b = right.select(*keys, order, packed.alias("_right"), F.lit(False).alias("_left"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    both = both.withColumn("_at", F.col(order) * 2 + F.col("_left").cast("int"))
+    seen = along(both, keys, "_at", running={"_seen": ("last", F.col("_right"))}, span=2 * span)
+    return seen.where("_left").select(*left.columns, *[F.col(f"_seen.{k}").alias(k) for k in payload])
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows per group with their rank ``rn``; a hot group is cut down in slices first."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(x) for x in df.columns]), F.lit(salts)))
+    inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    first = salted.withColumn("_rn", F.row_number().over(inner)).where(F.col("_rn") <= n).drop("_rn", "_salt")
+    return first.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
+
+
+def rolling(df: DataFrame, keys: list[str], order: str, n: int, exprs: dict[str, Column], span: int = 4096) -> DataFrame:
+    """Aggregates over the last ``n`` rows including the current one, for a gap-free ``order``.
+
+    Each span of the walk is its own window partition and also receives a copy of the ``n - 1``
+    rows before it.
+    """
+    o = F.col(order)
+    own = F.floor(o / span)
+    tail = F.pmod(o, F.lit(span)) > span - n
+    copies = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
+    laid = df.withColumn("_part", F.explode(copies))
+    w = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(1 - n, 0)
+    out = laid.select("*", *[e.over(w).alias(name) for name, e in exprs.items()])
+    return out.where(F.col("_part") == own).drop("_part")

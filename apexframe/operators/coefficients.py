@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexframe import dims
-from apexframe.functions import rows
+from apexframe.functions import rows, stats
 
 c = F.col
 GROUP = ["track_id", "knob_name", "calibration_regime", "sector_number"]
@@ -142,14 +142,11 @@ def nearest_baseline(requests: DataFrame, baselines: DataFrame) -> DataFrame:
 
 def recent_times(snap: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` newest clean times per (track, car, compound, sector), newest first.
-
-    Newest-n as an aggregate: per-partition top lists shrink a hot slot before the shuffle.
     """
     keys = ["track_id", "car_index", "tyre_compound_visual", "sector_number"]
-    salted = snap.where(rows.history_input()).withColumn("_salt", F.pmod(F.xxhash64("session_uid", "lap_number"), F.lit(64)))
     order = [F.desc("created_at"), F.desc("session_uid"), F.desc("lap_number")]
-    first = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(c("_rn") <= n)
-    top = first.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(c("rn") <= n)
+    slim = snap.where(rows.history_input()).select(*keys, "session_uid", "lap_number", "created_at", "sector_time_ms")
+    top = stats.top_per_group(slim, keys, order, n)
     times = F.transform(F.array_sort(F.collect_list(F.struct("rn", "sector_time_ms"))), lambda e: e["sector_time_ms"])
     return top.groupBy(*keys).agg(times.alias("recent_ms"))
 

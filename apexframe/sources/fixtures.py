@@ -170,27 +170,49 @@ SELECT session_uid, event_id, ts, seq, value, event_type, {div('seq - 1', 6)} +
 FROM tick_seq"""
 
 # Ticks with twenty cars each: event ids are unique, so (session_uid, tick, car) is a key.
-VIEWS["cars"] = f"""
-SELECT {div('event_id', 4000)} AS session_uid, {div('event_id', 20)} % 200 AS tick, event_id % 20 AS car, ts,
+VIEWS["car_base"] = f"""
+SELECT {div('event_id', 4000)} AS session_uid, {div('event_id', 20)} % 200 AS tick, event_id % 20 AS car, event_id, event_type, value,
   row_number() OVER (PARTITION BY {div('event_id', 20)} ORDER BY value, event_id) AS pos,
-  ({div('event_id', 20)} % 200 - (event_id % 20) % 3) AS progress, value,
-  80000 + cast(floor(100 * value) as bigint) % 9000 AS last_lap_ms, cast(floor(10 * value) as bigint) % 330 AS speed,
-  cast(floor(100 * value) as bigint) % 3000 - 200 AS delta_front_ms,
-  cast(floor(100 * value) as bigint) % 5000 AS lap_distance,
-  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 4 WHEN event_id % 97 = 0 THEN 1 ELSE 2 END AS result_status,
-  CASE WHEN event_id % 20 = 0 THEN 0 ELSE 1 END AS ai
+  CASE WHEN {div('event_id', 20)} % 200 < (event_id % 20) % 3 THEN 0 ELSE {div('event_id', 20)} % 200 - (event_id % 20) % 3 END AS progress,
+  CASE {div('event_id', 4000)} % 3 WHEN 0 THEN 10 WHEN 1 THEN 1 ELSE 5 END AS session_type
 FROM events"""
+VIEWS["cars"] = f"""
+SELECT *, CASE WHEN sector >= 1 THEN 27000 + (car * 37 + lap * 91 + session_uid) % 900 ELSE 0 END AS s1_ms,
+  CASE WHEN sector = 2 THEN 29000 + (car * 53 + lap * 67) % 900 ELSE 0 END AS s2_ms,
+  CASE WHEN lap > 1 THEN 84000 + (car * 71 + lap * 113 + session_uid) % 3000 ELSE 0 END AS last_lap_ms,
+  CASE WHEN lap % 4 = 0 AND progress % 10 = 9 THEN 1 WHEN lap % 4 = 1 AND lap > 1 AND progress % 10 = 0 THEN 1 ELSE 0 END AS pit_status,
+  {div('lap - 1', 4)} AS pits, CASE WHEN tick % 37 >= 5 AND tick % 37 <= 7 THEN 1 ELSE 0 END AS safety_car,
+  CASE WHEN tick % 90 >= 60 THEN 3 ELSE 0 END AS weather, cast(floor(10 * value) as bigint) % 330 AS speed,
+  cast(floor(100 * value) as bigint) % 3000 - 200 AS delta_front_ms, cast(floor(100 * value) as bigint) % 5000 AS lap_distance,
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 4 WHEN event_id % 97 = 0 THEN 1 ELSE 2 END AS result_status,
+  CASE WHEN car = 0 THEN 0 ELSE 1 END AS ai, concat('Driver ', cast(car as varchar(4))) AS name,
+  16 + (car + lap) % 3 AS tyre, cast(100 - lap as double) AS fuel, 20 - lap AS laps_left, tick * 1500 AS at_ms,
+  CASE WHEN cast(floor(100 * value) as bigint) % 5 = 0 THEN 3 ELSE 0 END AS zone_flag, car / 20e0 AS zone_start
+FROM (SELECT *, {div('progress', 10)} + 1 AS lap, CASE WHEN progress % 10 < 4 THEN 0 WHEN progress % 10 < 7 THEN 1 ELSE 2 END AS sector FROM car_base) b"""
+
+# Lap packets of one car per session with dropped packets, so sectors are sometimes skipped.
+VIEWS["lap_feed"] = """
+SELECT session_uid, seq, lap, sector, CASE WHEN sector >= 1 AND seq % 13 <> 0 THEN 27000 + (lap * 91 + session_uid) % 900 ELSE 0 END AS s1_ms,
+  CASE WHEN sector = 2 AND seq % 17 <> 0 THEN 29000 + (lap * 67) % 900 ELSE 0 END AS s2_ms,
+  CASE WHEN lap > 1 AND lap % 9 <> 0 THEN 84000 + (lap * 113 + session_uid) % 3000 ELSE 0 END AS last_lap_ms,
+  seq % 6 * 15000 AS lap_time_ms, pit_status, speed FROM ticks WHERE seq % 11 NOT IN (3, 4, 5) AND seq % 19 NOT IN (2, 3)"""
+# One history packet at the start of every third lap, covering the laps before it.
+VIEWS["history"] = """
+SELECT session_uid, seq, lap - 1 AS num_laps FROM ticks WHERE (seq - 1) % 18 = 12"""
 
 # Motion frames of one car per session, 20 ms apart, for the driving-event detectors.
 VIEWS["motion"] = f"""
 SELECT session_uid, seq, seq * 20 AS t_ms, lap, sector, seq AS frame_identifier,
   cast(seq * 3 % 5000 as double) AS lap_distance, value - floor(value) AS brake,
   (value * 7) - floor(value * 7) AS throttle, cast(5 + (seq * 13) % 60 as double) AS speed,
+  cast(4 + (seq * 3) % 40 as double) AS forward_ms,
   ((cast(floor(value * 100) as bigint) + seq) % 41 - 20) / 100e0 AS yaw,
   (cast(floor(value * 100) as bigint) % 30 + 75) / 100e0 AS ratio_rl,
   (cast(floor(value * 100) as bigint) % 37 + 78) / 100e0 AS ratio_rr,
   (cast(floor(value * 100) as bigint) % 23 + 79) / 100e0 AS ratio_fl,
   (cast(floor(value * 100) as bigint) % 29 + 77) / 100e0 AS ratio_fr,
+  (cast(floor(value * 100) as bigint) % 31) / 100e0 AS slip_rl, (cast(floor(value * 100) as bigint) % 33) / 100e0 AS slip_rr,
+  (cast(floor(value * 100) as bigint) % 27) / 100e0 AS slip_fl, (cast(floor(value * 100) as bigint) % 21) / 100e0 AS slip_fr,
   (cast(floor(value * 100) as bigint) % 17) / 100e0 AS slip_front, (cast(floor(value * 100) as bigint) % 19) / 100e0 AS slip_rear
 FROM ticks"""
 
