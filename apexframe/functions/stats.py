@@ -71,6 +71,20 @@ def weighted_stddev_pop(value: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), s2 / s0 - (s1 / s0) * (s1 / s0)))
 
 
+FOLDS = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "count": (F.count, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "min": (F.min, lambda a, b: F.least(a, b)),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
+    "last": (lambda x: F.last(x, ignorenulls=True), lambda a, b: F.coalesce(b, a)),
+    "first": (lambda x: F.first(x, ignorenulls=True), lambda a, b: F.coalesce(a, b)),
+}
+
+
+def _expr(e: str | Column) -> Column:
+    return F.expr(e) if isinstance(e, str) else e
+
+
 def along(
     df: DataFrame,
     keys: list[str],
@@ -79,75 +93,70 @@ def along(
     running: dict[str, tuple] | None = None,
     span: int = 4096,
 ) -> DataFrame:
-    """Ordered look-backs that survive a key holding a third of all rows.
-
-    The walk over ``keys`` ordered by the integer column ``order`` is cut into spans of ``span``
-    order units. Each span is its own window partition; only one summary row per span is walked
-    over the whole key. ``lags`` maps a new column to the expression to take from the previous
-    row. ``running`` maps a new column to ``(kind, expression[, "prior"])`` with kind one of sum,
-    min, max, count, last (last non-null) and first (first non-null); "prior" leaves the current
-    row out.
+    """Ordered look-backs per key: values of the previous row and running aggregates.
+
+    ``lags`` maps a new column to the expression to take from the previous row. ``running`` maps a
+    new column to ``(kind, expression[, "prior"])`` with kind one of sum, min, max, count, last
+    (last non-null) and first (first non-null); "prior" leaves the current row out.
+
+    With a ``span`` the walk survives a key holding a third of all rows: it is cut into spans of
+    ``span`` units of the integer column ``order``, each span is its own window partition, and only
+    one summary row per span is walked over the whole key. ``span=0`` uses one window per key, for
+    walks whose length has a fixed bound.
     """
     lags, running = lags or {}, running or {}
-    as_col = lambda e: F.expr(e) if isinstance(e, str) else e
-    base = df.withColumn("_span", F.floor(F.col(order) / span))
+    if not span:
+        return _along_bounded(df, keys, order, lags, running)
+    base = df.withColumn("__span", F.floor(F.col(order) / span))
     for i, expr in enumerate(lags.values()):
-        base = base.withColumn(f"_l{i}", as_col(expr))
+        base = base.withColumn(f"__l{i}", _expr(expr))
     for i, spec in enumerate(running.values()):
-        base = base.withColumn(f"_r{i}", as_col(spec[1]))
-    part = [*keys, "_span"]
+        base = base.withColumn(f"__r{i}", _expr(spec[1]))
+    part = [*keys, "__span"]
     w = Window.partitionBy(*part).orderBy(order)
-    fold = {
-        "sum": (F.sum, F.sum, lambda a, b: F.coalesce(a + b, a, b)),
-        "count": (F.count, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
-        "min": (F.min, F.min, lambda a, b: F.least(a, b)),
-        "max": (F.max, F.max, lambda a, b: F.greatest(a, b)),
-        "last": (
-            lambda x: F.last(x, ignorenulls=True),
-            lambda x: F.last(x, ignorenulls=True),
-            lambda a, b: F.coalesce(b, a),
-        ),
-        "first": (
-            lambda x: F.first(x, ignorenulls=True),
-            lambda x: F.first(x, ignorenulls=True),
-            lambda a, b: F.coalesce(a, b),
-        ),
-    }
-    within = base.withColumn("_n", F.row_number().over(w))
-    for i in range(len(lags)):
-        within = within.withColumn(f"_p{i}", F.lag(f"_l{i}").over(w))
+    seen = [F.row_number().over(w).alias("__n")]
+    seen += [F.lag(f"__l{i}").over(w).alias(f"__p{i}") for i in range(len(lags))]
     for i, spec in enumerate(running.values()):
-        end = -1 if "prior" in spec[2:] else 0
-        frame = w.rowsBetween(Window.unboundedPreceding, end)
-        within = within.withColumn(f"_q{i}", fold[spec[0]][0](F.col(f"_r{i}")).over(frame))
+        frame = w.rowsBetween(Window.unboundedPreceding, -1 if "prior" in spec[2:] else 0)
+        seen.append(FOLDS[spec[0]][0](F.col(f"__r{i}")).over(frame).alias(f"__q{i}"))
+    within = base.select("*", *seen)
 
     o = F.col(order)
-    ends = [F.max_by(f"_l{i}", o).alias(f"_e{i}") for i in range(len(lags))]
+    ends = [F.max_by(f"__l{i}", o).alias(f"__e{i}") for i in range(len(lags))]
     for i, spec in enumerate(running.values()):
-        kind, r = spec[0], F.col(f"_r{i}")
+        kind, r = spec[0], F.col(f"__r{i}")
         if kind == "last":
             total = F.max_by(r, F.when(r.isNotNull(), o))
         elif kind == "first":
             total = F.min_by(r, F.when(r.isNotNull(), o))
         else:
-            total = fold[kind][0](r)
-        ends.append(total.alias(f"_t{i}"))
+            total = FOLDS[kind][0](r)
+        ends.append(total.alias(f"__t{i}"))
     tails = base.groupBy(*part).agg(*ends)
-    wt = Window.partitionBy(*keys).orderBy("_span")
+    wt = Window.partitionBy(*keys).orderBy("__span")
     before = wt.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.lag(f"_e{i}").over(wt).alias(f"_c{i}") for i in range(len(lags))]
-    carried += [fold[s[0]][1](F.col(f"_t{i}")).over(before).alias(f"_b{i}") for i, s in enumerate(running.values())]
-    carry = tails.select(*part, *carried)
-
-    out = within.join(carry, part, "left")
+    carried = [F.lag(f"__e{i}").over(wt).alias(f"__c{i}") for i in range(len(lags))]
+    for i, spec in enumerate(running.values()):
+        up = F.sum if spec[0] == "count" else FOLDS[spec[0]][0]
+        carried.append(up(F.col(f"__t{i}")).over(before).alias(f"__b{i}"))
+    out = within.join(tails.select(*part, *carried), part, "left")
     made = {}
     for i, name in enumerate(lags):
-        made[name] = F.when(F.col("_n") == 1, F.col(f"_c{i}")).otherwise(F.col(f"_p{i}"))
+        made[name] = F.when(F.col("__n") == 1, F.col(f"__c{i}")).otherwise(F.col(f"__p{i}"))
     for i, (name, spec) in enumerate(running.items()):
-        made[name] = fold[spec[0]][2](F.col(f"_b{i}"), F.col(f"_q{i}"))
+        made[name] = FOLDS[spec[0]][1](F.col(f"__b{i}"), F.col(f"__q{i}"))
     return out.select(*[F.col(x) for x in df.columns if x not in made], *[e.alias(n) for n, e in made.items()])
 
 
+def _along_bounded(df: DataFrame, keys: list[str], order: str, lags: dict, running: dict) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(order)
+    made = {name: F.lag(_expr(e)).over(w) for name, e in lags.items()}
+    for name, spec in running.items():
+        frame = w.rowsBetween(Window.unboundedPreceding, -1 if "prior" in spec[2:] else 0)
+        made[name] = FOLDS[spec[0]][0](_expr(spec[1])).over(frame)
+    return df.select(*[F.col(x) for x in df.columns if x not in made], *[e.alias(n) for n, e in made.items()])
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], order: str, payload: dict[str, str], span: int = 4096) -> DataFrame:
     """Each left row with the newest right row at or before it (right first on ties).
 

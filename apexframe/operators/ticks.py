@@ -1,4 +1,9 @@
-"""Tick analytics: gaps, rankings, best laps, triggers, debounce, throttle, zones."""
+"""Tick analytics: gaps, rankings, best laps, triggers, debounce, throttle, zones.
+
+State ticks come once per second (see ``downsample``) and the session clock is a 16-bit count of
+seconds, so one car's walk through a session has at most 65,536 rows. These walks therefore use one
+window per car or session; pass a ``span`` to cut them up anyway.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +15,11 @@ from apexframe.functions import stats
 c = F.col
 TICK = ["session_uid", "tick"]
 CAR = ["session_uid", "car"]
-# A tick has at most 22 cars, so windows inside one tick are short by construction.
-BY_POS = Window.partitionBy(*TICK).orderBy("pos")
+
+
+def by_pos():
+    """A tick has at most 22 cars, so windows inside one tick are short by construction."""
+    return Window.partitionBy(*TICK).orderBy("pos")
 
 
 def racing() -> Column:
@@ -21,13 +29,13 @@ def racing() -> Column:
 def gap_to_leader(cars: DataFrame) -> DataFrame:
     """Running sum of the gaps ahead in position order; one second per place if the feed has none."""
     front = F.greatest(c("delta_front_ms"), F.lit(0))
-    run = F.sum(front).over(BY_POS.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(front).over(by_pos().rowsBetween(Window.unboundedPreceding, 0))
     any_gap = F.max(front).over(Window.partitionBy(*TICK)) > 0
     out = cars.where(racing()).withColumn("_run", run).withColumn("_any", any_gap)
     return out.withColumn("gap_ms", F.when(c("_any"), c("_run")).otherwise((c("pos") - 1) * 1000)).drop("_run", "_any")
 
 
-def session_bests(cars: DataFrame, span: int = 4096) -> DataFrame:
+def session_bests(cars: DataFrame, span: int = 0) -> DataFrame:
     lap = F.when(c("last_lap_ms") > 0, c("last_lap_ms"))
     return stats.along(cars, CAR, "tick", running={"best_ms": ("min", lap)}, span=span)
 
@@ -49,7 +57,7 @@ def timesheet_gap(cars: DataFrame) -> DataFrame:
     return timed.withColumn("place", place).withColumn("gap_ms", gap)
 
 
-def completed_laps(cars: DataFrame, span: int = 4096) -> DataFrame:
+def completed_laps(cars: DataFrame, span: int = 0) -> DataFrame:
     """Rollover ticks whose lap splits into three positive sectors."""
     seen = stats.along(cars, CAR, "tick", lags={"p1": "s1_ms", "p2": "s2_ms", "plap": "lap"}, span=span)
     ok = (c("last_lap_ms") > 0) & (c("lap") > c("plap")) & (c("p1") > 0) & (c("p2") > 0)
@@ -89,7 +97,7 @@ def last_player_laps(cars: DataFrame, n: int = 5) -> DataFrame:
 
 def sector_history(cars: DataFrame, n: int = 6) -> DataFrame:
     """Each car's newest completed sectors (own times)."""
-    seen = stats.along(cars, CAR, "tick", lags={"p1": "s1_ms", "p2": "s2_ms", "psec": "sector", "plap": "lap"})
+    seen = stats.along(cars, CAR, "tick", lags={"p1": "s1_ms", "p2": "s2_ms", "psec": "sector", "plap": "lap"}, span=0)
     ms = (
         F.when((c("psec") == 0) & (c("sector") == 1), c("s1_ms"))
         .when((c("psec") == 1) & (c("sector") == 2), c("s2_ms"))
@@ -106,8 +114,8 @@ def neighbour_deltas(cars: DataFrame) -> DataFrame:
     last = cars.groupBy("session_uid").agg(F.max("tick").alias("tick"))
     now = cars.join(last, TICK).where(c("result_status") < 4)
     near = now.select(
-        "session_uid", "car", "ai", "name", F.lag("car").over(BY_POS).alias("ahead"), F.lead("car").over(BY_POS).alias("behind"),
-        F.lag("name").over(BY_POS).alias("n_ahead"), F.lead("name").over(BY_POS).alias("n_behind"),
+        "session_uid", "car", "ai", "name", F.lag("car").over(by_pos()).alias("ahead"), F.lead("car").over(by_pos()).alias("behind"),
+        F.lag("name").over(by_pos()).alias("n_ahead"), F.lead("name").over(by_pos()).alias("n_behind"),
     ).where(c("ai") == 0)
     pair = near.select(
         "session_uid", "car",
@@ -129,7 +137,7 @@ def neighbour_deltas(cars: DataFrame) -> DataFrame:
 
 
 def neighbours(cars: DataFrame) -> DataFrame:
-    return cars.withColumn("ahead", F.lag("car").over(BY_POS)).withColumn("behind", F.lead("car").over(BY_POS))
+    return cars.withColumn("ahead", F.lag("car").over(by_pos())).withColumn("behind", F.lead("car").over(by_pos()))
 
 
 def _tick_summary(cars: DataFrame) -> DataFrame:
@@ -159,7 +167,7 @@ def _moved(name: str) -> Column:
     return F.coalesce(c(f"p_{name}") != c(f"q_{name}"), F.lit(False))
 
 
-def projection_triggers(cars: DataFrame, span: int = 4096) -> DataFrame:
+def projection_triggers(cars: DataFrame, span: int = 0) -> DataFrame:
     """Ticks that start a new projection in a race."""
     t = _with_changes(cars, span)
     leader = F.coalesce((c("leader_lap") > c("q_leader")) & (c("q_leader") > 0), F.lit(False))
@@ -169,7 +177,7 @@ def projection_triggers(cars: DataFrame, span: int = 4096) -> DataFrame:
     return t.where(fire).select(*TICK, "at_ms", leader.alias("leader_lap"), "entry", rejoined.alias("rejoined"), sc.alias("safety_car"))
 
 
-def strategy_triggers(cars: DataFrame, span: int = 4096) -> DataFrame:
+def strategy_triggers(cars: DataFrame, span: int = 0) -> DataFrame:
     """Ticks that start a strategy run, with the severity that decides throttling."""
     t = _with_changes(cars, span)
     lap = F.coalesce((c("p_lap") > c("q_lap")) & (c("q_lap") > 0), F.lit(False))
@@ -182,7 +190,7 @@ def strategy_triggers(cars: DataFrame, span: int = 4096) -> DataFrame:
     return t.withColumn("severity", level).where(c("severity").isNotNull()).select(*TICK, "at_ms", c("p_lap").alias("lap"), "severity")
 
 
-def throttle(triggers: DataFrame, cap: int = 2, span: int = 4096) -> DataFrame:
+def throttle(triggers: DataFrame, cap: int = 2, span: int = 0) -> DataFrame:
     """At most ``cap`` NORMAL triggers per player lap; CRITICAL ones always pass."""
     n = {"_n": ("count", F.when(c("severity") == "NORMAL", 1))}
     seen = stats.along(triggers, ["session_uid", "lap"], "tick", running=n, span=span)
@@ -229,7 +237,7 @@ def outside_rewind(messages: DataFrame, rewinds: DataFrame, quiet_ms: int = 4000
 
 def relevant_retirements(cars: DataFrame) -> DataFrame:
     """Retirements within two places of the player; an unknown place counts as relevant."""
-    gone = stats.along(cars, CAR, "tick", lags={"_was": "result_status"}).where(
+    gone = stats.along(cars, CAR, "tick", lags={"_was": "result_status"}, span=0).where(
         (c("result_status") == 4) & (F.coalesce("_was", F.lit(0)) != 4)
     )
     player = cars.where(c("ai") == 0).select(*TICK, c("pos").alias("player_pos"))

@@ -172,23 +172,35 @@ FROM tick_seq"""
 # Ticks with twenty cars each: event ids are unique, so (session_uid, tick, car) is a key.
 VIEWS["car_base"] = f"""
 SELECT {div('event_id', 4000)} AS session_uid, {div('event_id', 20)} % 200 AS tick, event_id % 20 AS car, event_id, event_type, value,
-  row_number() OVER (PARTITION BY {div('event_id', 20)} ORDER BY value, event_id) AS pos,
-  CASE WHEN {div('event_id', 20)} % 200 < (event_id % 20) % 3 THEN 0 ELSE {div('event_id', 20)} % 200 - (event_id % 20) % 3 END AS progress,
+  row_number() OVER (PARTITION BY {div('event_id', 20)} ORDER BY
+    ((event_id % 20) * 7919 + {div("event_id", 140)} * (event_id % 20 + 3) * 131) % 1009, event_id) AS pos,
+  CASE WHEN {div('event_id', 20)} % 200 < (event_id % 20) % 7 THEN 0 ELSE {div('event_id', 20)} % 200 - (event_id % 20) % 7 END AS progress,
   CASE {div('event_id', 4000)} % 3 WHEN 0 THEN 10 WHEN 1 THEN 1 ELSE 5 END AS session_type
 FROM events"""
 VIEWS["cars"] = f"""
-SELECT *, CASE WHEN sector >= 1 THEN 27000 + (car * 37 + lap * 91 + session_uid) % 900 ELSE 0 END AS s1_ms,
-  CASE WHEN sector = 2 THEN 29000 + (car * 53 + lap * 67) % 900 ELSE 0 END AS s2_ms,
+SELECT *, CASE WHEN sector >= 1 THEN 27000 + (car * 37 + lap * 91 + session_uid) % 900 + CASE WHEN car = 0 THEN 250 ELSE 0 END ELSE 0 END AS s1_ms,
+  CASE WHEN sector = 2 THEN 29000 + (car * 53 + lap * 67) % 900 + CASE WHEN car = 0 THEN 250 ELSE 0 END ELSE 0 END AS s2_ms,
   CASE WHEN lap > 1 THEN 84000 + (car * 71 + lap * 113 + session_uid) % 3000 ELSE 0 END AS last_lap_ms,
-  CASE WHEN lap % 4 = 0 AND progress % 10 = 9 THEN 1 WHEN lap % 4 = 1 AND lap > 1 AND progress % 10 = 0 THEN 1 ELSE 0 END AS pit_status,
-  {div('lap - 1', 4)} AS pits, CASE WHEN tick % 37 >= 5 AND tick % 37 <= 7 THEN 1 ELSE 0 END AS safety_car,
-  CASE WHEN tick % 90 >= 60 THEN 3 ELSE 0 END AS weather, cast(floor(10 * value) as bigint) % 330 AS speed,
-  cast(floor(100 * value) as bigint) % 3000 - 200 AS delta_front_ms, cast(floor(100 * value) as bigint) % 5000 AS lap_distance,
-  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 4 WHEN event_id % 97 = 0 THEN 1 ELSE 2 END AS result_status,
+  in_pit AS pit_status, {div('lap - 1', 4)} - CASE WHEN in_pit = 1 AND progress % 10 < 2 THEN 1 ELSE 0 END AS pits, CASE WHEN tick % 37 >= 5 AND tick % 37 <= 7 THEN 1 ELSE 0 END AS safety_car,
+  CASE WHEN tick % 90 >= 60 THEN 3 ELSE 0 END AS weather, CASE WHEN in_pit = 1 THEN CASE WHEN progress % 10 = 9 THEN 2 ELSE 60 END WHEN tick % 40 < 16 THEN 80 + (tick * 13 + car * 7) % 60
+    ELSE 150 + (tick * 31 + car * 17) % 150 END AS speed,
+  cast(floor(100 * value) as bigint) % 3000 - 200 AS delta_front_ms, (tick * 293 + 4000 - pos * 37 + (tick * car) % 23) % 5000 AS lap_distance,
+  CASE WHEN tick % 40 < 16 THEN 0.1e0 + (car % 3) / 10e0 ELSE 0.9e0 END AS throttle,
+  CASE WHEN tick % 9 < 4 THEN 1 ELSE 0 END AS drs_allowed, {div('tick', 11)} % 4 AS ers_mode, {div('tick', 41)} * 5 AS pen,
+  CASE WHEN tick % 83 >= 70 THEN 1 ELSE 0 END AS unserved_dt, CASE WHEN tick % 97 >= 90 THEN 1 ELSE 0 END AS unserved_sg,
+  {div('tick', 29)} AS warnings, {div('(tick + car) % 80', 2)} AS tyre_age, (tick % 60) * 8 / 10e0 AS wear_rl,
+  ((tick + 13) % 55) * 9 / 10e0 AS wear_rr, ((tick + 29) % 45) * 1e0 AS wear_fl, (tick * 2 % 90) / 2e0 AS wear_fr,
+  CASE WHEN tick % 50 < 10 THEN 0 ELSE (tick % 50 - 10) * 2 END AS fw_dmg, {div('tick', 13)} * 7 % 65 AS rw_dmg, {div('tick', 7)} * 5 % 40 AS fl_dmg,
+  {div('tick', 17)} * 9 % 35 AS diff_dmg, {div('tick', 19)} * 11 % 70 AS sp_dmg,
+  CASE WHEN tick % 31 >= 11 AND tick % 31 < 15 THEN 1 ELSE 0 END AS lap_invalid, {div('tick', 31)} AS corner_cutting,
+  200 + (tick * 37 + car * 53) % 130 AS speed_trap, CASE WHEN tick >= 180 THEN 0 ELSE 5400 - tick * 30 END AS time_left,
+  CASE WHEN tick % 13 = 0 THEN 0e0 ELSE (40 - lap) / 2e0 END AS fuel_laps,
+  CASE WHEN event_id % 20 > 0 AND event_type = 'error' AND event_id % 3 = 0 THEN 4 WHEN event_id % 97 = 0 AND event_id % 20 > 0 THEN 1 ELSE 2 END AS result_status,
   CASE WHEN car = 0 THEN 0 ELSE 1 END AS ai, concat('Driver ', cast(car as varchar(4))) AS name,
-  16 + (car + lap) % 3 AS tyre, cast(100 - lap as double) AS fuel, 20 - lap AS laps_left, tick * 1500 AS at_ms,
+  16 + ({div('lap - 1', 4)} + car) % 3 AS tyre, cast(100 - lap as double) AS fuel, 20 - lap AS laps_left, tick * 1500 AS at_ms,
   CASE WHEN cast(floor(100 * value) as bigint) % 5 = 0 THEN 3 ELSE 0 END AS zone_flag, car / 20e0 AS zone_start
-FROM (SELECT *, {div('progress', 10)} + 1 AS lap, CASE WHEN progress % 10 < 4 THEN 0 WHEN progress % 10 < 7 THEN 1 ELSE 2 END AS sector FROM car_base) b"""
+FROM (SELECT *, CASE WHEN lap % 4 = 0 AND progress % 10 >= 8 THEN 1 WHEN lap % 4 = 1 AND lap > 1 AND progress % 10 < 2 THEN 1 ELSE 0 END AS in_pit
+  FROM (SELECT *, {div('progress', 10)} + 1 AS lap, CASE WHEN progress % 10 < 4 THEN 0 WHEN progress % 10 < 7 THEN 1 ELSE 2 END AS sector FROM car_base) b) i"""
 
 # Lap packets of one car per session with dropped packets, so sectors are sometimes skipped.
 VIEWS["lap_feed"] = """
