@@ -28,6 +28,18 @@ COMPOUND_NAMES = {16: "Soft", 17: "Medium", 18: "Hard", 7: "Intermediate", 8: "W
 COMPOUND_LETTERS = {16: "S", 17: "M", 18: "H", 7: "I", 8: "W"}
 DRY_COMPOUNDS, WET_COMPOUNDS = (16, 17, 18), (7, 8)
 ALL_COMPOUNDS = DRY_COMPOUNDS + WET_COMPOUNDS
+# Expected lap time per track in ms; other tracks count as 90 s.
+CIRCUIT_LAP_MS = {
+    0: 81400, 1: 94600, 2: 94000, 3: 93200, 4: 75500, 5: 74400, 6: 74600, 7: 88800, 8: 73200, 9: 78100,
+    10: 105800, 11: 82600, 12: 96400, 13: 92700, 14: 87300, 15: 95900, 16: 71900, 17: 66900, 18: 96900,
+    19: 79400, 20: 105100, 21: 56100, 22: 66000, 23: 66000, 24: 64000, 25: 100000, 26: 72500, 27: 77000,
+    28: 80300, 29: 92500, 30: 91500, 31: 96800, 32: 85700, 33: 85700,
+}
+DEFAULT_LAP_MS = 90000
+# Tyre lifespans in laps, wear at which a tyre gives up, race points.
+LIFESPAN_LAPS, DEFAULT_LIFESPAN, CLIFF_WEAR = {16: 30, 17: 37, 18: 45, 7: 30, 8: 30}, 37, 80.0
+RACE_POINTS = (25, 18, 15, 12, 10, 8, 6, 4, 2, 1)
+DEFAULT_PIT_LOSS_MS = 22000.0
 # Session type groups.
 RACE_TYPES = (10, 11, 12, 15, 16, 17)
 BASELINE_EXCLUDED_TYPES = (5, 6, 7, 8, 9)

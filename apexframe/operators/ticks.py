@@ -248,13 +248,15 @@ def relevant_retirements(cars: DataFrame) -> DataFrame:
 def zone_of(rows_: DataFrame, zones: DataFrame, lead_s: float = 3.0) -> DataFrame:
     """First zone holding the car, each zone opening three seconds of travel early.
 
-    A track's zones ride along as one short array, joined on the track.
+    A track's zones ride along as one short array, joined on the track. -1 means outside every zone;
+    a track without zones counts as zone 0 throughout.
     """
     per = zones.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("zone_idx", "from_m", "to_m"))).alias("_z"))
     early = c("speed") / 3.6 * lead_s
     hit = F.filter("_z", lambda z: (c("lap_distance") >= z["from_m"] - early) & (c("lap_distance") <= z["to_m"]))
     out = rows_.join(per, "track_id", "left")
-    return out.withColumn("zone_idx", F.get(hit, F.lit(0))["zone_idx"]).drop("_z")
+    found = F.coalesce(F.get(hit, F.lit(0))["zone_idx"], F.lit(-1))
+    return out.withColumn("zone_idx", F.when(c("_z").isNull(), 0).otherwise(found)).drop("_z")
 
 
 def yellow_sectors(zones: Column, track_m: Column, s2: Column, s3: Column) -> Column:

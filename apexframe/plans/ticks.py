@@ -244,7 +244,7 @@ def zones(x):
 
 
 @query("J12_zone_lookup", """
-SELECT c.session_uid, c.tick, c.car, min(z.zone_idx) AS zone_idx FROM cars c LEFT JOIN o_zones z ON z.track_id = c.session_uid % 3
+SELECT c.session_uid, c.tick, c.car, coalesce(min(z.zone_idx), -1) AS zone_idx FROM cars c LEFT JOIN o_zones z ON z.track_id = c.session_uid % 3
   AND c.lap_distance >= z.from_m - c.speed / 3.6 * 3 AND c.lap_distance <= z.to_m GROUP BY 1, 2, 3""")
 def _(x):
     cars = x.cars.withColumn("track_id", c("session_uid") % 3)

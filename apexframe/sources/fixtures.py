@@ -232,7 +232,7 @@ FROM ticks"""
 VIEWS["finish"] = """
 SELECT job, iteration, car, position, CASE WHEN q = 13 THEN 1 ELSE 0 END AS retired FROM (
   SELECT l_orderkey % 20 AS job, l_suppkey % 20 AS car, cast(floor(l_quantity) as bigint) % 17 AS q,
-    l_orderkey * 8 + l_linenumber AS iteration, cast(floor(l_extendedprice) as bigint) % 20 + 1 AS position FROM lineitem) f"""
+    cast(floor(l_orderkey / 20e0) as bigint) AS iteration, cast(floor(l_extendedprice) as bigint) % 20 + 1 AS position FROM lineitem) f"""
 
 _SCORE = "1 + (c.conv_id * {k} + c.turn * {m} + {j}) % 5"
 VIEWS["runs"] = """
