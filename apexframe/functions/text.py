@@ -73,7 +73,7 @@ def sentence_marks(s: Column) -> Column:
     return F.regexp_replace(s, "([.!?]) +", "$1|")
 
 
-PLACE, NUMBER = r"(?i)\bP\d+\b", r"\d+(?:\.\d+)?"
+PLACE, NUMBER = r"(?iU)\bP\d+\b", r"(?U)\d+(?:\.\d+)?"
 
 
 def fact_tokens(s: Column) -> Column:
@@ -92,7 +92,7 @@ def invented_facts(before: Column, after: Column) -> Column:
 
 
 def spoken_seconds(s: Column) -> Column:
-    return F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) / 2.5
+    return F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")) / 2.5
 
 
 def gap_seconds(other_lap: Column, other_m: Column, lap: Column, at_m: Column, track_m: Column) -> Column:
@@ -143,3 +143,25 @@ def retired_text(status: Column) -> Column:
         .when(status == 5, "Disqualified. We'll review and figure out what happened.")
         .when(status == 6, "Didn't make the classified distance. Tough one.")
     )
+
+
+def fill(template: str, fields: list[str]) -> Column:
+    """A template with {field} slots; null fields become empty text."""
+    out, rest = [], template
+    while rest:
+        head, sep, tail = rest.partition("{")
+        out.append(F.lit(head))
+        if not sep:
+            break
+        name, _, rest = tail.partition("}")
+        out.append(F.coalesce(c(name).cast("string"), F.lit("")) if name in fields else F.lit(""))
+    return F.concat(*out)
+
+
+def judge_scores(answer: Column, dims_: list[str]) -> Column:
+    """Scores from the JSON object inside free text; null unless all are whole numbers 1 to 5."""
+    obj = F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), ", ".join(f"{d} string" for d in dims_) + ", rationale string")
+    good = F.lit(True)
+    for d in dims_:
+        good = good & F.coalesce(obj[d].rlike("^[1-5]$"), F.lit(False))
+    return F.when(good, F.struct(*[obj[d].cast("bigint").alias(d) for d in dims_], F.coalesce(obj["rationale"], F.lit("")).alias("rationale")))

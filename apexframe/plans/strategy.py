@@ -144,7 +144,7 @@ SELECT job, car, cast(sum(n) AS bigint) AS iterations, round(sum(position * n) /
   min(position) FILTER (WHERE upto >= ceil(0.025 * total)) AS ci_low, min(position) FILTER (WHERE upto >= ceil(0.975 * total)) AS ci_high,
   round(sum(dnf) / sum(n), 6) AS dnf_rate, round(coalesce(sum(n) FILTER (WHERE position <= 3), 0) / sum(n), 6) AS top3,
   round(coalesce(sum(n) FILTER (WHERE position <= 10), 0) / sum(n), 6) AS points_finish,
-  string_agg(printf('%d:%.6f', position, n / total), ',' ORDER BY position) AS dist, round(sum({PTS} * n) / sum(n), 6) AS expected_points FROM o_counts GROUP BY job, car""")
+  string_agg(printf('%d:%d', position, cast(floor(n / total * 1000000 + 0.5) AS bigint)), ',' ORDER BY position) AS dist, round(sum({PTS} * n) / sum(n), 6) AS expected_points FROM o_counts GROUP BY job, car""")
 
 
 def outcomes(x):
@@ -155,7 +155,7 @@ def outcomes(x):
 
 @query("A37_outcome_distribution", "SELECT * EXCLUDE (expected_points) FROM o_outcomes")
 def _(x):
-    flat = F.transform(F.map_entries("distribution"), lambda e: F.format_string("%d:%.6f", e["key"], e["value"]))
+    flat = F.transform(F.map_entries("distribution"), lambda e: F.format_string("%d:%d", e["key"], F.floor(e["value"] * 1000000 + 0.5)))
     return outcomes(x).withColumn("dist", F.array_join(flat, ",")).drop("distribution", "expected_points")
 
 
