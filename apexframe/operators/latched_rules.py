@@ -28,7 +28,7 @@ def yellow_flag(ticks: DataFrame, run=lt.run) -> DataFrame:
 def fastest_lap(ticks: DataFrame, cars: DataFrame, run=lt.run) -> DataFrame:
     own = gate(ticks, "FastestLapByRival").select(*SLOT, c("car").alias("me"), "at_ms")
     lap = c("last_lap_ms") > 0
-    per = cars.join(own, tk.TICK).groupBy(*SLOT, "me", "at_ms").agg(
+    per = cars.drop("at_ms").join(own, tk.TICK).groupBy(*SLOT, "me", "at_ms").agg(
         F.min(F.when(lap, c("last_lap_ms") * 100 + c("car"))).alias("_code"),
         F.min(F.when(lap & (c("car") == c("me")), c("last_lap_ms"))).alias("_own"),
     )
@@ -177,7 +177,7 @@ def practice_lap(ticks: DataFrame, cars: DataFrame, run=lt.run) -> DataFrame:
 
 def speed_trap(ticks: DataFrame, cars: DataFrame, run=lt.run) -> DataFrame:
     own = gate(ticks, "PracticeSpeedTrap").select(*SLOT, c("speed_trap").alias("_mine"), "at_ms")
-    per = cars.join(own, SLOT).groupBy(*SLOT, "_mine", "at_ms").agg((F.count_if(c("speed_trap") > c("_mine")) + 1).alias("place"))
+    per = cars.drop("at_ms").join(own, SLOT).groupBy(*SLOT, "_mine", "at_ms").agg((F.count_if(c("speed_trap") > c("_mine")) + 1).alias("place"))
     fired = run(per.select(*SLOT, "at_ms", c("_mine").alias("speed_trap"), "place"), T, [*SLOT, "place"], lt.speed_trap)
     return say(fired, "PracticeSpeedTrap", "NORMAL", 3, cat("P", c("place"), " in the speed trap, ", c("n1"), " kilometres per hour."))
 

@@ -29,6 +29,8 @@ class Inputs:
 
 
 def shared(name: str, sql: str) -> None:
+    if name in SHARED_SQL or name in fixtures.VIEWS:
+        raise ValueError(f"shared name {name} defined twice")
     SHARED_SQL[name] = sql
 
 

@@ -53,15 +53,15 @@ SELECT p.*, a.name AS a_name, a.lap AS a_lap, a.lap_distance AS a_dist, a.result
   row_number() OVER (PARTITION BY p.session_uid ORDER BY p.tick) AS rn
 FROM cars p LEFT JOIN cars a ON a.session_uid = p.session_uid AND a.tick = p.tick AND a.pos = p.pos - 1
 LEFT JOIN cars b ON b.session_uid = p.session_uid AND b.tick = p.tick AND b.pos = p.pos + 1 WHERE p.ai = 0""")
-shared("o_state", """
+shared("o_pitstate", """
 WITH RECURSIVE st AS (SELECT session_uid, rn, CASE pit_status WHEN 0 THEN 'ON_TRACK' ELSE 'PIT_STOPPED' END AS pit_state FROM o_player WHERE rn = 1
   UNION ALL SELECT f.session_uid, f.rn, CASE WHEN f.pit_status = 0 THEN 'ON_TRACK' WHEN f.pit_status = 2 THEN 'PIT_STOPPED'
     WHEN st.pit_state = 'ON_TRACK' THEN 'PIT_ENTRY' WHEN st.pit_state = 'PIT_ENTRY' THEN CASE WHEN f.speed < 5 THEN 'PIT_STOPPED' ELSE 'PIT_ENTRY' END
     WHEN st.pit_state = 'PIT_STOPPED' THEN CASE WHEN f.speed >= 5 THEN 'PIT_EXIT' ELSE 'PIT_STOPPED' END ELSE 'PIT_EXIT' END
   FROM st JOIN o_player f ON f.session_uid = st.session_uid AND f.rn = st.rn + 1) SELECT * FROM st""")
 shared("o_pt", """
-SELECT p.*, s.pit_state, coalesce(q.pit_state, s.pit_state) AS prev_pit FROM o_player p JOIN o_state s USING (session_uid, rn)
-LEFT JOIN o_state q ON q.session_uid = p.session_uid AND q.rn = p.rn - 1""")
+SELECT p.*, s.pit_state, coalesce(q.pit_state, s.pit_state) AS prev_pit FROM o_player p JOIN o_pitstate s USING (session_uid, rn)
+LEFT JOIN o_pitstate q ON q.session_uid = p.session_uid AND q.rn = p.rn - 1""")
 
 
 def say(rule: str, priority: str, ttl: str, text: str, source: str) -> str:
