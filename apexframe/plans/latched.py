@@ -8,7 +8,7 @@ from apexframe.operators import latched_rules as lr
 from apexframe.operators import rules as ru
 from apexframe.operators import ticks as tk
 from apexframe.plans.registry import query, shared
-from apexframe.plans.rules import DG, LT, PW, T, W, gated, pt
+from apexframe.plans.rules import DG, LT, PW, T, TL, W, gated, pt
 from apexframe.plans.ticks import zones
 
 c = F.col
@@ -66,7 +66,23 @@ def _(x):
     return lr.corner_wear(pt(x))
 
 
-@query("E8_damage")
+def _damage_case() -> str:
+    out = "-1"
+    for tier in (10, 30, 60):
+        for i in reversed(range(5)):
+            out = f"CASE WHEN d{i} >= {tier} AND b{i} < {tier} THEN {i * 100 + tier} ELSE {out} END"
+    return f"CASE WHEN fixed THEN -2 ELSE {out} END"
+
+
+@query("E8_damage", f"""
+WITH RECURSIVE p AS (SELECT session_uid, rn, tick, fw_dmg AS d0, rw_dmg AS d1, fl_dmg AS d2, diff_dmg AS d3, sp_dmg AS d4 FROM o_pt),
+r AS (SELECT session_uid, cast(0 AS bigint) AS rn, 0 AS a0, 0 AS a1, 0 AS a2, 0 AS a3, 0 AS a4, -1 AS hit FROM p WHERE rn = 1
+  UNION ALL SELECT session_uid, rn, {', '.join(f'CASE WHEN hit >= 0 AND cast(floor(hit / 100.0) AS int) = {i} THEN hit % 100 ELSE b{i} END' for i in range(5))}, hit FROM (
+    SELECT *, {_damage_case()} AS hit FROM (SELECT p.*, a0 > 0 AND d0 < a0 - 1 AS fixed, {', '.join(f'CASE WHEN a{i} > 0 AND d{i} < a{i} - 1 THEN 0 ELSE a{i} END AS b{i}' for i in range(5))}
+      FROM r JOIN p ON p.session_uid = r.session_uid AND p.rn = r.rn + 1) h) j)
+SELECT session_uid, tick, 'Damage' AS rule, CASE WHEN hit = -2 THEN 'NORMAL' WHEN hit % 100 = 60 THEN 'IMMEDIATE' ELSE 'HIGH' END AS priority, CASE WHEN hit = -2 OR hit % 100 = 60 THEN 2 ELSE 3 END AS ttl_laps,
+  CASE WHEN hit = -2 THEN 'Front wing replaced, good to go.' ELSE concat(CASE cast(floor(hit / 100.0) AS int) WHEN 0 THEN 'Front wing' WHEN 1 THEN 'Rear wing' WHEN 2 THEN 'Floor' WHEN 3 THEN 'Diffuser' ELSE 'Sidepod' END,
+    CASE hit % 100 WHEN 60 THEN ' is heavily damaged.' WHEN 30 THEN ' is damaged.' ELSE ' has minor damage.' END) END AS text FROM r JOIN p USING (session_uid, rn) WHERE hit <> -1""")
 def _(x):
     return lr.damage(pt(x))
 
@@ -100,7 +116,23 @@ def _(x):
     return lr.car_behind(pt(x))
 
 
-@query("E18_pit_window")
+READY = "CASE {c} WHEN 16 THEN 'Softs' WHEN 17 THEN 'Mediums' ELSE 'Hards' END"
+
+
+@query("E18_pit_window", f"""
+WITH RECURSIVE pl AS (SELECT session_uid, tick, CASE WHEN floor(tick / 40.0) = 3 THEN -1 ELSE 6 + cast(floor(tick / 40.0) AS int) * 4 END AS target, 16 + cast(floor(tick / 40.0) AS int) % 3 AS comp FROM o_pt WHERE tick % 40 = 0),
+q AS (SELECT g.*, pl.target, pl.comp, row_number() OVER (PARTITION BY g.session_uid ORDER BY g.tick) AS n FROM {gated('PitWindowMessages')} g ASOF JOIN pl ON pl.session_uid = g.session_uid AND pl.tick <= g.tick WHERE target > 0 AND target >= lap),
+r AS (SELECT session_uid, cast(0 AS bigint) AS n, 0 AS rung, -1 AS told, cast(0 AS bigint) AS pits, cast(NULL AS varchar) AS what FROM q WHERE n = 1
+  UNION ALL SELECT session_uid, n, CASE what WHEN 'five' THEN 1 WHEN 'next' THEN 2 WHEN 'box' THEN 3 ELSE rung1 END, target, CASE WHEN fresh THEN pits ELSE old_pits END, what FROM (
+    SELECT *, CASE WHEN missed THEN 'missed' WHEN target - lap = 5 AND rung1 = 0 AND NOT worn THEN 'five' WHEN target - lap = 1 AND rung1 < 2 THEN 'next'
+      WHEN target - lap = 0 AND rung1 < 3 AND pit_state = 'ON_TRACK' AND sector >= 2 THEN 'box' END AS what FROM (
+      SELECT *, CASE WHEN fresh AND (pitted OR missed) THEN 0 ELSE rung END AS rung1 FROM (
+        SELECT q.session_uid, q.n, q.lap, q.target, q.pits, q.sector, q.pit_state, greatest(floor(wear_rl), floor(wear_rr), floor(wear_fl), floor(wear_fr)) >= 37 AS worn, r.rung, r.pits AS old_pits,
+          q.target <> r.told AS fresh, q.pits <> r.pits AS pitted, q.target <> r.told AND r.told > 0 AND r.rung >= 2 AND q.target > r.told AND q.pits = r.pits AS missed
+        FROM r JOIN q ON q.session_uid = r.session_uid AND q.n = r.n + 1) a) b) c)
+SELECT r.session_uid, q.tick, 'PitWindowMessages' AS rule, CASE what WHEN 'five' THEN 'NORMAL' WHEN 'box' THEN 'IMMEDIATE' ELSE 'HIGH' END AS priority, CASE WHEN what IN ('missed', 'five') THEN 2 ELSE 1 END AS ttl_laps,
+  concat(CASE what WHEN 'missed' THEN concat('We''ve missed that window. New plan, box lap ', target, ', ') WHEN 'five' THEN 'Box window opens in 5 laps. ' WHEN 'next' THEN 'Box next lap. ' ELSE 'Box this lap. ' END, {READY.format(c='comp')}, ' ready.') AS text
+FROM r JOIN q USING (session_uid, n) WHERE what IS NOT NULL""")
 def _(x):
     t = pt(x)
     slot = F.floor(c("tick") / 40)
@@ -126,7 +158,20 @@ def _(x):
     return lr.tyre_fuel_summary(t, x.cars, zones(x))
 
 
-@query("E26_practice_lap_complete")
+@query("E26_practice_lap_complete", f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY tick) AS n FROM {gated('PracticeLapComplete')} g),
+b AS (SELECT c.session_uid, c.tick, c.car, c.name, min(nullif(c.last_lap_ms, 0)) OVER (PARTITION BY c.session_uid, c.car ORDER BY c.tick) AS best FROM cars c JOIN o USING (session_uid, tick)),
+h AS (SELECT *, row_number() OVER w AS place, lag(best) OVER w AS ub, lag(name) OVER w AS un, lead(best) OVER w AS nb, lead(name) OVER w AS nn FROM b WHERE best IS NOT NULL WINDOW w AS (PARTITION BY session_uid, tick ORDER BY best, car)),
+r AS (SELECT session_uid, cast(0 AS bigint) AS n, cast(0 AS bigint) AS lap, cast(0 AS bigint) AS ms, cast(0 AS bigint) AS best, cast(-1 AS bigint) AS tl, false AS over, false AS fire, false AS pb FROM o WHERE n = 1
+  UNION ALL SELECT session_uid, n, CASE WHEN f THEN nlap ELSE lap END, CASE WHEN f THEN nms ELSE ms END, CASE WHEN f AND (best = 0 OR nms < best) THEN nms ELSE best END,
+    CASE WHEN f AND ntl > 0 THEN ntl ELSE tl END, over OR (f AND ntl > 0 AND tl >= 0 AND ntl >= tl), f, f AND (best = 0 OR nms < best) FROM (
+    SELECT o.session_uid, o.n, r.lap, r.ms, r.best, r.tl, r.over, o.lap AS nlap, o.last_lap_ms AS nms, o.time_left AS ntl, o.lap > r.lap AND o.last_lap_ms > 0 AND o.last_lap_ms <> r.ms AS f
+    FROM r JOIN o ON o.session_uid = r.session_uid AND o.n = r.n + 1) a)
+SELECT o.session_uid, o.tick, 'PracticeLapComplete' AS rule, 'NORMAL' AS priority, 2 AS ttl_laps, concat({LT('o.last_lap_ms')}, CASE WHEN pb THEN '. Personal best.' ELSE concat(', ', {T('(o.last_lap_ms - r.best) / 1000.0')}, ' seconds off your best.') END,
+  CASE WHEN place = 1 AND nb IS NULL THEN ' P1 on the time sheet.' WHEN place = 1 THEN concat(' P1 on the time sheet, ', {T('(nb - r.best) / 1000.0')}, ' seconds clear of ', nn, '.')
+    WHEN place > 1 THEN concat(' P', place, ' on the time sheet, ', {T('(r.best - ub) / 1000.0')}, ' seconds behind ', un, '.') ELSE '' END,
+  CASE WHEN NOT r.over AND o.time_left > 0 THEN concat(' ', {TL('o.time_left', True)}, '.') ELSE '' END) AS text
+FROM r JOIN o USING (session_uid, n) LEFT JOIN h ON h.session_uid = o.session_uid AND h.tick = o.tick AND h.car = 0 WHERE fire""")
 def _(x):
     return lr.practice_lap(pt(x), x.cars)
 
