@@ -46,19 +46,14 @@ def mad_keep(counts: DataFrame, keys: list[str], value: str, factor: float) -> D
 
     Groups below three rows, or with no deviation, pass unchanged.
     """
-    mid = quantiles(counts, keys, value, _median=0.5)
-    near = counts.join(mid, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
-    spread = quantiles(value_counts_weighted(near, keys, "_dev"), keys, "_dev", _mad=0.5).drop("n_rows")
-    kept = near.join(spread, keys).where(
-        (F.col("n_rows") < 3) | (F.col("_mad") == 0) | (F.col("_dev") <= factor * F.col("_mad"))
-    )
+    w = Window.partitionBy(*keys)  # spillable, one row per distinct value of the group
+    mid = lambda v: F.percentile(v, F.lit(0.5), F.col("n")).over(w)
+    near = counts.select("*", F.sum("n").over(w).alias("_rows"), F.abs(F.col(value) - mid(F.col(value))).alias("_dev"))
+    spread = near.withColumn("_mad", mid(F.col("_dev")))
+    kept = spread.where((F.col("_rows") < 3) | (F.col("_mad") == 0) | (F.col("_dev") <= factor * F.col("_mad")))
     return kept.select(*counts.columns)
 
 
-def value_counts_weighted(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return counts.groupBy(*keys, value).agg(F.sum("n").alias("n"))
-
-
 def weighted_mean(value: str) -> Column:
     return F.sum(F.col(value) * F.col("n")) / F.sum("n")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apexframe import dims
 from apexframe.functions import rows, stats
+from apexframe.session import cut_lineage
 
 c = F.col
 SNAP_KEY = ["session_uid", "car_index", "lap_number", "sector_number"]
@@ -280,8 +281,11 @@ def pit_loss_knob(losses: DataFrame) -> DataFrame:
 
 
 def calibrate(snap: DataFrame) -> DataFrame:
-    """Every coefficient of every track and regime from enriched snapshots, in one plan."""
-    clean = flag_outliers(snap)
+    """Every coefficient of every track and regime from enriched snapshots.
+
+    The flagged rows feed every fit, so they are written to the shared folder once.
+    """
+    clean = cut_lineage(flag_outliers(snap))
     bins = age_bins(clean, baselines(clean))
     out = tail_slopes(bins).unionByName(wear_rates(clean)).unionByName(fuel_effects(clean))
     return out.unionByName(pit_loss_knob(pit_losses(clean, sector_medians(clean))))

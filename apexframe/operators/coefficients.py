@@ -119,24 +119,29 @@ def nearest_baseline(requests: DataFrame, baselines: DataFrame) -> DataFrame:
             F.struct("fuel_bucket_kg", "b_weather", "track_temp_bucket_c", "mean_sector_ms", "perfect_sector_ms")
         ).alias("_b")
     )
-    fuel = rows.bucket_half_up(c("fuel_kg"), dims.FUEL_BUCKET_KG)
-    temp = rows.bucket_half_up(c("track_temp"), dims.TEMP_BUCKET_C)
+    # Requests repeat the same few grid cells: the ranking runs once per cell, rows then join it.
+    unknown = F.lit(-999).cast("bigint")
+    asked = requests.withColumn("_fuel", F.coalesce(rows.bucket_half_up(c("fuel_kg"), dims.FUEL_BUCKET_KG), unknown))
+    asked = asked.withColumn("_temp", F.coalesce(rows.bucket_half_up(c("track_temp"), dims.TEMP_BUCKET_C), unknown))
+    asked = asked.withColumn("_weather", F.coalesce(c("weather").cast("bigint"), unknown))
+    cell = [*keys, "_fuel", "_weather", "_temp"]
+    known = lambda v: F.when(v != unknown, v)
     ranked = F.array_min(
         F.transform(
             "_b",
             lambda e: F.struct(
-                F.abs(e["fuel_bucket_kg"] - fuel).alias("d0"),
-                F.when(e["b_weather"] == c("weather"), 0).otherwise(1).alias("d1"),
-                F.abs(e["track_temp_bucket_c"] - temp).alias("d2"),
+                F.abs(e["fuel_bucket_kg"] - known(c("_fuel"))).alias("d0"),
+                F.when(e["b_weather"] == known(c("_weather")), 0).otherwise(1).alias("d1"),
+                F.abs(e["track_temp_bucket_c"] - known(c("_temp"))).alias("d2"),
                 e["fuel_bucket_kg"].alias("d3"), e["b_weather"].alias("d4"), e["track_temp_bucket_c"].alias("d5"),
                 e["mean_sector_ms"].alias("mean_ms"), e["perfect_sector_ms"].alias("perfect_ms"),
             ),
         )
     )
-    out = requests.join(slot, keys, "left").withColumn("_n", ranked)
-    return out.select(
-        *requests.columns, F.coalesce(c("_n.mean_ms"), F.lit(0)).alias("baseline_ms"),
-        F.coalesce(c("_n.perfect_ms"), F.lit(0)).alias("perfect_ms"),
+    cells = asked.select(*cell).distinct().join(slot, keys).withColumn("_n", ranked)
+    found = cells.select(*cell, c("_n.mean_ms").alias("_mean"), c("_n.perfect_ms").alias("_perfect"))
+    return asked.join(found, cell, "left").select(
+        *requests.columns, F.coalesce("_mean", F.lit(0)).alias("baseline_ms"), F.coalesce("_perfect", F.lit(0)).alias("perfect_ms")
     )
 
 

@@ -24,7 +24,13 @@ def transitions(feed: DataFrame, keys: list[str], span: int = 4096) -> DataFrame
             "cached_s2": ("last", F.when(c("s2_ms") > 0, c("s2_ms")), "prior"),
         },
         span=span,
-    ).where(c("prev_sector").isNotNull() & (c("sector") != c("prev_sector")))
+    )
+    return _expand(seen)
+
+
+def _expand(seen: DataFrame) -> DataFrame:
+    """Rows where the sector changed, one per completed sector."""
+    seen = seen.where(c("prev_sector").isNotNull() & (c("sector") != c("prev_sector")))
     steps = F.pmod(c("sector") - c("prev_sector"), F.lit(3))
     out = seen.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), steps - 1)))
     out = out.withColumn("completed", F.pmod(c("prev_sector") + c("_i"), F.lit(3)))
@@ -43,10 +49,13 @@ def with_history(trans: DataFrame, history: DataFrame, keys: list[str], span: in
     ``history`` holds packets (seq, num_laps, laps) with laps an array of structs s1, s2, s3.
     """
     joined = stats.asof(trans, history, keys, "seq", {"_n": "num_laps", "_laps": "laps"}, span)
-    lap = F.get("_laps", (c("snap_lap") - 1).cast("int"))
+    return joined.withColumn("history_ms", _history_ms(c("_n"), c("_laps"))).drop("_n", "_laps")
+
+
+def _history_ms(n: Column, laps: Column) -> Column:
+    lap = F.get(laps, (c("snap_lap") - 1).cast("int"))
     ms = F.when(c("completed") == 0, lap["s1"]).when(c("completed") == 1, lap["s2"]).otherwise(lap["s3"])
-    known = (c("snap_lap") >= 1) & (c("snap_lap") <= c("_n")) & (c("snap_lap") > c("_n") - 5)
-    return joined.withColumn("history_ms", F.when(known, ms)).drop("_n", "_laps")
+    return F.when((c("snap_lap") >= 1) & (c("snap_lap") <= n) & (c("snap_lap") > n - 5), ms)
 
 
 def recover(trans: DataFrame) -> DataFrame:
@@ -74,13 +83,31 @@ def sector_snapshots(
 ) -> DataFrame:
     """Sector rows with the newest context of each kind; rows without any source get none of it.
 
-    ``context`` maps a name to a frame of (keys, seq, value).
+    ``context`` maps a name to a frame of (keys, seq, value). Lap, history and context packets form
+    one ordered stream, so the whole job is a single walk.
     """
-    out = recover(with_history(transitions(feed, keys, span), history, keys, span))
+    lap_cols = [n for n in feed.columns if n not in (*keys, "seq")]
+    both = feed.withColumn("_lap", F.lit(True)).unionByName(
+        history.select(*keys, "seq", F.struct("num_laps", "laps").alias("_h"), F.lit(False).alias("_lap")), allowMissingColumns=True
+    )
     for name, packets in context.items():
-        out = stats.asof(out, packets, keys, "seq", {name: "value"}, span)
-        out = out.withColumn(name, F.when(c("tier") < 3, F.coalesce(c(name), F.lit(0))).otherwise(0))
-    return out
+        both = both.unionByName(packets.select(*keys, "seq", c("value").alias(name), F.lit(False).alias("_lap")), allowMissingColumns=True)
+    both = both.withColumn("_at", c("seq") * 2 + c("_lap").cast("int"))  # other packets first on equal arrival
+    on_lap = lambda e: F.when(c("_lap"), e)
+    seen = stats.along(
+        both, keys, "_at",
+        running={
+            "_prev": ("last", on_lap(F.struct("sector", "lap")), "prior"),
+            "cached_s1": ("last", on_lap(F.when(c("s1_ms") > 0, c("s1_ms"))), "prior"),
+            "cached_s2": ("last", on_lap(F.when(c("s2_ms") > 0, c("s2_ms"))), "prior"),
+            "_hist": ("last", c("_h")), **{name: ("last", c(name)) for name in context},
+        },
+        span=2 * span,
+    ).where("_lap")
+    seen = seen.withColumn("prev_sector", c("_prev.sector")).withColumn("prev_lap", c("_prev.lap"))
+    out = recover(_expand(seen).withColumn("history_ms", _history_ms(c("_hist.num_laps"), c("_hist.laps"))))
+    known = {name: F.when(c("tier") < 3, F.coalesce(c(name), F.lit(0))).otherwise(0) for name in context}
+    return out.withColumns(known).select(*keys, "seq", *lap_cols, "prev_sector", "completed", "snap_lap", "tier", "sector_ms", "snap_lap_ms", *context)
 
 
 def pit_entries(feed: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:

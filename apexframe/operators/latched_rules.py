@@ -15,6 +15,7 @@ from apexframe.streaming import latches as lt
 
 c = F.col
 _walk = partial(stats.along, span=0)  # player ticks: at most 65,536 one-second rows per session
+# Fixed values throughout this module: message texts, priorities, lifetimes in laps and thresholds.
 T = ["tick"]
 SLOT = ["session_uid", "tick"]
 

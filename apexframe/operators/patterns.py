@@ -73,11 +73,13 @@ def end_actions(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_uid", "track_id", action.alias("action")).where(c("action").isNotNull())
 
 
-def run_end_actions(ended: DataFrame, snap: DataFrame, radio: DataFrame, sim_io: DataFrame, classification: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fresh coefficients of the recalibrated tracks and accuracy rows of the finished races."""
-    act = end_actions(ended)
-    tracks = act.where(c("action") == "recalibrate").select("track_id").distinct()
-    races = act.where(c("action") == "evaluate").select("session_uid")
-    coeffs = cal.calibrate(snap.join(tracks, "track_id", "left_semi"))
-    done = dash.evaluate_accuracy(radio.join(races, "session_uid", "left_semi"), sim_io, classification)
-    return coeffs, done
+def recalibrate(ended: DataFrame, snap: DataFrame) -> DataFrame:
+    """Fresh coefficients of the tracks whose practice sessions ended."""
+    tracks = end_actions(ended).where(c("action") == "recalibrate").select("track_id").distinct()
+    return cal.calibrate(snap.join(tracks, "track_id", "left_semi"))
+
+
+def evaluate_races(ended: DataFrame, radio: DataFrame, sim_io: DataFrame, classification: DataFrame) -> DataFrame:
+    """Accuracy rows of the races that ended."""
+    races = end_actions(ended).where(c("action") == "evaluate").select("session_uid")
+    return dash.evaluate_accuracy(radio.join(races, "session_uid", "left_semi"), sim_io, classification)

@@ -20,6 +20,7 @@ from apexframe.operators import ticks as tk
 c = F.col
 KEY = ["session_uid"]
 _walk = partial(stats.along, span=0)  # player ticks: at most 65,536 one-second rows per session
+# Fixed values throughout this module: message texts, priorities, lifetimes in laps and thresholds.
 OUT = ["session_uid", "tick", "rule", "priority", "ttl_laps", "text"]
 PRACTICE, QUALIFYING, RACE = "PRACTICE", "QUALIFYING", "RACE"
 # Pit states and session kinds each rule applies to (None means every one).

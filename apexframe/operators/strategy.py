@@ -320,19 +320,23 @@ def curve_offset(curve: Column, age: Column, deg: Column) -> Column:
     return F.when(curve.isNotNull(), inside)
 
 
-def project(rows_: DataFrame) -> DataFrame:
+def project(rows_: DataFrame, offsets: DataFrame) -> DataFrame:
     """Expected sector time: pace, tyre and fuel differences from the reference, damage, floor.
 
-    Needs pace_ms, floor_ms, curve, deg, fuel_effect, tyre_age_laps, age_ref, fuel_kg, fuel_ref,
-    damage parts and safety_car_status.
+    Needs track_id, compound, regime, sector_number, pace_ms, floor_ms, deg, fuel_effect,
+    tyre_age_laps, age_ref, fuel_kg, fuel_ref, damage parts and safety_car_status. The tyre term is
+    worked out once per distinct slot and pair of ages.
     """
+    slot = ["track_id", "compound", "regime", "sector_number", "tyre_age_laps", "age_ref", "deg"]
     at = lambda age: curve_offset(c("curve"), age, c("deg"))
     linear = c("deg") * (c("tyre_age_laps") - c("age_ref"))
     tyre = F.coalesce(at(c("tyre_age_laps")) - at(c("age_ref")), linear)
+    deltas = with_curves(rows_.select(*slot).distinct(), offsets).select(*slot, tyre.alias("_tyre"))
     fuel = c("fuel_effect") * (c("fuel_kg") - c("fuel_ref"))
     hurt = damage_ms(F.greatest("front_wing_damage_l", "front_wing_damage_r"), c("floor_damage"), c("engine_damage"))
-    ms = F.greatest(c("pace_ms") + tyre + fuel + hurt, c("floor_ms"))
-    return rows_.withColumn("projected_ms", F.when(c("safety_car_status") > 0, c("pace_ms") * 1.4).otherwise(ms))
+    ms = F.greatest(c("pace_ms") + c("_tyre") + fuel + hurt, c("floor_ms"))
+    out = rows_.join(deltas, slot)
+    return out.withColumn("projected_ms", F.when(c("safety_car_status") > 0, c("pace_ms") * 1.4).otherwise(ms)).drop("_tyre")
 
 
 def race_snapshots(cars: DataFrame, baselines: DataFrame, recent: DataFrame, sets: DataFrame, strategy: bool = True) -> DataFrame:

@@ -72,7 +72,7 @@ SELECT p.session_uid, 'evaluate' AS action, round(abs(p.predicted_position - f.p
 JOIN final_class f ON f.session_uid = p.session_uid AND f.car_index = p.player_car_index WHERE rn = 1
 UNION ALL SELECT session_uid, 'recalibrate', NULL FROM sessions WHERE session_type BETWEEN 1 AND 4""")
 def _(x):
-    _, done = pa.run_end_actions(x.sessions, x.snap, x.radio, x.sim_io, x.final_class)
+    done = pa.evaluate_races(x.sessions, x.radio, x.sim_io, x.final_class)
     again = pa.end_actions(x.sessions).where(c("action") == "recalibrate")
     return done.select("session_uid", F.lit("evaluate").alias("action"), F.round("abs_error", 6).alias("abs_error")).unionByName(
         again.select("session_uid", "action", F.lit(None).cast("double").alias("abs_error"))

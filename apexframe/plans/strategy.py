@@ -334,7 +334,7 @@ def _(x):
     s = s.withColumn("deg", 20.0 + c("sector_number")).withColumn("fuel_effect", F.lit(9.5))
     s = s.join(paces(x), ["track_id", "car_index", "compound", "regime", "sector_number"])
     s = s.withColumn("floor_ms", st.pace_floor(F.coalesce("p", F.lit(0)), c("pace_ms")))
-    out = st.project(st.with_curves(s, curve_rows(x)))
+    out = st.project(s, curve_rows(x))
     return out.select(*cal.SNAP_KEY, F.round("projected_ms", 3).alias("projected_ms"))
 
 
