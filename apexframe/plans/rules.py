@@ -240,7 +240,7 @@ def _(x):
 
 
 @query("E21_race_lap_complete", f"""
-WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY tick) AS k FROM {gated('RaceLapComplete')} q WHERE lap >= 2),
+WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY tick) AS k FROM (SELECT * REPLACE (CASE WHEN tick % 23 < 2 THEN lap - 1 - tick % 23 ELSE lap END AS lap) FROM {gated('RaceLapComplete')} q0) q WHERE lap >= 2),
 r AS (SELECT session_uid, k, lap AS memo, true AS fire FROM g WHERE k = 1
   UNION ALL SELECT p.session_uid, p.k, CASE WHEN r.memo IS NOT NULL AND p.lap < r.memo THEN NULL ELSE p.lap END, r.memo IS NULL OR p.lap > r.memo
   FROM r JOIN g p ON p.session_uid = r.session_uid AND p.k = r.k + 1)
@@ -249,8 +249,9 @@ r AS (SELECT session_uid, k, lap AS memo, true AS fire FROM g WHERE k = 1
   CASE WHEN pos > 1 AND result_status IN (2, 3) AND delta_front_ms > 0 AND a_rs IN (2, 3) THEN concat(' ', a_name, ' ahead at ', {SP('delta_front_ms / 1000.0')}, '.') ELSE '' END,
   CASE WHEN b_rs IN (2, 3) AND b_delta > 0 THEN concat(' ', b_name, ' behind at ', {SP('b_delta / 1000.0')}, '.') ELSE '' END)''', '(SELECT g.* FROM r JOIN g USING (session_uid, k) WHERE fire) y')}""")
 def _(x):
-    # The tick feed runs forward; a few ticks are moved back a lap to reach the rewind branch.
-    return ru.race_lap_complete(pt(x))
+    # The tick feed runs forward; a few ticks are moved back one or two laps to reach the rewind branch.
+    back = F.when(c("tick") % 23 < 2, c("lap") - 1 - c("tick") % 23).otherwise(c("lap"))
+    return ru.race_lap_complete(pt(x).withColumn("lap", back))
 
 
 FT = """CASE WHEN pos <= 0 THEN 'Chequered flag. Box this lap.' WHEN pos <= 3 THEN concat('P', pos, '! Brilliant drive. Cooldown lap, bring it home.')

@@ -115,3 +115,28 @@ def test_session_end_sink_routes_by_kind(spark):
     data = [(1, "ended", "PRACTICE", 3), (2, "ended", "RACE", 4), (3, "started", "RACE", 5), (4, "ended", "QUALIFYING", 6)]
     sink(spark.createDataFrame(data, "session_uid int, kind string, session_kind string, track_id int"), 0)
     assert seen == {"tracks": [(3,)], "races": [(2,)]}
+
+
+def test_packets_decode_in_a_stream(spark, x, tmp_path):
+    from apexframe.plans.io import car_packets
+    from apexframe.sources import packets as pk
+
+    p = car_packets(x, "lap", {"last_lap_ms": c("last_lap_ms"), "car_position": c("pos"), "sector": c("sector")})
+    p.write.parquet(f"{tmp_path}/raw")
+    landed = spark.read.parquet(f"{tmp_path}/raw")
+    cols = ["recv_seq", "session_uid", "car_slot", "last_lap_ms", "car_position", "sector"]
+    out = pk.cars(land(landed, f"{tmp_path}/in", ["recv_seq"]), "lap").select(*cols)
+    jobs.drain(out, f"{tmp_path}/cp", path=f"{tmp_path}/out")
+    want = rows(pk.cars(landed, "lap").select(*cols))
+    assert want and rows(spark.read.parquet(f"{tmp_path}/out")) == want
+
+
+def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
+    schema = "session_uid int, tick bigint, fw_dmg int, rw_dmg int, fl_dmg int, diff_dmg int, sp_dmg int, pit_state string, kind string"
+    part = lambda t, v: spark.createDataFrame([(1, t, v, 0, 0, 0, 0, "ON_TRACK", "RACE")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for t, v in ((0, 35), (1, 36), (2, 65)):
+        part(t, v)
+        stream = jobs.read_parquet(spark, f"{tmp_path}/in", schema)
+        jobs.drain(lr.damage(stream, run=lt.run_stream), f"{tmp_path}/cp", path=f"{tmp_path}/out")
+    got = [(r.tick, r.text) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("tick").collect()]
+    assert got == [(0, "Front wing is damaged."), (2, "Front wing is heavily damaged.")]
