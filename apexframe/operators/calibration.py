@@ -306,7 +306,7 @@ def r2_by_knob(snap: DataFrame) -> DataFrame:
     wear = fit_by(
         dry.where(c("most_worn").isNotNull())
         .withColumn("knob_name", knob("tyre_wear_rate_", c("tyre_compound_visual")))
-        .withColumn("sector_number", F.lit(None).cast("bigint")),
+        .withColumn("sector_number", F.lit(None).cast("int")),
         ["track_id", "regime", "knob_name", "sector_number"], "most_worn", "tyre_age_laps", dims.MIN_WEAR,
     )
     every = deg.unionByName(fuel).unionByName(wear)

@@ -14,6 +14,13 @@ from apexframe.sources import packets as pk
 from apexframe.sources import tables as tb
 
 c = F.col
+
+
+def ints(*names):
+    """Decoded fields narrowed to the width of the source columns."""
+    return [c(n).cast("int").alias(n) for n in names]
+
+
 SEQ = "session_uid * 1000 + tick"
 
 
@@ -30,7 +37,7 @@ def _(x):
     p = pk.pack(rows, "header")
     cut = F.when(c("recv_seq") % 5 == 0, F.substring("payload", 1, 20)).otherwise(c("payload"))  # short packets are dropped
     h = pk.headers(p.withColumn("payload", cut))
-    return h.select("recv_seq", "session_uid", "frame_identifier", "packet_format", "known_format")
+    return h.select("recv_seq", "session_uid", "frame_identifier", *ints("packet_format"), "known_format")
 
 
 @query("S2_lap_packets", f"""
@@ -43,13 +50,13 @@ def _(x):
     })
     d = pk.cars(p, "lap").where(c("car_position") > 0)
     ms = lambda n: (c(f"{n}_part_min") * 60000 + c(f"{n}_part_ms")).alias(f"{n}_ms")
-    return d.select("recv_seq", "session_uid", "car_slot", "last_lap_ms", ms("s1"), ms("s2"), "lap_distance", "car_position", "current_lap_num", "sector", "pit_status", "result_status")
+    return d.select("recv_seq", "session_uid", "car_slot", "last_lap_ms", ms("s1"), ms("s2"), "lap_distance", "car_position", "current_lap_num", *ints("sector", "pit_status", "result_status"))
 
 
 @query("S2_participant_packets", f"SELECT {SEQ} AS recv_seq, car AS car_slot, ai AS ai_controlled, car + 1 AS race_number, name FROM cars")
 def _(x):
     p = car_packets(x, "participant", {"ai_controlled": c("ai"), "race_number": c("car") + 1, "name": c("name")})
-    return pk.cars(p, "participant").where(c("race_number") > 0).select("recv_seq", "car_slot", "ai_controlled", "race_number", "name")
+    return pk.cars(p, "participant").where(c("race_number") > 0).select("recv_seq", "car_slot", *ints("ai_controlled"), "race_number", "name")
 
 
 @query("S2_telemetry_packets", f"SELECT {SEQ} AS recv_seq, car AS car_slot, speed, cast(throttle AS float) AS throttle, -(tick % 3) AS gear, [tick % 90, car, 7, 9] AS inner_temp FROM cars WHERE speed > 0")
@@ -66,7 +73,7 @@ def _(x):
     p = car_packets(x, "status", {
         "fuel_in_tank": c("fuel").cast("float"), "visual_compound": c("tyre"), "tyres_age_laps": c("tyre_age"), "drs_allowed": c("drs_allowed"), "ers_mode": c("ers_mode"),
     })
-    return pk.cars(p, "status").where(c("visual_compound") > 0).select("recv_seq", "car_slot", "fuel_in_tank", "visual_compound", "tyres_age_laps", "drs_allowed", "ers_mode")
+    return pk.cars(p, "status").where(c("visual_compound") > 0).select("recv_seq", "car_slot", "fuel_in_tank", "visual_compound", "tyres_age_laps", *ints("drs_allowed"), "ers_mode")
 
 
 @query("S2_damage_packets", f"""
@@ -87,7 +94,7 @@ def _(x):
         "stints_visual": F.array(c("stint1").cast("bigint"), c("stint2").cast("bigint"), *zero),
     }, src)
     d = pk.cars(p, "classification").where(c("position") > 0)
-    return d.select("session_uid", "car_slot", "position", "grid_position", "num_laps", "result_status", "stints_visual")
+    return d.select("session_uid", "car_slot", "position", "grid_position", *ints("num_laps", "result_status"), "stints_visual")
 
 
 @query("S3_session_packets", f"""
@@ -107,8 +114,8 @@ def _(x):
     )
     p = pk.pack(per.select(F.expr(SEQ).alias("recv_seq"), "session_uid", c("tick").alias("frame_identifier"), body.alias("body")), "session")
     return pk.singles(p, "session").select(
-        "recv_seq", "weather", "track_temp", "track_length", "session_type", c("marshal_zones.zone_flag").alias("zone_flags"),
-        c("forecast.offset_min").alias("offsets"), "safety_car_status", "sector2_start_m", "sector3_start_m",
+        "recv_seq", *ints("weather", "track_temp", "track_length", "session_type"), c("marshal_zones.zone_flag").cast("array<int>").alias("zone_flags"),
+        c("forecast.offset_min").alias("offsets"), *ints("safety_car_status"), "sector2_start_m", "sector3_start_m",
     )
 
 

@@ -50,7 +50,7 @@ CROSS JOIN (VALUES ('tyre_deg_soft'), ('fuel_effect'), ('pit_stop_time_loss'), (
 
 
 @query("J14_knob_fallback", """
-SELECT w.track_id, w.knob_name, w.calibration_regime, w.sector, cast(coalesce(a.value, b.value, d.value, e.value, 0) AS double) AS value
+SELECT w.track_id, w.knob_name, w.calibration_regime, cast(w.sector AS bigint) AS sector, cast(coalesce(a.value, b.value, d.value, e.value, 0) AS double) AS value
 FROM o_wanted w
 LEFT JOIN o_effective a ON a.track_id = w.track_id AND a.knob_name = w.knob_name AND a.calibration_regime = w.calibration_regime AND a.sector = w.sector
 LEFT JOIN o_effective b ON b.track_id = w.track_id AND b.knob_name = w.knob_name AND b.calibration_regime = w.calibration_regime AND b.sector = -1
@@ -162,7 +162,7 @@ def _(x):
 
 shared("o_quality", f"SELECT track_id, tyre_compound_visual AS compound, sector_number, {QUALITY} AS reason FROM snap WHERE ai_controlled = 0 AND tyre_compound_visual IN (7,8,16,17,18)")
 shared("o_tallies", f"""
-SELECT s.track_id, s.compound, s.sector_number, count(q.reason) AS total, count(*) FILTER (WHERE reason = 'GOOD') AS good,
+SELECT s.track_id, s.compound, cast(s.sector_number AS bigint) AS sector_number, count(q.reason) AS total, count(*) FILTER (WHERE reason = 'GOOD') AS good,
   {', '.join(f"count(*) FILTER (WHERE reason = '{r}') AS {r.lower()}" for r in rd.REASONS)}
 FROM (SELECT track_id, compound, sector_number FROM (
     SELECT DISTINCT track_id, unnest([16, 17, 18]) AS compound FROM snap

@@ -120,7 +120,7 @@ SELECT c_custkey AS accuracy_id, c_custkey AS session_uid,
 FROM customer"""
 
 VIEWS["final_class"] = f"""
-SELECT session_uid, car_index, row_number() OVER (PARTITION BY session_uid ORDER BY pace, car_index) AS position,
+SELECT session_uid, car_index, cast(row_number() OVER (PARTITION BY session_uid ORDER BY pace, car_index) as bigint) AS position,
   car_index + 1 AS grid_position, 20 AS num_laps,
   CASE WHEN pace % 23 = 0 THEN 4 WHEN pace % 29 = 0 THEN 7 ELSE 3 END AS result_status,
   16 + car_index % 3 AS stint1, 9 AS end1, CASE WHEN car_index % 4 = 0 THEN 0 ELSE 17 + car_index % 2 END AS stint2,
@@ -172,8 +172,8 @@ FROM tick_seq"""
 # Ticks with twenty cars each: event ids are unique, so (session_uid, tick, car) is a key.
 VIEWS["car_base"] = f"""
 SELECT {div('event_id', 4000)} AS session_uid, {div('event_id', 20)} % 200 AS tick, event_id % 20 AS car, event_id, event_type, value,
-  row_number() OVER (PARTITION BY {div('event_id', 20)} ORDER BY
-    ((event_id % 20) * 7919 + {div("event_id", 140)} * (event_id % 20 + 3) * 131) % 1009, event_id) AS pos,
+  cast(row_number() OVER (PARTITION BY {div('event_id', 20)} ORDER BY
+    ((event_id % 20) * 7919 + {div("event_id", 140)} * (event_id % 20 + 3) * 131) % 1009, event_id) as bigint) AS pos,
   CASE WHEN {div('event_id', 20)} % 200 < (event_id % 20) % 7 THEN 0 ELSE {div('event_id', 20)} % 200 - (event_id % 20) % 7 END AS progress,
   CASE {div('event_id', 4000)} % 3 WHEN 0 THEN 10 WHEN 1 THEN 1 ELSE 5 END AS session_type
 FROM events"""
