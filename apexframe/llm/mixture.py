@@ -1,17 +1,17 @@
 """LM scoring: logistic mixing of hashed-context bit predictors, over UTF-8 bytes.
 
-A byte is eight binary decisions. For each decision six predictors look up how often a one followed their
-context: the last 1 to 5 bytes, and the word so far, each with the decision's partial byte, hashed into
-a table of fixed size. Their log-odds are combined by weights chosen by a gate (how many predictors have
-seen their context, and the partial byte) and the result is refined by an adaptive map (gate byte and
-quantised probability to observed frequency). Bits per byte follow from the summed code lengths.
-
-Training takes three passes over the training texts. Counts are exact sums over all tasks. Weights are learned online,
-step by step, in each task, a prediction never using the occurrence that it predicts; the tasks' weights
-are averaged by bytes seen, and the adaptive map's counts are summed. All is frozen for scoring, so a score
-depends neither on the order of documents nor on their partition.
-
-A symbol with its contexts recurs often; equal ones are worked out once per slice of text.
+A byte is eight binary decisions. For each decision five predictors look up how often a one followed their
+context: the last 1, 2, 3 and 5 bytes, and the word so far (its last nine bytes), each with the decision's partial byte,
+hashed into tables of fixed size. Their log-odds are combined by weights that a gate chooses (how well the
+word is known, how many of the other contexts have been seen, and the partial byte), and the result is
+refined by an adaptive map from partial byte and quantised odds to the frequency observed there. Bits per
+byte follow from the summed code lengths.
+
+Training reads the texts once. Counts are exact sums over all tasks. Weights and adaptive map are learned
+online in each task, step by step on its own counts so far, a prediction never using the occurrence that it
+predicts; the tasks' weights are averaged by bytes seen, their maps added. All is frozen for scoring, so
+a score depends neither on the order of documents nor on their partition. A symbol with its contexts recurs
+often: equal ones are worked out once per block.
 """
 
 from __future__ import annotations
@@ -29,281 +29,344 @@ from pyspark.sql import types as T
 
 from apexframe.llm.common import id_type, renamed, slices, stored, texts
 
-ORDERS = 5
-PREDICTORS = ORDERS + 1
-TABLE_BITS = 21  # slots of each predictor's table: the model has a fixed size of 2 * PREDICTORS * 2^21 counts
+ORDERS = (1, 2, 3, 5)  # bytes of context
+LEAST_TIMES = (1, 1, 1, 2, 2)  # a context and symbol met less often in a task's block is not worth a slot
+BACK = 5  # bytes a key holds in full, FAR with its hash
+FAR = 9
+PREDICTORS = len(ORDERS) + 1
+TABLE_BITS = (16, 20, 21, 22, 23)  # slots of each predictor's table
+OFFSETS = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS])))  # the model's fixed size: two counts for each slot
 BLOCK_BITS = 16
-BUCKETS = 32  # of the adaptive map
+BUCKETS = 33  # of the adaptive map
 SLICE = 4 << 20  # bytes of text worked on at once
-STEP = 8_192  # distinct symbols of one online step
-END = 0xFF  # closes a text; no UTF-8 text holds it
-PAD = bytes(ORDERS)
-GATES = (PREDICTORS + 1) * 256
+BLOCK = 1_500_000  # distinct symbols gathered before they are counted and learned from
+STEP = 16_384  # distinct symbols of one online step
+END_BYTE = b"\xff"  # closes a text; no UTF-8 text holds it
+PAD = bytes(FAR)
+WORD_LEVELS = 5
+LEVEL_OF = np.log2(np.arange(16) + 1).astype(np.int64)  # by times the word so far was met: 0, 1, 3, 7, 15 and more
+GATES = WORD_LEVELS * (len(ORDERS) + 1) * 256
 HOT_WORDS = 300_000  # words more frequent than one in so many are at most so many: their counts go to all tasks
-FIXED = 1 << 32
-SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-BASE = np.uint64(0x100000001B3)
-INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+SALT = np.uint64(0x9E3779B97F4A7C15)
+NODE_SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass
 class Model:
-    """ones and zeros: (PREDICTORS, slots) counts; weights: (GATES, PREDICTORS); refine: (256, BUCKETS, 2) counts."""
+    """counts (slots, 2) of zeros and ones; weights (GATES, PREDICTORS); refine (256 * BUCKETS, 2) counts."""
 
-    zeros: np.ndarray
-    ones: np.ndarray
+    counts: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
 
 
+def empty_refine() -> np.ndarray:
+    return np.zeros((256 * BUCKETS, 2))
+
+
 # --- symbols -----------------------------------------------------------------
 
 
 def symbols(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all symbols of ``batch``, the end of each text included, and where each text starts.
 
-    A key holds the symbol (8 bits), the five bytes before it (40) and a hash of the word so far (16).
-    Lower-cases A-Z. Texts do not see each other.
+    From the top a key holds the symbol, the five bytes before it, the nearest first, and 16 bits of hash of the
+    sixth to ninth as far as they are in the same word. Lower-cases A-Z. Texts do not see each other.
     """
-    data = np.frombuffer(b"".join([PAD + x.lower() + b"\xff" for x in batch]), np.uint8)
-    sizes = np.fromiter((len(x) + 1 for x in batch), np.int64, len(batch))
+    data = np.frombuffer(b"".join([part for x in batch for part in (PAD, x.lower(), END_BYTE)]), np.uint8)
+    sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
     own = np.ones(len(data), bool)
-    starts = np.concatenate(([0], np.cumsum(sizes + ORDERS)[:-1])).astype(np.int64)
-    for k in range(ORDERS):
-        own[starts + k] = False
-    wide = data.astype(np.uint64)
-    key = wide.copy()
-    for k in range(1, ORDERS + 1):
-        key[k:] |= wide[:-k] << np.uint64(8 * k)
-    key |= word_hashes(data, wide) << np.uint64(48)
-    return key[own], np.concatenate(([0], np.cumsum(sizes)))
-
-
-def word_hashes(data: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """16-bit hash, before each byte, of the bytes since the last one up to a space."""
-    n = len(data)
-    powers = np.empty(n, np.uint64)
-    powers[:] = INVERSE
-    powers[0] = 1
-    down = np.multiply.accumulate(powers)
-    powers[1:] = BASE
-    up = np.multiply.accumulate(powers)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * down, dtype=np.uint64)))  # total[i]: bytes before i
-    at = np.arange(n)
-    begin = np.zeros(n, np.int64)
-    begin[1:] = np.where(data[:-1] <= 32, at[1:], 0)
-    begin = np.maximum.accumulate(begin)
-    value = (total[:-1] - total[begin]) * up
-    return (value * SALTS[0]) >> np.uint64(48)
-
-
-def contexts(keys: np.ndarray) -> list[np.ndarray]:
-    """A hash of each predictor's context."""
-    out = []
-    for k in range(1, ORDERS + 1):
-        context = (keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)
-        out.append((context + np.uint64(k)) * SALTS[k - 1])
-    out.append(((keys >> np.uint64(48)) + np.uint64(77)) * SALTS[5])
-    return out
-
+    starts = np.concatenate(([0], np.cumsum(sizes + len(PAD))[:-1]))
+    own[(starts[:, None] + np.arange(len(PAD))).ravel()] = False
+    letter = data > 32
+    inside = np.zeros(len(data), bool)  # the k bytes before are of one word
+    inside[1:] = letter[:-1]
+    for k in range(2, BACK + 1):
+        inside[k:] &= letter[:-k]
+    far = np.zeros(len(data), np.uint16)
+    for k, factor in zip(range(BACK + 1, FAR + 1), (40503, 27961, 52391, 36277)):
+        inside[k:] &= letter[:-k]
+        far[k:] += (data[:-k] * np.uint16(factor)) * inside[k:]
+    raw = np.zeros((len(data), 8), np.uint8)
+    raw[:, :2] = far.view(np.uint8).reshape(-1, 2)
+    for k in range(BACK + 1):
+        raw[k:, 7 - k] = data[: len(data) - k]
+    return raw.view("<u8")[own, 0], np.concatenate(([0], np.cumsum(sizes)))
+
+
+def distinct(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    if times is not None:
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+    else:
+        keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys))) if times is None else np.add.reduceat(times, first)
+
+
+def word_context(keys: np.ndarray) -> np.ndarray:
+    """The bytes of the word so far, the nearest first, zero beyond it, and the hash of those further off."""
+    out = np.zeros(len(keys), np.uint64)
+    inside = np.ones(len(keys), bool)
+    for k in range(1, BACK + 1):
+        byte = (keys >> np.uint64(56 - 8 * k)) & np.uint64(255)
+        inside &= byte > 32
+        out |= np.where(inside, byte, np.uint64(0)) << np.uint64(8 * k - 8)
+    return out | ((keys & np.uint64(0xFFFF)) << np.uint64(40)) * inside
+
+
+class Contexts:
+    """For sorted distinct keys: per predictor the distinct (context, symbol), and where each key finds its own."""
+
+    def __init__(self, keys: np.ndarray):
+        self.symbol = (keys >> np.uint64(56)).astype(np.int64)
+        self.groups = []
+        for k in ORDERS:
+            self._add(keys >> np.uint64(56 - 8 * k), np.uint64((1 << (8 * k)) - 1))
+        word = word_context(keys)  # in sorted keys equal ones, with equal symbols, are neighbours too
+        self._add(word | (keys >> np.uint64(56) << np.uint64(56)), np.uint64((1 << 56) - 1))
+
+    def _add(self, value: np.ndarray, context: np.uint64) -> None:
+        first = np.concatenate(([True], value[1:] != value[:-1]))
+        at = np.flatnonzero(first)
+        own = None if len(at) == len(value) else np.cumsum(first) - 1
+        self.groups.append((at, own, ((value[at] & context) + np.uint64(1)) * SALT, self.symbol[at]))
+
+    def slots(self, k: int, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of predictor k for the decision on ``bit``, and the bits taken."""
+        _, _, context, symbol = self.groups[k]
+        mix = (context ^ (context >> np.uint64(31))) + ((symbol | 256) >> (bit + 1)).view(np.uint64) * NODE_SALT
+        mix ^= mix >> np.uint64(29)
+        return ((mix * SALT) >> np.uint64(64 - TABLE_BITS[k])).view(np.int64) + OFFSETS[k], (symbol >> bit) & 1
+
+    def count_into(self, counts: np.ndarray, times: np.ndarray) -> None:
+        flat = counts.reshape(-1)
+        for k, (at, _, _, _) in enumerate(self.groups):
+            n = np.add.reduceat(times, at).astype(counts.dtype)
+            keep = n >= LEAST_TIMES[k]
+            for bit in range(8):
+                slot, taken = self.slots(k, bit)
+                np.add.at(flat, (2 * slot + taken)[keep], n[keep])
+
+    def looked_up(self, counts: np.ndarray, bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds (PREDICTORS, n) of a one, and the gate's upper part. ``leave_out``: without one own occurrence."""
+        rows, seen, level = [], 0, None
+        wide = np.dtype(f"<u{2 * counts.itemsize}")  # a slot's two counts in one access
+        pairs, half = counts.reshape(-1).view(wide), wide.type(4 * wide.itemsize)
+        low = wide.type((1 << int(half)) - 1)
+        for k, (_, own, _, _) in enumerate(self.groups):
+            slot, taken = self.slots(k, bit)
+            pair = pairs[slot]
+            zero, one = (pair & low).astype(np.float32), (pair >> half).astype(np.float32)
+            if leave_out:
+                one = np.maximum(one - taken.astype(np.float32), 0)
+                zero = np.maximum(zero - (1 - taken).astype(np.float32), 0)
+            total = one + zero
+            odds = np.log((one + np.float32(0.2)) / (zero + np.float32(0.2)))
+            if k == len(ORDERS):
+                level = LEVEL_OF[np.minimum(total if own is None else total[own], 15).astype(np.int64)]
+            else:
+                known = (total > 0).astype(np.int64)
+                seen = seen + (known if own is None else known[own])
+            rows.append(odds if own is None else odds[own])
+        return rows, level * (len(ORDERS) + 1) + seen
 
-def nodes(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each of the eight decisions: the partial byte (1 to 255), and the bit taken."""
-    symbol = (keys & np.uint64(255)).astype(np.int64)
-    for bit in range(7, -1, -1):
-        yield (symbol | 256) >> (bit + 1), (symbol >> bit) & 1
-
-
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    mixed = (context ^ (context >> np.uint64(29))) + node.astype(np.uint64) * SALTS[2]
-    return ((mixed * SALTS[3]) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
 
-# --- counts ------------------------------------------------------------------
 
+def cell_of(node: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return node * BUCKETS + np.clip(np.rint(x * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
 
-def count_into(zeros: np.ndarray, ones: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
-    for k, context in enumerate(contexts(keys)):
-        for node, bit in nodes(keys):
-            slot = slots(context, node)
-            np.add.at(ones[k], slot, times * bit)
-            np.add.at(zeros[k], slot, times * (1 - bit))
 
+def fresh_weights() -> np.ndarray:
+    return np.full((GATES, PREDICTORS), 0.3, np.float32)
 
-def _sparse(counts: np.ndarray) -> bytes:
-    """Compressed gaps (16 bits: a block has 2^16 slots) and values of what is not zero."""
-    at = np.flatnonzero(counts)
-    gaps = np.diff(at, prepend=0).astype("<u2")
-    return zlib.compress(len(at).to_bytes(4, "little") + gaps.tobytes() + counts[at].astype("<u4").tobytes(), 1)
 
+def mixed(odds: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    chosen = weights[gate]
+    x = odds[0] * chosen[:, 0]
+    for k in range(1, PREDICTORS):
+        x += odds[k] * chosen[:, k]
+    return x
 
-def _add(block: np.ndarray, data: bytes) -> None:
-    raw = zlib.decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    at = np.cumsum(np.frombuffer(raw, "<u2", n, 4).astype(np.int64))
-    block[at] += np.frombuffer(raw, "<u4", n, 4 + 2 * n)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = np.zeros((2, PREDICTORS, 1 << TABLE_BITS), np.uint32)
-    for batch in slices(batches, "text", SLICE):
-        keys, _ = symbols(texts(batch))
-        count_into(tables[0], tables[1], *_distinct(keys))
-    flat = tables.reshape(-1, 1 << BLOCK_BITS)
-    for i, block in enumerate(flat):
-        if block.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_sparse(block)], pa.binary())], ["block", "data"])
 
+def learn(model: Model, keys: np.ndarray, times: np.ndarray, square: np.ndarray, rate: float = 0.02) -> None:
+    """Online steps over distinct symbols, each weighed by its number; changes weights and adaptive map.
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks of this partition, as 16-bit counts: larger pairs are scaled by the reader."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, data in zip(batch["block"].to_pylist(), batch["data"]):
-            _add(sums.setdefault(i, np.zeros(1 << BLOCK_BITS, np.int64)), data.as_py())
-    for i, block in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(block.astype("<f4").tobytes(), 1)], pa.binary())], ["block", "data"])
+    Steps take every m-th of the sorted symbols, so each meets all kinds.
+    """
+    steps = max(1, -(-len(keys) // STEP))
+    for s in range(steps):
+        key, n = keys[s::steps], times[s::steps].astype(np.float32)
+        found = Contexts(key)
+        for bit in range(7, -1, -1):
+            odds, gate = found.looked_up(model.counts, bit, True)
+            node, taken = (found.symbol | 256) >> (bit + 1), (found.symbol >> bit) & 1
+            gate = gate * 256 + node
+            x = mixed(odds, model.weights, gate)
+            error = (taken - squash(x)) * n
+            model.refine += np.bincount(2 * cell_of(node, x) + taken, n, model.refine.size).reshape(-1, 2)
+            total = np.bincount(gate, n, GATES)
+            hit = np.flatnonzero(total)
+            step = np.stack([np.bincount(gate, error * row, GATES)[hit] for row in odds], axis=1) / total[hit, None]
+            square[hit] = 0.9 * square[hit] + 0.1 * step * step
+            model.weights[hit] += rate * step / (np.sqrt(square[hit]) + 1e-2)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ordered = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(keys) else np.empty(0, np.int64)
-    return ordered[first], np.diff(np.append(first, len(keys)))
+def code_lengths(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Bits of each of the sorted distinct ``keys`` under the frozen model."""
+    bits = np.zeros(len(keys))
+    total = model.refine.sum(axis=1)
+    refined = ((model.refine[:, 1] + 0.5) / (total + 1)).astype(np.float32)
+    trust = (0.5 * total / (total + 50)).astype(np.float32)
+    for at in range(0, len(keys), STEP):
+        found = Contexts(keys[at : at + STEP])
+        chance = np.ones(len(found.symbol), np.float64)
+        for bit in range(7, -1, -1):
+            odds, gate = found.looked_up(model.counts, bit, False)
+            node, taken = (found.symbol | 256) >> (bit + 1), (found.symbol >> bit) & 1
+            x = mixed(odds, model.weights, gate * 256 + node)
+            p, cell = squash(x), cell_of(node, x)
+            p = np.clip(p + trust[cell] * (refined[cell] - p), np.float32(1e-5), np.float32(1 - 1e-5))
+            chance *= np.where(taken == 1, p, 1 - p)
+        bits[at : at + STEP] = -np.log2(chance)
+    return bits
 
 
-def _tables(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all training texts. The driver gets one row for each block of a table of fixed size."""
-    sums = train.select("text").mapInArrow(_counts, "block int, data binary").repartition("block").mapInArrow(_summed, "block int, data binary")
-    tables = np.zeros((2, PREDICTORS, 1 << TABLE_BITS), np.float32)
-    flat = tables.reshape(-1, 1 << BLOCK_BITS)
-    for row in sums.toLocalIterator():
-        flat[row.block] = np.frombuffer(zlib.decompress(row.data), "<f4")
-    scale = np.minimum(1.0, 60_000 / np.maximum(tables.sum(axis=0), 1)).astype(np.float32)
-    return np.ceil(tables[0] * scale).astype(np.uint16), np.ceil(tables[1] * scale).astype(np.uint16)
+class Lengths:
+    """Code lengths of the symbols met so far under one model, the latest ``most`` of them at least."""
 
+    def __init__(self, model: Model, most: int = 3_000_000):
+        self.model, self.most = model, most
+        self.keys, self.bits = np.empty(0, np.uint64), np.empty(0)
 
-# --- mixing ------------------------------------------------------------------
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of each of ``keys``, in their order."""
+        mine, _ = distinct(keys)
+        at = np.minimum(np.searchsorted(self.keys, mine), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == mine if len(self.keys) else np.zeros(len(mine), bool)
+        bits = np.empty(len(mine))
+        bits[known] = self.bits[at[known]]
+        bits[~known] = code_lengths(self.model, mine[~known])
+        if len(self.keys) + int((~known).sum()) > self.most:
+            self.keys, self.bits = mine, bits
+        else:
+            where = np.searchsorted(self.keys, mine[~known])
+            self.keys, self.bits = np.insert(self.keys, where, mine[~known]), np.insert(self.bits, where, bits[~known])
+        return spread(keys, mine, bits)
 
 
-def looked_up(model: Model, found: list[np.ndarray], node: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds (n, PREDICTORS) of a one, and the gate. ``own`` is the bit whose single occurrence is left out."""
-    odds = np.empty((len(node), PREDICTORS), np.float32)
-    seen = np.zeros(len(node), np.int64)
-    for k, context in enumerate(found):
-        slot = slots(context, node)
-        zero, one = model.zeros[k][slot].astype(np.float32), model.ones[k][slot].astype(np.float32)
-        if own is not None:
-            one = np.maximum(one - own, 0)
-            zero = np.maximum(zero - (1 - own), 0)
-        odds[:, k] = np.log((one + 0.4) / (zero + 0.4))
-        seen += (one + zero) > 0
-    return odds, seen * 256 + node
+def spread(keys: np.ndarray, mine: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """bits[i] for each key equal to mine[i], by hash tables: keys displaced from one go to the next."""
+    out = np.zeros(len(keys))
+    shift = np.uint64(64 - max(8, int(2 * len(mine)).bit_length()))
+    todo, left, salt = np.arange(len(keys)), np.arange(len(mine)), SALT
+    while len(left):
+        cells = np.full(1 << (64 - int(shift)), -1, np.int32)
+        cells[(mine[left] * salt) >> shift] = left
+        found = cells[(keys * salt) >> shift]
+        same = (mine[found] == keys) & (found >= 0)
+        out[todo[same]] = bits[found[same]]
+        keys, todo = keys[~same], todo[~same]
+        held = np.zeros(len(mine), bool)
+        held[cells[cells >= 0]] = True
+        left = left[~held[left]]
+        salt = (salt << np.uint64(7)) ^ (salt >> np.uint64(9)) | np.uint64(1)
+    return out
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
+# --- counts of tasks ---------------------------------------------------------
 
 
-def bucket(x: np.ndarray) -> np.ndarray:
-    return np.clip((x + 8) * (BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
+def _sparse(counts: np.ndarray) -> bytes:
+    """Compressed gaps (16 bits: a block has 2^16 counts) and values of what is not zero."""
+    at = np.flatnonzero(counts)
+    gaps = np.diff(at, prepend=0).astype("<u2")
+    values = counts[at]
+    small = np.minimum(values, 255).astype(np.uint8)
+    return zlib.compress(len(at).to_bytes(4, "little") + gaps.tobytes() + small.tobytes() + values[values >= 255].astype("<u8").tobytes(), 1)
 
 
-def fresh_weights() -> np.ndarray:
-    return np.full((GATES, PREDICTORS), 0.3, np.float64)
+def _add(block: np.ndarray, data: bytes) -> None:
+    raw = zlib.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    at = np.cumsum(np.frombuffer(raw, "<u2", n, 4).astype(np.int64))
+    values = np.frombuffer(raw, np.uint8, n, 4 + 2 * n).astype(np.int64)
+    values[values == 255] = np.frombuffer(raw, "<u8", -1, 4 + 3 * n).astype(np.int64)
+    block[at] += values
 
 
-def learn(model: Model, keys: np.ndarray, times: np.ndarray, square: np.ndarray, rate: float = 0.02) -> None:
-    """Online steps over distinct symbols, each weighed by its number; changes weights and adaptive map."""
-    order = np.argsort(keys * SALTS[4], kind="stable")  # a fixed shuffle
-    for at in range(0, len(keys), STEP):
-        part = order[at : at + STEP]
-        key, n = keys[part], times[part].astype(np.float64)
-        found = contexts(key)
-        for node, bit in nodes(key):
-            odds, gate = looked_up(model, found, node, bit)
-            x = np.einsum("ij,ij->i", odds, model.weights[gate])
-            error = (bit - squash(x)) * n
-            np.add.at(model.refine, (node, bucket(x), bit), n)
-            total = np.bincount(gate, n, GATES)
-            hit = np.flatnonzero(total)
-            step = np.stack([np.bincount(gate, error * odds[:, k], GATES)[hit] for k in range(PREDICTORS)], axis=1) / total[hit, None]
-            square[hit] = 0.9 * square[hit] + 0.1 * step * step
-            model.weights[hit] += rate * step / (np.sqrt(square[hit]) + 1e-3)
+def _trained_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts as rows (0, block, data), its weights as (1, 0, data) and its map as (2, 0, data)."""
+    model = Model(np.zeros((OFFSETS[-1], 2), np.uint32), fresh_weights(), empty_refine())
+    square, seen = np.full(model.weights.shape, 1e-2, np.float32), 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
+    def take() -> None:
+        keys, times = distinct(np.concatenate([k for k, _ in held]), np.concatenate([t for _, t in held])) if len(held) > 1 else held[0]
+        for at in range(0, len(keys), STEP):
+            Contexts(keys[at : at + STEP]).count_into(model.counts, times[at : at + STEP])
+        learn(model, keys, times, square)
 
-def code_lengths(model: Model, keys: np.ndarray) -> np.ndarray:
-    """Bits of each distinct symbol under the frozen model."""
-    bits = np.zeros(len(keys))
-    refined = (model.refine[..., 1] + 0.5) / (model.refine.sum(axis=2) + 1.0)
-    held = model.refine.sum(axis=2) / (model.refine.sum(axis=2) + 50.0)  # trust in the refined value
-    for at in range(0, len(keys), STEP):
-        key = keys[at : at + STEP]
-        found = contexts(key)
-        for node, bit in nodes(key):
-            odds, gate = looked_up(model, found, node)
-            x = np.einsum("ij,ij->i", odds, model.weights[gate])
-            p, cell = squash(x), (node, bucket(x))
-            p = p + 0.5 * held[cell] * (refined[cell] - p)
-            p = np.clip(p, 1e-5, 1 - 1e-5)
-            bits[at : at + STEP] -= np.log2(np.where(bit == 1, p, 1 - p))
-    return bits
+    for batch in slices(batches, "text", SLICE):
+        keys, _ = symbols(texts(batch))
+        seen += len(keys)
+        held.append(distinct(keys))
+        size += len(held[-1][0])
+        if size > BLOCK:
+            take()
+            held, size = [], 0
+    if held:
+        take()
+    if seen:
+        flat = model.counts.reshape(-1, 1 << BLOCK_BITS)
+        rows = [(0, i, _sparse(block)) for i, block in enumerate(flat) if block.any()]
+        weights = np.rint(np.clip(model.weights, -100, 100) * 1024).astype(np.int64) * seen  # whole numbers: their sums do not depend on the order
+        rows.append((1, 0, np.append(weights.ravel(), seen).tobytes()))
+        rows.append((2, 0, np.rint(model.refine).astype(np.int64).tobytes()))
+        for row in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.binary())], ["kind", "block", "data"])
 
 
-def sums_by_text(model: Model, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bits of each text."""
-    distinct, _ = _distinct(keys)
-    bits = code_lengths(model, distinct)
-    out = np.zeros(len(keys))
-    size = 1 << max(8, int(2 * len(distinct)).bit_length())
-    todo, left = None, np.arange(len(distinct))
-    for salt in SALTS:  # a hash table; what is displaced goes to the next one
-        if not len(left):
-            break
-        cell = np.full(size, -1, np.int32)
-        cell[(distinct[left] * salt) >> np.uint64(64 - size.bit_length() + 1)] = left
-        key = keys if todo is None else keys[todo]
-        found = cell[(key * salt) >> np.uint64(64 - size.bit_length() + 1)]
-        same = (found >= 0) & (distinct[found] == key)
-        at = np.flatnonzero(same) if todo is None else todo[same]
-        out[at] = bits[found[same]]
-        todo = np.flatnonzero(~same) if todo is None else todo[~same]
-        kept = cell[cell >= 0]
-        left = np.setdiff1d(left, kept, assume_unique=True)
-    if todo is not None and len(todo):
-        out[todo] = bits[np.searchsorted(distinct, keys[todo])]
-    return np.add.reduceat(out, starts[:-1])
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of this partition by kind and block."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for kind, i, data in zip(batch["kind"].to_pylist(), batch["block"].to_pylist(), batch["data"]):
+            if kind == 0:
+                _add(sums.setdefault((kind, i), np.zeros(1 << BLOCK_BITS, np.int64)), data.as_py())
+            else:
+                values = np.frombuffer(data.as_py(), np.int64).astype(object if kind == 1 else np.int64)
+                sums[kind, i] = sums[kind, i] + values if (kind, i) in sums else values
+    for (kind, i), values in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([i], pa.int32()), pa.array([zlib.compress(values.astype("<f8").tobytes(), 1)], pa.binary())], ["kind", "block", "data"])
 
 
 # --- Spark -------------------------------------------------------------------
 
 
 def trained(train: DataFrame) -> Model:
-    """A model of ``train(text)``."""
-    zeros, ones = _tables(train)
-    shared = train.sparkSession.sparkContext.broadcast((zeros, ones))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value, fresh_weights(), np.zeros((256, BUCKETS, 2)))
-        square, seen = np.full(model.weights.shape, 1e-2), 0
-        for batch in slices(batches, "text", SLICE):
-            keys, _ = symbols(texts(batch))
-            learn(model, *_distinct(keys), square)
-            seen += len(keys)
-        if seen:  # whole numbers: sums do not depend on their order
-            weights = np.rint(np.clip(model.weights, -100, 100) * 1024).astype(np.int64).ravel() * seen
-            refine = np.rint(model.refine).astype(np.int64).ravel()
-            values = np.concatenate(([seen], weights, refine))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)) // 1024, pa.int32()), pa.array((np.arange(len(values)) % 1024).astype(np.int32)), pa.array(values)], ["part", "i", "v"])
-
-    sums = train.select("text").mapInArrow(run, "part int, i int, v long").groupBy("part", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
-    size = 1 + GATES * PREDICTORS + 256 * BUCKETS * 2
-    values = np.zeros(size)
-    for row in sums.select((F.col("part") * 1024 + F.col("i")).alias("i"), F.col("v").cast("double").alias("v")).collect():  # one row for each parameter
-        values[row.i] = row.v
-    weights = values[1 : 1 + GATES * PREDICTORS].reshape(GATES, PREDICTORS) / max(values[0], 1) / 1024
-    if not values[0]:
-        weights = fresh_weights()
-    return Model(zeros, ones, weights, values[1 + GATES * PREDICTORS :].reshape(256, BUCKETS, 2))
+    """A model of ``train(text)``. The driver gets one row for each block of a model of fixed size."""
+    rows = train.select("text").mapInArrow(_trained_part, "kind int, block int, data binary")
+    sums = rows.repartition("kind", "block").mapInArrow(_summed, "kind int, block int, data binary")
+    counts, weights, refine = np.zeros((OFFSETS[-1], 2), np.uint16), fresh_weights(), empty_refine()
+    flat = counts.reshape(-1, 1 << (BLOCK_BITS - 1), 2)
+    for row in sums.toLocalIterator():
+        values = np.frombuffer(zlib.decompress(row.data), "<f8")
+        if row.kind == 0:  # pairs too large for 16 bits are scaled
+            pairs = values.reshape(-1, 2)
+            flat[row.block] = np.ceil(pairs * np.minimum(1.0, 60_000 / np.maximum(pairs.max(axis=1, keepdims=True), 1)))
+        elif row.kind == 1:
+            weights = (values[:-1] / values[-1] / 1024).astype(np.float32).reshape(weights.shape)
+        else:
+            refine = values.reshape(refine.shape)
+    return Model(counts, weights, refine)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -351,15 +414,16 @@ def scores(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int
     hot = {bytes(r.word): r.c for r in counted.where(F.col("c") > total / HOT_WORDS).collect()}
     tail = counted.where(F.col("c") <= total / HOT_WORDS)
     model = trained(train)
-    shared = docs.sparkSession.sparkContext.broadcast((model, hot))
+    shared = docs.sparkSession.sparkContext.broadcast((Lengths(model), hot))
     bottom = np.log10(total + 0.5 * (kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot = shared.value
+        lengths, hot = shared.value  # one object for all tasks of a worker
         value = {word: float(np.log10(c + 0.5)) for word, c in hot.items()}
         for batch in slices(batches, "text", SLICE):
             found = texts(batch)
-            bits = sums_by_text(model, *symbols(found))
+            keys, starts = symbols(found)
+            bits = np.add.reduceat(lengths.of(keys), starts[:-1])
             out: list[tuple] = []
             rare_words, rare_times, offsets = [], [], [0]
             for x in found:
