@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from apexframe.llm.common import id_type, renamed, shared_path, slices, stored
 
-REMEMBERED = 400_000  # units that a worker remembers before it starts anew
-REMEMBERED_CHARS = 8 << 20  # their characters
+REMEMBERED = 800_000  # units that a worker remembers before it starts anew
+REMEMBERED_CHARS = 16 << 20  # their characters
 ORC = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
     "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zlib",
