@@ -16,18 +16,46 @@ from apexframe.llm.common import renamed, stored
 
 LEAST_WORDS = 5
 FULL, DELETED, REPLACED = 0, 1, 2
+FILTER_BITS = 1 << 24
 
 
 def _words(line: str) -> Column:
     return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
-def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, text_hash, line_no, words, n, h1, h2)`` of every line; (h1, h2) stands for its words."""
-    rows = renamed(docs, doc_id=key, text=text).withColumn("text_hash", F.xxhash64("text"))
+def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return renamed(docs, doc_id=key, text=text).withColumn("text_hash", F.xxhash64("text"))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, line_no, words, n)`` of every line."""
     each = rows.select("doc_id", "text_hash", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "text_hash", "line_no", _words("line").alias("words"))
-    return each.select("*", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
+    return each.select("doc_id", "text_hash", "line_no", _words("line").alias("words")).withColumn("n", F.size("words"))
+
+
+def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(doc_id, text_hash, line_no, n, h1, h2, half0 to half3)`` of every line: (h1, h2) stands for its words,
+    the halves, null for short lines, for what it shares with a line one edit away."""
+    each = _exploded(_rows(docs, text, key))
+    long, short = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
+    part = lambda prefix, h: F.xxhash64(F.slice("words", F.lit(1), h) if prefix else F.slice("words", F.col("n") - h + 1, h))
+    same = F.col("n") % 2 == 1
+    each = each.withColumn("p", F.when(F.col("n") >= LEAST_WORDS, part(True, long))).withColumn("s", F.when(F.col("n") >= LEAST_WORDS, part(False, long)))
+    halves = [  # a half's key holds the side and the words of the shorter line
+        F.xxhash64(F.lit(True), "n", "p"), F.xxhash64(F.lit(True), F.col("n") - 1, F.when(same, F.col("p")).otherwise(part(True, short))),
+        F.xxhash64(F.lit(False), "n", "s"), F.xxhash64(F.lit(False), F.col("n") - 1, F.when(same, F.col("s")).otherwise(part(False, short)))]
+    return each.select(
+        "doc_id", "text_hash", "line_no", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
+        *[F.when(F.col("n") >= LEAST_WORDS, h).alias(f"half{i}") for i, h in enumerate(halves)])
+
+
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose long ``column`` may be in ``wanted``: a Bloom filter of fixed size, FILTER_BITS / 64 rows of 64
+    bits, is sent to all tasks. Rows that only share a bit pass too; a join settles them."""
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS))
+    bits = wanted.select(place(column).alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 AS int))")).alias("_bits"))
+    tested = rows.withColumn("_bit", place(column)).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(bits), "_word")
+    return tested.where(F.getbit("_bits", (F.col("_bit") % 64).cast("int")) == 1).select(*rows.columns)
 
 
 def _place() -> Column:
@@ -35,13 +63,6 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no")
 
 
-def _half(prefix: bool, shorter: Column) -> Column:
-    """Key of the half that a line shares with a partner if the shorter of both has ``shorter`` words."""
-    h = F.floor(shorter / 2).cast("int")
-    part = F.slice("words", F.lit(1), h) if prefix else F.slice("words", F.col("n") - h + 1, h)
-    return F.xxhash64(F.lit(prefix), shorter, part)
-
-
 def _rest(prefix: Column, shorter: Column) -> Column:
     h = F.floor(shorter / 2).cast("int")
     return F.when(prefix, F.slice("words", h + 1, F.col("n") - h)).otherwise(F.slice("words", F.lit(1), F.col("n") - h))
@@ -61,8 +82,8 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(n == m, F.size(F.filter(differ, lambda x: x)) == 1).when(F.abs(n - m) == 1, _without(longer, at) == shorter).otherwise(False)
 
 
-def near_lines(each: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``(h1, h2)`` of the lines with an earlier line one edit apart."""
+def near_lines(docs: DataFrame, distinct: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(h1, h2)`` of the ``distinct`` lines with an earlier line one edit apart."""
     # halves: (key, whether the line is the longer of the pair); a line can be either
     sides = [(True, 0), (True, 1), (False, 0), (False, 1)]
     entries = F.array(*[F.struct(F.col(f"half{i}").alias("half"), F.lit(p).alias("prefix"), F.lit(d).alias("longer")) for i, (p, d) in enumerate(sides)])
@@ -71,26 +92,29 @@ def near_lines(each: DataFrame, distinct: DataFrame) -> DataFrame:
     counts = counts.select("half", (F.col("short") > 1).alias("replace"), ((F.col("short") > 0) & (F.col("long") > 0)).alias("delete"))
     paired = halves.join(counts.where("replace or delete"), "half").where("delete or (replace and longer = 0)")
     roles = paired.groupBy("h1", "h2").agg(F.collect_list(F.struct("half", "prefix", "longer", "replace", "delete")).alias("roles"))  # four at most
+    known = stored(distinct.join(roles, ["h1", "h2"]).select("h1", "h2", "first", "first.text_hash", "first.line_no", "roles"), "near-roles")
     # the words of those lines, from where they first stand
-    texts = each.where(F.col("n") >= LEAST_WORDS).select("h1", "h2", _place().alias("first"), "words", "n")
-    known = distinct.join(roles, ["h1", "h2"]).select("h1", "h2", "first", "roles")
-    kept = stored(texts.join(known, ["h1", "h2", "first"]).dropDuplicates(["h1", "h2"]), "near-candidates")
+    rows = _among(_rows(docs, text, key), "text_hash", known)
+    texts = _exploded(rows).where(F.col("n") >= LEAST_WORDS).withColumn("first", _place())
+    kept = texts.join(known, ["text_hash", "line_no", "first"]).select("h1", "h2", "first", "roles", "words", "n").dropDuplicates(["h1", "h2"])
+    kept = stored(kept, "near-candidates")
     role = kept.select("h1", "h2", "first", "words", "n", F.explode("roles").alias("r"))
     role = role.select("h1", "h2", "first", "r.*", _rest(F.col("r.prefix"), F.col("n") - F.col("r.longer")).alias("rest"))
     at = F.sequence(F.lit(1), F.size("rest"))
-    seeded = lambda kind, i, words: F.struct(
-        F.xxhash64("half", i, words).alias("k1"), F.xxhash64(F.lit(1), "half", i, words).alias("k2"), F.lit(kind).alias("kind"))
-    none = F.array().cast("array<struct<k1: bigint, k2: bigint, kind: int>>")
+    # hashing a list folds its words, so two pieces hash like their concatenation
+    less = lambda i: (F.slice("rest", F.lit(1), i - 1), F.slice("rest", i + 1, F.size("rest")))
+    entry = lambda kind, i, *words: F.struct(F.xxhash64("half", i, *words).alias("variant"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<variant: bigint, kind: int>>")
     variants = F.concat(
-        F.when(F.col("delete") & (F.col("longer") == 0), F.array(seeded(FULL, F.lit(0), F.col("rest")))).otherwise(none),
-        F.when(F.col("delete") & (F.col("longer") == 1), F.transform(at, lambda i: seeded(DELETED, F.lit(0), _without(F.col("rest"), i)))).otherwise(none),
-        F.when(F.col("replace") & (F.col("longer") == 0), F.transform(at, lambda i: seeded(REPLACED, i, _without(F.col("rest"), i)))).otherwise(none))
-    keyed = role.select("h1", "h2", "first", F.explode(variants).alias("v")).select("h1", "h2", "first", "v.*").distinct()
+        F.when(F.col("delete") & (F.col("longer") == 0), F.array(entry(FULL, F.lit(0), F.col("rest")))).otherwise(none),
+        F.when(F.col("delete") & (F.col("longer") == 1), F.transform(at, lambda i: entry(DELETED, F.lit(0), *less(i)))).otherwise(none),
+        F.when(F.col("replace") & (F.col("longer") == 0), F.transform(at, lambda i: entry(REPLACED, i, *less(i)))).otherwise(none))
+    keyed = role.select("h1", "h2", "first", "half", F.explode(F.array_distinct(variants)).alias("v")).select("h1", "h2", "first", "half", "v.*")
     best = F.struct("first", "h1", "h2")
-    met = keyed.groupBy("k1", "k2").agg(
+    met = keyed.groupBy("half", "variant").agg(
         *[F.min(F.when(F.col("kind") == kind, best)).alias(f"b{kind}") for kind in (FULL, DELETED, REPLACED)], F.count(F.lit(1)).alias("rows")).where("rows > 1")
     other = F.when(F.col("kind") == FULL, F.col(f"b{DELETED}")).when(F.col("kind") == DELETED, F.col(f"b{FULL}")).otherwise(F.col(f"b{REPLACED}"))
-    pairs = keyed.join(met, ["k1", "k2"]).select("h1", "h2", "first", other.alias("o")).where("o.first < first")
+    pairs = keyed.join(met, ["half", "variant"]).select("h1", "h2", "first", other.alias("o")).where("o.first < first")
     pairs = pairs.select("h1", "h2", F.col("o.h1").alias("o1"), F.col("o.h2").alias("o2")).distinct()
     mine = kept.select("h1", "h2", F.col("words").alias("a"))
     theirs = kept.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("b"))
@@ -106,12 +130,11 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     one line without words. Rows that repeat both id and text are one document with one row. An empty table
     gives no rows.
     """
-    each = lines(docs, text, key)
-    halves = [_half(True, F.col("n")), _half(True, F.col("n") - 1), _half(False, F.col("n")), _half(False, F.col("n") - 1)]
-    full = each.where("n > 0").select("h1", "h2", "n", _place().alias("first"), *[F.when(F.col("n") >= LEAST_WORDS, h).alias(f"half{i}") for i, h in enumerate(halves)])
+    each = stored(lines(docs, text, key), "lines")
+    full = each.where("n > 0").select("h1", "h2", "n", _place().alias("first"), *[f"half{i}" for i in range(4)])
     distinct = full.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), *[F.first(f"half{i}").alias(f"half{i}") for i in range(4)])
     distinct = stored(distinct, "distinct-lines")
-    near = near_lines(each, distinct).withColumn("near", F.lit(True))
+    near = near_lines(docs, distinct, text, key).withColumn("near", F.lit(True))
     marked = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     placed = each.select("doc_id", "text_hash", "line_no", "h1", "h2", "n").join(marked, ["h1", "h2"], "left")
     exact = F.col("first").isNotNull() & (F.col("first") != _place())
