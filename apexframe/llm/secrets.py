@@ -8,6 +8,9 @@ the lengths of the matches and of the gaps between them.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,9 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-WORD = r"[A-Za-z]{4,}"
+WORD = r"\b[A-Za-z]{3,}[0-9]{0,4}\b"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+LETTERS = 62  # letters and digits; marks that rule lines are drawn with tell nothing
 CLASSES = len(ALPHABET) + 1  # any other character is class 0
 RATIO = 1.0  # nats per character that a span needs
 SAMPLE = 2_000  # documents for each label, those of smallest hash
@@ -72,21 +76,23 @@ def _transitions(values: DataFrame) -> DataFrame:
     return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _log_probability(counts: DataFrame) -> list[float]:
-    """CLASSES x CLASSES values; half of the mass is uniform, so that no string is impossible. At most
-    CLASSES squared rows reach the driver."""
-    import math
-
+def _probability(counts: DataFrame, uniform: float) -> list[float]:
+    """CLASSES x CLASSES probabilities of the next class: counts backed by the classes' own frequencies, mixed
+    with a share that is ``uniform``. At most CLASSES squared rows reach the driver."""
     n = {(r.a, r.b): r.n for r in counts.collect()}
-    total = [sum(n.get((a, b), 0) for b in range(CLASSES)) for a in range(CLASSES)]
-    return [math.log(0.9 * (n.get((a, b), 0) + 0.01) / (total[a] + 0.01 * CLASSES) + 0.1 / CLASSES) for a in range(CLASSES) for b in range(CLASSES)]
+    after, of = Counter(), Counter()
+    for (a, b), times in n.items():
+        after[a] += times
+        of[b] += times
+    own = [(of[b] + 0.5) / (sum(of.values()) + 0.5 * CLASSES) for b in range(CLASSES)]
+    return [(1 - uniform) * (n.get((a, b), 0) + 5 * own[b]) / (after[a] + 5) + uniform / CLASSES for a in range(CLASSES) for b in range(CLASSES)]
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> list[float]:
     """Log-likelihood ratio of each pair of classes, random over ordinary.
 
     Random samples are values of the fixed patterns in ``sample`` documents that may hold some, ordinary ones
-    the words of letters of ``sample`` documents; in both cases those whose id has the smallest hash. Without
+    the words of letters, with up to four digits after them, of ``sample`` documents; in both cases those whose id has the smallest hash. Without
     any sample of a label its model is uniform.
     """
     rows = renamed(docs, doc_id=key, text=text).where("text is not null")
@@ -96,8 +102,9 @@ def trained(docs: DataFrame, sample: int = SAMPLE, text: str = "text", key: str
     # of an assignment only the value is random
     random = found.select(F.expr(f"coalesce(nullif(regexp_extract(s.value, r'{_quoted(ASSIGN)}', 2), ''), s.value)").alias("value"))
     words = first(rows).select(F.explode(F.expr(f"regexp_extract_all(text, r'{WORD}', 0)")).alias("value"))
-    a, b = _log_probability(_transitions(random)), _log_probability(_transitions(words))
-    return [x - y for x, y in zip(a, b)]
+    pairs = zip(_probability(_transitions(random), 0.5), _probability(_transitions(words), 0.001))
+    told = [1 <= a <= LETTERS and 1 <= b <= LETTERS for a in range(CLASSES) for b in range(CLASSES)]
+    return [math.log(x / y) if use else 0.0 for (x, y), use in zip(pairs, told)]
 
 
 def spans(docs: DataFrame, ratios: list[float], threshold: float = RATIO, text: str = "text", key: str = "doc_id") -> DataFrame:
