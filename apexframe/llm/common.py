@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +62,9 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def renamed(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under names of our own, so that other columns cannot clash."""
     return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def in_sample(column: str, share: float) -> Column:
+    """Whether the hash of a value falls into a share of all hashes: the same rows in every table and run, and
+    no sort of candidates that would send each task's best to one place."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))

@@ -8,6 +8,7 @@ words in lines that Viterbi decoding marks as content.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apexframe.llm.common import id_type, renamed, slices, texts
+from apexframe.llm.common import id_type, in_sample, renamed, slices, texts
 
-SAMPLE = 3_000  # labelled documents the field is fitted on, those of smallest hash
+SAMPLE = 3_000  # labelled documents, about, that the field is fitted on
 SAMPLE_BYTES = 20_000  # longer documents are no part of the sample; they are judged like all others
 LEAST_CONTENT = 0.5  # share of words in content lines that a document needs
 LEAST_WORDS = 50
@@ -180,12 +181,17 @@ def fit(samples: list[tuple[bytes, int]], rounds: int = 6, rate: float = 0.3, sh
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Field:
-    """A field from at most ``sample`` labelled documents, those whose id has the smallest hash. Rows without
-    text, id or label are no samples."""
-    rows = renamed(docs, doc_id=key, text=text).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    marked = renamed(labels, doc_id="doc_id", quality="quality").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = rows.join(marked, "doc_id").select("doc_id", "quality", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    return fit([(row.text.encode(), int(row.quality > 0)) for row in chosen.collect()])
+    """A field from about ``sample`` labelled documents, those whose id hashes into that share of the labels.
+
+    Rows without text, id or label are no samples, nor are texts over SAMPLE_BYTES.
+    """
+    marked = renamed(labels, doc_id="doc_id", quality="quality").where("doc_id is not null and quality is not null")
+    taken = in_sample("doc_id", sample / max(1, marked.count()))
+    marked = marked.where(taken).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = renamed(docs, doc_id=key, text=text).where(taken & F.octet_length("text").between(1, SAMPLE_BYTES))
+    chosen = rows.join(marked, "doc_id").select("doc_id", "quality", "text").collect()
+    chosen = sorted((zlib.crc32(str(row.doc_id).encode()), row.text, int(row.quality > 0)) for row in chosen)
+    return fit([(text.encode(), label) for _, text, label in chosen])
 
 
 FIELDS = [(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("content_share", T.DoubleType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]

@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.common import renamed
+from apexframe.llm.common import in_sample, renamed
 
 # The patterns of the base rules, in their order, with the least length (of group 2 for assign)
 KINDS = ("assign", "access", "hex", "markov")
@@ -29,7 +29,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LETTERS = 62  # letters and digits; marks that rule lines are drawn with tell nothing
 CLASSES = len(ALPHABET) + 1  # any other character is class 0
 RATIO = 1.0  # nats per character that a span needs
-SAMPLE = 2_000  # documents for each label, those of smallest hash
+SAMPLE = 2_000  # documents for each label, about
 
 
 def _located(pattern: str, keep: str) -> Column:
@@ -91,17 +91,18 @@ def _probability(counts: DataFrame, uniform: float) -> list[float]:
 def trained(docs: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> list[float]:
     """Log-likelihood ratio of each pair of classes, random over ordinary.
 
-    Random samples are values of the fixed patterns in ``sample`` documents that may hold some, ordinary ones
-    the words of letters, with up to four digits after them, of ``sample`` documents; in both cases those whose id has the smallest hash. Without
-    any sample of a label its model is uniform.
+    Random samples are values of the fixed patterns in about ``sample`` documents that may hold some, ordinary
+    ones the words of letters, with up to four digits after them, of about ``sample`` documents; in both cases
+    those whose id hashes into that share. Without any sample of a label its model is uniform.
     """
     rows = renamed(docs, doc_id=key, text=text).where("text is not null")
-    first = lambda x: x.select("text").orderBy(F.xxhash64("doc_id"), "text").limit(sample)
-    likely = rows.where(r"contains(text, 'AKIA') or text rlike r'[0-9a-f]{16,}|(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]'")
-    found = first(likely).select(F.explode(F.concat(*[located(k) for k in KINDS[:3]])).alias("s"))
+    likely = F.expr(r"contains(text, 'AKIA') or text rlike r'[0-9a-f]{16,}|(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]'")
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(likely).alias("likely")).first()
+    some = rows.where(in_sample("doc_id", sample / max(1, n["likely"]))).where(likely)
+    found = some.select(F.explode(F.concat(*[located(k) for k in KINDS[:3]])).alias("s"))
     # of an assignment only the value is random
     random = found.select(F.expr(f"coalesce(nullif(regexp_extract(s.value, r'{_quoted(ASSIGN)}', 2), ''), s.value)").alias("value"))
-    words = first(rows).select(F.explode(F.expr(f"regexp_extract_all(text, r'{WORD}', 0)")).alias("value"))
+    words = rows.where(in_sample("doc_id", sample / max(1, n["all"]))).select(F.explode(F.expr(f"regexp_extract_all(text, r'{WORD}', 0)")).alias("value"))
     pairs = zip(_probability(_transitions(random), 0.5), _probability(_transitions(words), 0.001))
     told = [1 <= a <= LETTERS and 1 <= b <= LETTERS for a in range(CLASSES) for b in range(CLASSES)]
     return [math.log(x / y) if use else 0.0 for (x, y), use in zip(pairs, told)]
