@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from apexframe.llm import decontaminate, graph, mixing, mixture, queries, quality, secrets, simhash, tokens, warc
 
+from tests.oracle import compare, connect
+
 from .cases import FOLDER, documents
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -226,8 +228,14 @@ def test_warc_query(spark):
     want = {i: (len(x), hashlib.sha256(x).hexdigest(), None if len(x) < 100 or first[x] == i else first[x]) for i, x in pages.items()}
     got = run(spark, "op8_warc")
     assert {r.page_id: (r.payload_bytes, r.payload_digest, None if np.isnan(r.refers_to) else int(r.refers_to)) for r in got.astype({"refers_to": float}).itertuples()} == want
-    placed = got.sort_values(["part", "place"])
-    assert list(zip(placed.url_key, placed.captured)) == sorted(zip(got.url_key, got.captured))
+    folder, index = warc.archived(spark.read.parquet(f"{FOLDER}/pages.parquet"))
+    placed = index.toPandas().sort_values(["part", "place"])
+    assert list(zip(placed.url_key, placed.captured)) == sorted(zip(placed.url_key, placed.captured)) and len(placed) == len(want)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, name):
+    assert compare(queries.queries()[name](spark, FOLDER), connect(FOLDER), queries.oracle_sql()[name]) is None
 
 
 # --- line labelling ---
