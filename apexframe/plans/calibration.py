@@ -280,22 +280,18 @@ def _(x):
 
 @query("A9_gap_interpolation", f"""
 SELECT {CURVE}, tyre_age_laps, round(offset_ms, 4) AS offset_ms, is_extrapolation FROM (
-  SELECT {CURVE}, tyre_age_laps, offset_ms, 0 AS is_extrapolation FROM o_thin
+  SELECT {CURVE}, tyre_age_laps, offset_ms, 0 AS is_extrapolation FROM o_bins
   UNION ALL
   SELECT {CURVE}, age, o0 + (age - a0) / cast(a1 - a0 AS double) * (o1 - o0), 1 FROM (
     SELECT *, unnest(generate_series(a0 + 1, a1 - 1)) AS age FROM (
       SELECT {CURVE}, tyre_age_laps AS a0, offset_ms AS o0, lead(tyre_age_laps) OVER w AS a1, lead(offset_ms) OVER w AS o1
-      FROM o_thin WINDOW w AS (PARTITION BY {CURVE} ORDER BY tyre_age_laps)) g) e) u""")
+      FROM o_bins WINDOW w AS (PARTITION BY {CURVE} ORDER BY tyre_age_laps)) g) e) u""")
 def _(x):
     bins = cal.age_bins(x.snap, cal.baselines(x.snap))
-    thin = bins.where((c("tyre_age_laps") + c("sector_number")) % 3 != 0)  # curves with holes to fill
-    every = thin.withColumn("is_extrapolation", F.lit(0)).unionByName(cal.fill_age_gaps(thin))
+    every = bins.withColumn("is_extrapolation", F.lit(0)).unionByName(cal.fill_age_gaps(bins))
     return every.select(*cal.AGE_CURVE, "tyre_age_laps", F.round("offset_ms", 4).alias("offset_ms"), "is_extrapolation")
 
 
-shared("o_thin", "SELECT * FROM o_bins WHERE (tyre_age_laps + sector_number) % 3 <> 0")
-
-
 @query("A10_tail_slope", f"SELECT {COEF} FROM o_c_tail")
 def _(x):
     return coef(cal.tail_slopes(cal.age_bins(x.snap, cal.baselines(x.snap))))

@@ -213,14 +213,13 @@ def _(x):
 
 # Pit status codes spread over the tick feed so that every state is reached.
 PITCODE = "CASE WHEN seq % 17 < 6 THEN 0 WHEN seq % 17 = 11 AND seq % 3 = 0 THEN 2 ELSE 1 END"
-shared("o_pit_feed", f"SELECT session_uid, seq, {PITCODE} AS pit_status, CASE WHEN seq % 5 < 2 THEN speed % 5 ELSE speed END AS speed FROM ticks WHERE (seq + session_uid) % 29 <> 0")
+shared("o_pit_feed", f"SELECT session_uid, seq, {PITCODE} AS pit_status, CASE WHEN seq % 5 < 2 THEN speed % 5 ELSE speed END AS speed FROM ticks")
 
 
 def pit_feed(x):
     code = F.when(c("seq") % 17 < 6, 0).when((c("seq") % 17 == 11) & (c("seq") % 3 == 0), 2).otherwise(1)
     speed = F.when(c("seq") % 5 < 2, c("speed") % 5).otherwise(c("speed"))
-    t = x.ticks.where((c("seq") + c("session_uid")) % 29 != 0)
-    return t.select("session_uid", "seq", code.alias("pit_status"), speed.alias("speed"))
+    return x.ticks.select("session_uid", "seq", code.alias("pit_status"), speed.alias("speed"))
 
 
 @query("R11_pit_states", """

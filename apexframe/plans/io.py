@@ -255,26 +255,28 @@ def _(x):
     return tb.current(x.spark, path)
 
 
-@query("K3_append_with_id", "SELECT event_id AS source_id, user_id AS session_uid, true AS has_id, 1 AS copies FROM events")
+@query("K3_append_with_id", "SELECT event_id AS source_id, user_id AS session_uid, true AS has_id, 1 AS copies, 1 AS owners FROM events")
 def _(x):
     path = tb.scratch(x.spark, "events")
     ev = x.events.select(c("event_id").alias("source_id"), c("user_id").alias("session_uid"))
     tb.append(tb.with_id(ev.where(c("source_id") % 2 == 0), "event_id", ["session_uid", "source_id"]), path)
     tb.append(tb.with_id(ev.where(c("source_id") % 2 == 1), "event_id", ["session_uid", "source_id"]), path)
     back = x.spark.read.parquet(path)
-    return back.groupBy("source_id", "session_uid").agg((F.max("event_id").isNotNull()).alias("has_id"), F.count("*").alias("copies"))
+    owners = back.groupBy("event_id").agg(F.count("*").alias("owners"))  # an id belongs to one row
+    return back.join(owners, "event_id", "left").groupBy("source_id", "session_uid").agg(
+        (F.max("event_id").isNotNull()).alias("has_id"), F.count("*").alias("copies"), F.max("owners").alias("owners"))
 
 
-@query("K7_backup_restore", "SELECT 'participants' AS t, count(*) FILTER (WHERE car_index % 2 = 1) AS missing FROM participants UNION ALL SELECT 'tyre_sets', count(*) FILTER (WHERE car_index % 2 = 1) FROM tyre_sets")
+@query("K7_backup_restore", "SELECT 'participants' AS t, session_uid, car_index, NULL AS set_index FROM participants WHERE car_index % 2 = 1 UNION ALL SELECT 'tyre_sets', session_uid, car_index, set_index FROM tyre_sets WHERE car_index % 2 = 1")
 def _(x):
     live = {"participants": x.participants, "tyre_sets": x.tyre_sets}
     path = tb.scratch(x.spark, "backup")
     tb.backup(live, path)
     lost = {n: df.where(c("car_index") % 2 == 0) for n, df in live.items()}
     back = tb.restore(x.spark, path, lost)
-    return back["participants"].agg(F.lit("participants").alias("t"), F.count("*").alias("missing")).unionByName(
-        back["tyre_sets"].agg(F.lit("tyre_sets").alias("t"), F.count("*").alias("missing"))
-    )
+    sets = back["tyre_sets"].select(F.lit("tyre_sets").alias("t"), "session_uid", "car_index", "set_index")
+    none = F.lit(None).cast(sets.schema["set_index"].dataType).alias("set_index")
+    return back["participants"].select(F.lit("participants").alias("t"), "session_uid", "car_index", none).unionByName(sets)
 
 
 @query("K9_report_rows", "SELECT track_id, regime, knob_name, coalesce(cast(sector_number AS varchar), '') AS sector, printf('%.4f', round(r2, 6)) AS r_squared, n FROM o_r2")

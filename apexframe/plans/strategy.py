@@ -190,16 +190,16 @@ def _(x):
     return ranked(x).select("job", "car", "label", c("rank").cast("bigint").alias("rank"))
 
 
-@query("C8_strategy_evaluation", "SELECT job, label, rank, mean_position, expected_points FROM o_ranked WHERE rank <= 5")
+@query("C8_strategy_evaluation", "SELECT job, label, rank, mean_position, expected_points FROM o_ranked")
 def _(x):
-    return ranked(x).where(c("rank") <= 5).select("job", "label", c("rank").cast("bigint").alias("rank"), "mean_position", "expected_points")
+    return ranked(x).select("job", "label", c("rank").cast("bigint").alias("rank"), "mean_position", "expected_points")
 
 
 @query("C9_quality_flags", """
 SELECT job, count(*) AS plans, max(mean_position) FILTER (WHERE rank = 2) - max(mean_position) FILTER (WHERE rank = 1) < 0.5 AS tie,
-  arg_max(mean_position, rank) - max(mean_position) FILTER (WHERE rank = 1) < 0.5 AND abs(max(mean_position) FILTER (WHERE rank = 1) - (1 + job % 20)) > 5 AS degenerate FROM o_ranked WHERE rank <= 2 + job % 3 GROUP BY job""")
+  arg_max(mean_position, rank) - max(mean_position) FILTER (WHERE rank = 1) < 0.5 AND abs(max(mean_position) FILTER (WHERE rank = 1) - (1 + job % 20)) > 5 AS degenerate FROM o_ranked GROUP BY job""")
 def _(x):
-    r = ranked(x).where(c("rank") <= 2 + c("job") % 3).withColumn("player_position", 1 + c("job") % 20)
+    r = ranked(x).withColumn("player_position", 1 + c("job") % 20)
     return st.quality_flags(r, ["job"])
 
 
@@ -245,7 +245,6 @@ def _(x):
     return x.snap.select(*cal.SNAP_KEY, F.round(ms, 6).alias("ms"))
 
 
-# Recent times exist for two cars in three, baselines for three sectors in four, so every source is used.
 shared("o_recent", """
 SELECT track_id, car_index, tyre_compound_visual, sector_number, list(sector_time_ms ORDER BY rn) AS recent FROM (
   SELECT *, row_number() OVER (PARTITION BY track_id, car_index, tyre_compound_visual, sector_number ORDER BY created_at DESC, session_uid DESC, lap_number DESC) AS rn
@@ -254,19 +253,17 @@ shared("o_bmean", "SELECT track_id, sector_number, compound, regime, cast(floor(
 shared("o_pace", f"""
 SELECT q.*, CASE WHEN len(recent) > 0 THEN cast(list_sort(recent)[cast(floor(len(recent) / 2.0) AS int) + 1] AS double) WHEN b > 0 THEN cast(b AS double) ELSE {LAPMS.format(t='q.track_id')} / 3.0 END AS pace_ms, p
 FROM (SELECT DISTINCT track_id, car_index, tyre_compound_visual AS compound, {REGIME} AS regime, sector_number FROM snap) q
-LEFT JOIN (SELECT * FROM o_recent WHERE car_index % 3 > 0) r ON r.track_id = q.track_id AND r.car_index = q.car_index AND r.tyre_compound_visual = q.compound AND r.sector_number = q.sector_number
-LEFT JOIN o_bmean m ON m.track_id = q.track_id AND m.sector_number = q.sector_number AND m.compound = q.compound AND m.regime = q.regime AND (q.sector_number + q.car_index) % 4 > 0""")
+LEFT JOIN o_recent r ON r.track_id = q.track_id AND r.car_index = q.car_index AND r.tyre_compound_visual = q.compound AND r.sector_number = q.sector_number
+LEFT JOIN o_bmean m ON m.track_id = q.track_id AND m.sector_number = q.sector_number AND m.compound = q.compound AND m.regime = q.regime""")
 
 
 def paces(x):
     q = x.snap.select("track_id", "car_index", c("tyre_compound_visual").alias("compound"), rows.regime().alias("regime"), "sector_number").distinct()
-    recent = co.recent_times(x.snap).where(c("car_index") % 3 > 0).withColumnRenamed("tyre_compound_visual", "compound")
+    recent = co.recent_times(x.snap).withColumnRenamed("tyre_compound_visual", "compound")
     base = cal.baselines(x.snap).groupBy("track_id", "sector_number", "compound", "regime").agg(
         F.floor(F.avg("mean_sector_ms")).alias("b"), F.min("perfect_sector_ms").alias("p")
     )
     j = q.join(recent, ["track_id", "car_index", "compound", "sector_number"], "left").join(base, ["track_id", "sector_number", "compound", "regime"], "left")
-    hidden = (c("sector_number") + c("car_index")) % 4 == 0
-    j = j.withColumn("b", F.when(~hidden, c("b"))).withColumn("p", F.when(~hidden, c("p")))
     recent = F.coalesce("recent_ms", F.array().cast("array<bigint>"))
     return j.withColumn("pace_ms", st.base_pace(recent, F.coalesce("b", F.lit(0)), c("track_id"))).drop("recent_ms", "b")
 
@@ -282,13 +279,11 @@ def _(x):
     return paces(x).select("track_id", "car_index", "compound", "regime", "sector_number", F.round(floor, 4).alias("floor_ms"))
 
 
-# Curves for every compound but one (track, sector) pair, with thinned bins, so all branches run.
-shared("o_curve", "SELECT track_id, regime, compound, sector_number, tyre_age_laps AS age, offset_ms AS ms FROM o_thin WHERE NOT (compound = 18 AND sector_number = 1) AND NOT (regime = 'PLAYER' AND sector_number = 2)")
+shared("o_curve", "SELECT track_id, regime, compound, sector_number, tyre_age_laps AS age, offset_ms AS ms FROM o_bins")
 
 
 def curve_rows(x):
-    bins = cal.age_bins(x.snap, cal.baselines(x.snap)).where((c("tyre_age_laps") + c("sector_number")) % 3 != 0)
-    return bins.where(~((c("compound") == 18) & (c("sector_number") == 1)) & ~((c("regime") == "PLAYER") & (c("sector_number") == 2)))
+    return cal.age_bins(x.snap, cal.baselines(x.snap))
 
 
 def _off(age: str) -> str:

@@ -299,9 +299,9 @@ def _(x):
     return per.select("session_uid", "tick", F.transform(same, lambda f: f["offset"]).alias("offsets"))
 
 
-@query("P22_current_lap", "SELECT session_uid, tick, coalesce(max(lap) FILTER (WHERE pos = 1), max(lap)) AS current_lap FROM cars WHERE car % 7 <> 1 GROUP BY 1, 2")
+@query("P22_current_lap", "SELECT session_uid, tick, coalesce(max(lap) FILTER (WHERE pos = 1), max(lap)) AS current_lap FROM cars GROUP BY 1, 2")
 def _(x):
-    return tk.current_lap(x.cars.where(c("car") % 7 != 1))
+    return tk.current_lap(x.cars)
 
 
 @query("P23_session_labels", """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes the shuffles, splits skewed join partitions and turns a
@@ -34,10 +32,10 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder; where none is set, one in the warehouse, which executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="apexframe-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -130,3 +130,21 @@ def test_calibrate_writes_every_knob(spark, x):
     out = cal.calibrate(x.snap)
     names = {r.knob_name for r in out.select("knob_name").distinct().collect()}
     assert "fuel_effect" in names and any(n.startswith("tyre_wear_rate_") for n in names)
+
+
+def test_missing_sources_of_pace_and_curves(spark):
+    """Rows that lack recent times, baselines, perfect sectors or bins."""
+    from pyspark.sql import functions as F
+
+    from apexframe.operators import calibration as cal
+    from apexframe.operators import strategy as st
+
+    rows = spark.createDataFrame([(1, [90_000, 91_000, 95_000], 80_000, 70_000), (1, [], 80_000, 0), (1, [], 0, 0)], "track_id long, recent array<bigint>, b long, p long")
+    pace = st.base_pace(F.col("recent"), F.col("b"), F.col("track_id"))
+    got = rows.select(pace.alias("pace"), st.pace_floor(F.col("p"), pace).alias("floor")).collect()
+    assert (got[0].pace, got[0].floor) == (91_000, 70_000)
+    assert (got[1].pace, got[1].floor) == (80_000, 72_000)
+    assert got[2].pace > 0 and abs(got[2].floor - 0.9 * got[2].pace) < 1e-6
+    bins = spark.createDataFrame([(1, 16, 0, "AI", a, float(a * a)) for a in (1, 4, 5)], "track_id long, compound long, sector_number long, regime string, tyre_age_laps long, offset_ms double")
+    filled = {r.tyre_age_laps: r.offset_ms for r in cal.fill_age_gaps(bins).collect()}
+    assert filled == {2: 6.0, 3: 11.0}

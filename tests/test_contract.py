@@ -1,5 +1,7 @@
 """The registry and a few queries against DuckDB on the smallest data."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +18,8 @@ SPOT = [
 def test_registry_is_complete():
     queries, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(queries)
-    assert set(queries) - set(sqls) == {"R23_message_delivery", "R26_delivered_log"}  # checked by brute force in test_rules
+    without = {n for n in set(queries) - set(sqls) if not re.match(r"op\d+_|pipeline$", n)}
+    assert without == {"R23_message_delivery", "R26_delivered_log"}  # checked by brute force in test_rules
 
 
 @pytest.mark.parametrize("name", SPOT)
