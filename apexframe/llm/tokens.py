@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,11 @@ UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORDS = re.compile(f"[^{SPACE}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # Python calls these white space, the tokenizers do not
 
+JOINED = re.compile(f"[{SPACE}]+[^{SPACE}]")  # how units begin that stay apart when joined
+JOIN = 32  # units in one text of a call
+
 _loaded: dict[str, object] = {}
+_sizes: dict[str, np.ndarray] = {}
 _units: dict[tuple[str, str], Memory] = {}
 
 
@@ -72,6 +77,50 @@ def encode_units(path: str, units: list[str]) -> Iterator[list[int]]:
             at, held = i + 1, 0
 
 
+def lengths(path: str, units: list[str]) -> Iterator[int]:
+    """Number of ids of each unit."""
+    return map(len, encode_units(path, units))
+
+
+def token_bytes(path: str) -> np.ndarray:
+    """Bytes of text that each id of a byte-level vocabulary stands for."""
+    if path not in _sizes:
+        tokenizer = _tokenizer(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            sizes[i] = len(token)
+        for i, token in tokenizer.get_added_tokens_decoder().items():
+            sizes[i] = len(token.content.encode())
+        _sizes[path] = sizes
+    return _sizes[path]
+
+
+def joined_ids(path: str, units: list[str]) -> list[bytes] | None:
+    """Ids of units encoded many to a text, given back to them by the bytes that ids stand for; None if
+    they do not meet the units' ends, as with vocabularies that are not byte-level."""
+    texts = ["".join(units[i : i + JOIN]) for i in range(0, len(units), JOIN)]
+    ids = np.fromiter(chain.from_iterable(encode_units(path, texts)), "<u4")
+    met = np.cumsum(token_bytes(path)[ids])
+    ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+    at = np.searchsorted(met, ends)
+    if not len(ids) or met[-1] != ends[-1] or (met[at] != ends).any():
+        return None
+    data, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+    return [data[a:b] for a, b in pairwise(cuts)]
+
+
+def packed(path: str, units: list[str]) -> Iterator[bytes]:
+    """Ids of each unit as little-endian integers."""
+    single = [np.array(ids, "<u4").tobytes() for ids in encode_units(path, [u for u in units if not JOINED.match(u)])]
+    rest = [u for u in units if JOINED.match(u)]
+    many = joined_ids(path, rest) if rest and not path.endswith(".model") else None
+    if many is None:
+        many = [np.array(ids, "<u4").tobytes() for ids in encode_units(path, rest)]
+    alone, together = iter(single), iter(many)
+    return (next(together if JOINED.match(u) else alone) for u in units)
+
+
 def split_words(text: str) -> list[str]:
     """Runs without white space, for tokenizers that drop white space."""
     return WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
@@ -100,7 +149,7 @@ class Memory(dict):
             self.clear()
             fresh = list({u for units in lists for u in units})
             self.chars, size = 0, sum(map(len, fresh))
-        self.update(zip(fresh, map(value, encode_units(path, fresh)), strict=True))
+        self.update(zip(fresh, value(path, fresh), strict=True))
         self.chars += size
         return self.__getitem__
 
@@ -120,7 +169,7 @@ def token_counts(docs: DataFrame, path: str, split: Callable[[str], list[str]] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lists = [split(x or "") for x in batch["text"].to_pylist()]
-            size = _memory(path, len).fill(path, lists, len)
+            size = _memory(path, lengths).fill(path, lists, lengths)
             counts = np.fromiter((sum(map(size, units)) for units in lists), np.int64, len(lists))
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -129,10 +178,6 @@ def token_counts(docs: DataFrame, path: str, split: Callable[[str], list[str]] =
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def token_ids(rows: DataFrame, path: str, split: Callable[[str], list[str]], end_id: int) -> DataFrame:
     """``rows(doc_id, text)`` as ``(part, row, doc_id, ids)``: the ids with the end id last, the number of
     the partition, and of the row in it."""

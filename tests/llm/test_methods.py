@@ -103,6 +103,8 @@ def test_units_give_the_ids_of_the_text(text):
         tokens._loaded[path] = whole
         parts = [i for ids in tokens.encode_units(path, split(text)) for i in ids]
         assert parts == whole.encode(text, add_special_tokens=False).ids
+        units = sorted({*split(text), " word", "\nab"})
+        assert list(tokens.packed(path, units)) == [np.array(ids, "<u4").tobytes() for ids in tokens.encode_units(path, units)]
 
 
 def test_token_queries(spark):
