@@ -45,17 +45,17 @@ def fastest_lap(ticks: DataFrame, cars: DataFrame, run=lt.run) -> DataFrame:
 
 
 def corner_wear(ticks: DataFrame, run=lt.run) -> DataFrame:
-    wear = [c(f"wear_{w}").cast("int").alias(f"w{i}") for i, w in enumerate(("rl", "rr", "fl", "fr"))]
-    fired = run(gate(ticks, "PerCornerWear").select(*SLOT, *wear), T, SLOT, lt.corner_wear)
+    wear = F.array(*[c(f"wear_{w}").cast("int") for w in ("rl", "rr", "fl", "fr")])
+    fired = run(gate(ticks, "PerCornerWear").select(*SLOT, wear.alias("readings")), T, SLOT, lt.corner_wear)
     done = c("n2") == 37
     text = cat(lt.label(lt.CORNERS, c("n1")), F.when(done, " is finished, manage it.").otherwise(" starting to degrade."))
     return say(fired, "PerCornerWear", F.when(done, "HIGH").otherwise("NORMAL"), F.when(done, 2).otherwise(3), text)
 
 
 def damage(ticks: DataFrame, run=lt.run) -> DataFrame:
-    parts = [c(f"{p}_dmg").alias(f"d{i}") for i, p in enumerate(("fw", "rw", "fl", "diff", "sp"))]
-    fired = run(gate(ticks, "Damage").select(*SLOT, *parts), T, SLOT, lt.damage)
-    fixed, tier = c("code") == "repaired", c("n2")
+    parts = F.array(*[f"{p}_dmg" for p in ("fw", "rw", "fl", "diff", "sp")])
+    fired = run(gate(ticks, "Damage").select(*SLOT, parts.alias("readings")), T, SLOT, lt.damage)
+    fixed, tier = c("code") == "restored", c("n2")
     words = F.when(tier == 60, " is heavily damaged.").when(tier == 30, " is damaged.").otherwise(" has minor damage.")
     text = F.when(fixed, "Front wing replaced, good to go.").otherwise(cat(lt.label(lt.PARTS, c("n1")), words))
     level = F.when(fixed, "NORMAL").when(tier == 60, "IMMEDIATE").otherwise("HIGH")
@@ -111,11 +111,17 @@ def pit_window(ticks: DataFrame, plans: DataFrame, run=lt.run) -> DataFrame:
     """``plans``: recommended stops over time as (session_uid, tick, target, compound)."""
     t = stats.asof(gate(ticks, "PitWindowMessages"), plans, KEY, "tick", {"target": "target", "_comp": "compound"}, span=0)
     worn = F.greatest(*[c(f"wear_{w}").cast("int") for w in ("rl", "rr", "fl", "fr")]) >= 37
-    shaped = t.where(c("target").isNotNull()).select(
-        *SLOT, "target", "lap", "pits", "sector", worn.alias("worn_out"), (c("pit_state") == "ON_TRACK").alias("on_track"),
+    t = _walk(t.where((c("target") > 0) & (c("target") >= c("lap"))), KEY, "tick", lags={"_old": "target"})
+    moved = c("_old").isNull() | (c("_old") != c("target"))
+    t = _walk(t, KEY, "tick", running={"_pits": ("last", F.when(moved, c("pits")), "prior")})
+    ahead, last_sector = c("target") - c("lap"), (c("pit_state") == "ON_TRACK") & (c("sector") >= 2)
+    due = F.when((ahead == 5) & ~worn, 1).when(ahead == 1, 2).when((ahead == 0) & last_sector, 3).otherwise(0)
+    stopped = moved & (c("pits") != F.coalesce("_pits", F.lit(0)))
+    shaped = t.select(
+        *SLOT, "target", due.alias("due"), stopped.alias("stopped"), (F.coalesce(c("target") > c("_old"), F.lit(False)) & ~stopped).alias("put_off"),
         tx.display_tyre(c("_comp")).alias("tyres"),
     )
-    fired = run(shaped, T, [*SLOT, "tyres"], lt.pit_window)
+    fired = run(shaped, T, [*SLOT, "tyres"], lt.pit_calls)
     text = (
         F.when(c("code") == "missed", cat("We've missed that window. New plan, box lap ", c("n1"), ", ", c("tyres"), " ready."))
         .when(c("code") == "five", cat("Box window opens in 5 laps. ", c("tyres"), " ready."))

@@ -160,13 +160,15 @@ def tyre_condition(ticks: DataFrame) -> DataFrame:
 
 
 def drs(ticks: DataFrame) -> DataFrame:
-    seen = _walk(gate(ticks, "Drs"), KEY, "tick", lags={"_was": "drs_allowed"})
+    """Silent, and without memory, while the driver has the DRS assist."""
+    seen = _walk(gate(ticks, "Drs").where(F.coalesce("drs_assist", F.lit(0)) == 0), KEY, "tick", lags={"_was": "drs_allowed"})
     on = seen.where((c("drs_allowed") > 0) & (F.coalesce("_was", F.lit(0)) == 0))
     return say(on, "Drs", "NORMAL", 1, F.lit("DRS enabled."))
 
 
 def ers_mode(ticks: DataFrame) -> DataFrame:
-    seen = _walk(gate(ticks, "ErsMode").where(c("ers_mode") >= 0), KEY, "tick", lags={"_was": "ers_mode"})
+    """Silent, and without memory, while the driver has the ERS assist."""
+    seen = _walk(gate(ticks, "ErsMode").where((F.coalesce("ers_assist", F.lit(0)) == 0) & (c("ers_mode") >= 0)), KEY, "tick", lags={"_was": "ers_mode"})
     moved = seen.where(c("_was") != c("ers_mode"))
     return say(moved, "ErsMode", "NORMAL", 1, cat("ERS mode ", c("ers_mode"), ". Go to strat ", c("ers_mode"), "."))
 

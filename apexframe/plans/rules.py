@@ -129,12 +129,12 @@ def _(x):
     return ru.tyre_condition(pt(x))
 
 
-@query("E9_drs", say("Drs", "NORMAL", "1", "CASE WHEN drs_allowed > 0 AND coalesce(q, 0) = 0 THEN 'DRS enabled.' END", f"(SELECT *, lag(drs_allowed) OVER w AS q FROM o_pt {W}) y"))
+@query("E9_drs", say("Drs", "NORMAL", "1", "CASE WHEN drs_allowed > 0 AND coalesce(q, 0) = 0 THEN 'DRS enabled.' END", f"(SELECT *, lag(drs_allowed) OVER w AS q FROM o_pt WHERE drs_assist = 0 {W}) y"))
 def _(x):
     return ru.drs(pt(x))
 
 
-@query("E10_ers_mode", say("ErsMode", "NORMAL", "1", "CASE WHEN q <> ers_mode THEN concat('ERS mode ', ers_mode, '. Go to strat ', ers_mode, '.') END", f"(SELECT *, lag(ers_mode) OVER w AS q FROM o_pt {W}) y"))
+@query("E10_ers_mode", say("ErsMode", "NORMAL", "1", "CASE WHEN q <> ers_mode THEN concat('ERS mode ', ers_mode, '. Go to strat ', ers_mode, '.') END", f"(SELECT *, lag(ers_mode) OVER w AS q FROM o_pt WHERE ers_assist = 0 {W}) y"))
 def _(x):
     return ru.ers_mode(pt(x))
 

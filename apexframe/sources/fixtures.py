@@ -186,7 +186,7 @@ SELECT *, CASE WHEN sector >= 1 THEN 27000 + (car * 37 + lap * 91 + session_uid)
     ELSE 150 + (tick * 31 + car * 17) % 150 END AS speed,
   cast(floor(100 * value) as bigint) % 3000 - 200 AS delta_front_ms, (tick * 293 + 4000 - pos * 37 + (tick * car) % 23) % 5000 AS lap_distance,
   CASE WHEN tick % 40 < 16 THEN 0.1e0 + (car % 3) / 10e0 ELSE 0.9e0 END AS throttle,
-  CASE WHEN tick % 9 < 4 THEN 1 ELSE 0 END AS drs_allowed, {div('tick', 11)} % 4 AS ers_mode, {div('tick', 41)} * 5 AS pen,
+  CASE WHEN tick % 9 < 4 THEN 1 ELSE 0 END AS drs_allowed, CASE WHEN tick % 31 < 6 THEN 1 ELSE 0 END AS drs_assist, CASE WHEN tick % 23 BETWEEN 9 AND 12 THEN 1 ELSE 0 END AS ers_assist, {div('tick', 11)} % 4 AS ers_mode, {div('tick', 41)} * 5 AS pen,
   CASE WHEN tick % 83 >= 70 THEN 1 ELSE 0 END AS unserved_dt, CASE WHEN tick % 97 >= 90 THEN 1 ELSE 0 END AS unserved_sg,
   {div('tick', 29)} AS warnings, {div('(tick + car) % 80', 2)} AS tyre_age, (tick % 60) * 8 / 10e0 AS wear_rl,
   ((tick + 13) % 55) * 9 / 10e0 AS wear_rr, ((tick + 29) % 45) * 1e0 AS wear_fl, (tick * 2 % 90) / 2e0 AS wear_fr,

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of corners and parts, waits and lifetimes in this module.
 CORNERS = ("Rear-left", "Rear-right", "Front-left", "Front-right")
 PARTS = ("Front wing", "Rear wing", "Floor", "Diffuser", "Sidepod")
 EXTRA = "code string, n1 bigint, n2 bigint, n3 bigint"
@@ -45,33 +46,36 @@ def fastest(s: dict, r, wait_ms: int = 20_000) -> tuple | None:
     return "fastest", r.best_ms, 0
 
 
-def corner_wear(s: dict, r) -> tuple | None:
-    levels = s.setdefault("levels", [0, 0, 0, 0])
-    wear = (r.w0, r.w1, r.w2, r.w3)
-    if any(a > 0 and w < a - 5 for a, w in zip(levels, wear)):
-        levels[:] = [0, 0, 0, 0]
-    for i, w in enumerate(wear):
-        for limit in (37, 24):
-            if w >= limit and levels[i] < limit:
-                levels[i] = limit
-                return "wear", i, limit
-    return None
+def climbs(levels: tuple, slack: int, prefer: Callable, together: bool = False, restored: int | None = None) -> Callable:
+    """Announce the levels that channels reach, one per row.
 
+    ``r.readings`` has a value per channel. A level is open on a channel while it lies above the highest one
+    announced there; of all open levels reached, the first by ``prefer(channel, level)`` is announced. A
+    reading more than ``slack`` under the announced level opens all levels of its channel again, or of every
+    channel with ``together``; on channel ``restored`` that is itself announced.
+    """
+
+    def step(s: dict, r) -> tuple | None:
+        top = s.get("top") or [0] * len(r.readings)
+        eased = [i for i, v in enumerate(r.readings) if v < top[i] - slack]
+        for i in range(len(top)) if together and eased else eased:
+            top[i] = 0
+        s["top"] = top
+        if restored in eased:
+            return "restored", restored, 0
+        reached = [(i, x) for x in levels for i, v in enumerate(r.readings) if top[i] < x <= v]
+        if not reached:
+            return None
+        channel, level = min(reached, key=lambda at: prefer(*at))
+        top[channel] = level
+        return "reached", channel, level
+
+    return step
 
-def damage(s: dict, r) -> tuple | None:
-    """Worst tier first over all parts; a repaired front wing is announced before anything else."""
-    armed = s.setdefault("armed", [0, 0, 0, 0, 0])
-    now = (r.d0, r.d1, r.d2, r.d3, r.d4)
-    repaired = [a > 0 and v < a - 1 for a, v in zip(armed, now)]
-    armed[:] = [0 if fixed else a for fixed, a in zip(repaired, armed)]
-    if repaired[0]:
-        return "repaired", 0, 0
-    for tier in (60, 30, 10):
-        for i, v in enumerate(now):
-            if v >= tier and armed[i] < tier:
-                armed[i] = tier
-                return "damage", i, tier
-    return None
+
+# Wear and damage levels in percent.
+corner_wear = climbs((24, 37), 5, prefer=lambda corner, level: (corner, -level), together=True)
+damage = climbs((10, 30, 60), 1, prefer=lambda part, level: (-level, part), restored=0)
 
 
 def per_car_cooldown(wait_ms: int) -> Callable:
@@ -95,30 +99,20 @@ def lap_gap(least: int) -> Callable:
     return step
 
 
-def pit_window(s: dict, r) -> tuple | None:
-    """Ladder 0 silent, 1 five laps out, 2 next lap, 3 this lap; a new target may restart it."""
-    if r.target <= 0 or r.target < r.lap:
-        return None
-    rung, told = s.get("rung", 0), s.get("told", -1)
-    if r.target != told:
-        pitted = r.pits != s.get("pits", 0)
-        missed = told > 0 and rung >= 2 and r.target > told and not pitted
-        s["told"], s["pits"] = r.target, r.pits
-        if pitted or missed:
-            rung = s["rung"] = 0
-        if missed:
-            return "missed", r.target, 0
-    left = r.target - r.lap
-    if left == 5 and rung == 0 and not r.worn_out:
-        s["rung"] = 1
-        return "five", r.target, 0
-    if left == 1 and rung < 2:
-        s["rung"] = 2
-        return "next", r.target, 0
-    if left == 0 and rung < 3 and r.on_track and r.sector >= 2:
-        s["rung"] = 3
-        return "box", r.target, 0
-    return None
+CALLS = ("", "five", "next", "box")
+
+
+def pit_calls(s: dict, r) -> tuple | None:
+    """``r.due`` numbers the call a tick asks for (0 none). Each is made once, in rising order.
+
+    A stop starts anew; a stop put off after its second call is announced as missed and starts anew.
+    """
+    made = 0 if r.stopped else s.get("made", 0)
+    missed = bool(r.put_off) and made >= 2
+    s["made"] = 0 if missed else max(made, int(r.due))
+    if missed:
+        return "missed", r.target, 0
+    return (CALLS[r.due], r.target, 0) if r.due > made else None
 
 
 def practice_lap(s: dict, r) -> tuple | None:
