@@ -467,7 +467,7 @@ def _(x):
     who = x.participants.where(c("ai_controlled") == 0).select("session_uid", "car_index", "ai_controlled")
     return x.snap.drop("ai_controlled").join(who, ["session_uid", "car_index"]).select(
         *cal.SNAP_KEY, "sector_time_ms", "ai_controlled"
-    ).orderBy("car_index", "lap_number", "sector_number")
+    ).repartition("session_uid").sortWithinPartitions(*cal.SNAP_KEY)  # a session's rows are bounded: 768 a car
 
 
 @query("S7_sessions_for_track", "SELECT session_uid, track_id, session_type FROM sessions WHERE track_id = 2 ORDER BY created_at DESC")
@@ -477,13 +477,14 @@ def _(x):
 
 @query("S8_final_classification", "SELECT session_uid, position, car_index, result_status FROM final_class")
 def _(x):
-    return x.final_class.orderBy("session_uid", "position").select("session_uid", "position", "car_index", "result_status")
+    by_session = x.final_class.repartition("session_uid").sortWithinPartitions("session_uid", "position")
+    return by_session.select("session_uid", "position", "car_index", "result_status")
 
 
 @query("S9_available_sets", "SELECT session_uid, car_index, set_index, visual_compound FROM tyre_sets WHERE available = 1 AND fitted = 0")
 def _(x):
     free = x.tyre_sets.where((c("available") == 1) & (c("fitted") == 0))
-    return free.orderBy("session_uid", "car_index", "set_index").select("session_uid", "car_index", "set_index", "visual_compound")
+    return free.repartition("session_uid").sortWithinPartitions("session_uid", "car_index", "set_index").select("session_uid", "car_index", "set_index", "visual_compound")
 
 
 @query("S10_sets_per_car", """

@@ -96,10 +96,10 @@ def radio_export(radio: DataFrame, drivers: DataFrame) -> DataFrame:
 # ---- writes by key ---------------------------------------------------------------------------
 
 
-def insert_absent(target: DataFrame | None, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows of ``batch`` whose key the target does not hold yet, the first row per key winning."""
+def insert_absent(target: DataFrame | None, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of ``batch`` whose key the target does not hold yet, the first row per key by ``order`` winning."""
     names = [n for n in batch.columns if n not in keys]
-    pick = F.min_by(F.struct(*names), c(order)) if order else F.first(F.struct(*names))
+    pick = F.min_by(F.struct(*names), c(order))
     once = batch.groupBy(*keys).agg(pick.alias("_r")).select(*keys, "_r.*").select(*batch.columns)
     return once if target is None else once.join(target.select(*keys), keys, "left_anti")
 

@@ -53,19 +53,19 @@ def debounce(triggers: DataFrame, seconds: int = 3, late: str = "10 seconds") ->
     return per.select("session_uid", c("session_window.end").alias("fire_at"), "triggers")
 
 
-def sector_snapshots(feed: DataFrame) -> DataFrame:
-    """Lap and history packets of each car to completed sectors.
+def sector_snapshots(feed: DataFrame, keys: tuple[str, ...] = ("session_uid", "car_index")) -> DataFrame:
+    """Lap and history packets to completed sectors, with state for each session and car.
 
-    ``feed``: session_uid, seq, is_history, lap, sector, s1_ms, s2_ms, last_lap_ms, num_laps and
+    ``feed``: the keys, seq, is_history, lap, sector, s1_ms, s2_ms, last_lap_ms, num_laps and
     last_laps (the last five laps' sector times), nulls filled.
     """
-    out = lt.run_stream(feed, ["seq"], ["session_uid", "seq"], lt.sector_changes)
+    out = lt.run_stream(feed, ["seq"], [*keys, "seq"], lt.sector_changes, keys)
     return out.select(
-        "session_uid", "seq", c("n1").alias("completed"), c("n2").alias("snap_lap"), c("code").cast("int").alias("tier"), c("n3").alias("sector_ms")
+        *keys, "seq", c("n1").alias("completed"), c("n2").alias("snap_lap"), c("code").cast("int").alias("tier"), c("n3").alias("sector_ms")
     )
 
 
-def insert_absent_sink(path: str, keys: list[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
+def insert_absent_sink(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink keeping the first row per key; a replayed batch adds nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -228,12 +228,12 @@ def _schema(df: DataFrame, keep: list[str]) -> str:
     return ", ".join([f"`{k}` {types[k]}" for k in keep] + [EXTRA])
 
 
-def run(df: DataFrame, order: list[str], keep: list[str], step: Callable, key: str = "session_uid") -> DataFrame:
-    """Batch run: one group per session, rows in ``order``."""
-    return df.groupBy(key).applyInPandas(lambda pdf: _fire({}, pdf, order, keep, step), _schema(df, keep))
+def run(df: DataFrame, order: list[str], keep: list[str], step: Callable, keys: tuple[str, ...] = ("session_uid",)) -> DataFrame:
+    """Batch run: one group per key, rows in ``order``."""
+    return df.groupBy(*keys).applyInPandas(lambda pdf: _fire({}, pdf, order, keep, step), _schema(df, keep))
 
 
-def run_stream(df: DataFrame, order: list[str], keep: list[str], step: Callable, key: str = "session_uid") -> DataFrame:
+def run_stream(df: DataFrame, order: list[str], keep: list[str], step: Callable, keys: tuple[str, ...] = ("session_uid",)) -> DataFrame:
     """The same over a stream: the state lives in the state store between micro-batches."""
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -249,7 +249,7 @@ def run_stream(df: DataFrame, order: list[str], keep: list[str], step: Callable,
         def close(self) -> None:
             pass
 
-    return df.groupBy(key).transformWithStateInPandas(
+    return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Latch(), outputStructType=_schema(df, keep), outputMode="Append", timeMode="None"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from apexframe.functions import text as tx
 from apexframe.operators import latched_rules as lr
+from apexframe.operators import rules as ru
 from apexframe.operators import strategy as st
 
 c = F.col
@@ -53,6 +54,13 @@ def test_damage_one_message_per_tick(spark):
     ]
 
 
+def test_assists_silence_drs_and_ers(spark):
+    data = [(1, 0, 0, 1, 0, 0), (1, 1, 1, 1, 2, 1), (1, 2, 1, 0, 0, 0), (1, 3, 1, 0, 3, 0)]
+    t = spark.createDataFrame(data, "session_uid int, tick int, drs_allowed int, drs_assist int, ers_mode int, ers_assist int")
+    t = t.withColumn("pit_state", F.lit("ON_TRACK")).withColumn("kind", F.lit("RACE"))
+    assert [r.tick for r in ru.drs(t).collect()] == [2] and [r.tick for r in ru.ers_mode(t).collect()] == [3]
+
+
 def plain_delivery(ticks, messages):
     """Queue walked tick by tick, written independently of the step."""
     rank, keep = {"IMMEDIATE": 0, "HIGH": 1, "NORMAL": 2}, {"IMMEDIATE": 8000, "HIGH": 30000, "NORMAL": 60000}

@@ -39,7 +39,8 @@ def test_transitions_stream_equals_batch(spark, x, tmp_path):
     both = hist.unionByName(laps, allowMissingColumns=True).fillna(0)
     both = both.withColumn("last_laps", F.coalesce("last_laps", F.array().cast("array<array<bigint>>")))
     both = both.withColumn("seq", c("seq") * 2 + (~c("is_history")).cast("int"))  # history first on equal arrival
-    out = jobs.sector_snapshots(land(both, f"{tmp_path}/in", ["seq", "session_uid"]))
+    twin = both.withColumn("car_index", F.lit(1)).unionByName(both.where("seq % 3 > 0").withColumn("car_index", F.lit(0)))  # another car in between
+    out = jobs.sector_snapshots(land(twin, f"{tmp_path}/in", ["seq", "session_uid"])).where("car_index = 1")
     jobs.drain(out, f"{tmp_path}/cp", path=f"{tmp_path}/out")
     got = spark.read.parquet(f"{tmp_path}/out").withColumn("seq", F.floor(c("seq") / 2))
     cols = ["session_uid", "seq", "completed", "snap_lap", "tier", "sector_ms"]
