@@ -133,6 +133,8 @@ def valid_rows(rows_: DataFrame, rewinds: DataFrame, keys: list[str], span: int
 # Driving-event gates.
 MIN_SPEED, BRAKE_GATE, LOCK_RATIO, THROTTLE_GATE, SPIN_RATIO, YAW_GATE = 8.0, 0.15, 0.80, 0.50, 1.10, 0.10
 BRAKE_ON, BRAKE_OFF, MIN_EVENT_MS = 0.15, 0.05, 50
+# What the intensity of a kind of event measures.
+SIGNAL = {"LOCKUP": "wheel_slip_ratio", "WHEELSPIN": "wheel_slip_ratio", "SLIDE": "wheel_slip_angle", "BRAKING": "brake"}
 
 
 def _extreme(ratios: list[tuple[str, Column]], low: bool) -> Column:
@@ -151,7 +153,7 @@ def lockup(motion: DataFrame) -> DataFrame:
     slip = F.lit(0.0)
     for w, _ in ratios:
         slip = F.when(wheel == w, F.abs(f"slip_{w.lower()}")).otherwise(slip)
-    return motion.withColumn("active", hit).withColumn("detail", wheel).withColumn("intensity", slip)
+    return motion.withColumn("active", F.coalesce(hit, F.lit(False))).withColumn("detail", wheel).withColumn("intensity", slip)
 
 
 def wheelspin(motion: DataFrame) -> DataFrame:
@@ -159,58 +161,66 @@ def wheelspin(motion: DataFrame) -> DataFrame:
     hit = (c("forward_ms") >= MIN_SPEED) & (c("throttle") > THROTTLE_GATE) & (F.greatest(*[r for _, r in ratios]) > SPIN_RATIO)
     wheel = _extreme(ratios, low=False)
     slip = F.when(wheel == "RL", F.abs("slip_rl")).otherwise(F.abs("slip_rr"))
-    return motion.withColumn("active", hit).withColumn("detail", wheel).withColumn("intensity", slip)
+    return motion.withColumn("active", F.coalesce(hit, F.lit(False))).withColumn("detail", wheel).withColumn("intensity", slip)
 
 
 def slide(motion: DataFrame) -> DataFrame:
     front = c("slip_front") >= c("slip_rear")
     hit = (c("forward_ms") >= MIN_SPEED) & (F.abs("yaw") > YAW_GATE)
     return (
-        motion.withColumn("active", hit)
+        motion.withColumn("active", F.coalesce(hit, F.lit(False)))
         .withColumn("detail", F.when(front, "FRONT").otherwise("REAR"))
         .withColumn("intensity", F.greatest("slip_front", "slip_rear"))
     )
 
 
-def braking(motion: DataFrame, keys: list[str], span: int = 4096) -> DataFrame:
-    """On above one threshold, held above a lower one: the newest of the two crossings decides."""
-    mark = F.when(c("brake") > BRAKE_ON, 1).when(c("brake") <= BRAKE_OFF, 0)
-    seen = stats.along(motion, keys, "seq", running={"_mark": ("last", mark)}, span=span)
-    return (
-        seen.withColumn("active", F.coalesce(c("_mark") == 1, F.lit(False)))
-        .withColumn("detail", F.lit(None).cast("string")).withColumn("intensity", c("brake")).drop("_mark")
-    )
+def braking(motion: DataFrame) -> DataFrame:
+    """On above one threshold, off at or below a lower one; between them the state holds."""
+    active = F.when(c("brake") > BRAKE_ON, True).when(c("brake") <= BRAKE_OFF, False)
+    return motion.withColumn("active", active).withColumn("detail", F.lit(None).cast("string")).withColumn("intensity", c("brake"))
 
 
-def excursions(frames: DataFrame, keys: list[str], kind: str, span: int = 4096) -> DataFrame:
+def excursions(frames: DataFrame, keys: list[str], kind: str, span: int = 4096, reset: str | None = None) -> DataFrame:
     """Closed runs of active frames of at least 50 ms.
 
-    Place and entry speed come from the opening frame, the peak from the strongest (earliest on
-    ties), end distance and frame from the first frame after. An open run emits nothing.
+    A null ``active`` holds the state of the frame before. Place and entry speed come from the opening
+    frame, the peak from the strongest (earliest on ties), end distance and frame from the first frame
+    after. An open run emits nothing, and frames marked by the boolean column ``reset`` (a rewind, a new
+    session) discard one. A run is named by the frame that closed the one before, so one walk finds all.
     """
-    seen = stats.along(frames, keys, "seq", lags={"_was": "active"}, span=span)
-    was = F.coalesce("_was", F.lit(False))
-    seen = seen.where(c("active") | was).withColumn("_open", (c("active") & ~was).cast("int"))
-    runs = stats.along(seen, keys, "seq", running={"_run": ("sum", c("_open"))}, span=span)
+    again = F.coalesce(c(reset), F.lit(False)) if reset else F.lit(False)
+    mark = F.when(again, F.coalesce("active", F.lit(False))).otherwise(c("active"))
+    seen = stats.along(
+        frames, keys, "seq",
+        running={
+            "_now": ("last", mark), "_was": ("last", mark, "prior"), "_run": ("last", F.when(~mark, c("seq")), "prior"),
+            "_epoch": ("count", F.when(again, 1)),
+        },
+        span=span,
+    )
+    now = F.coalesce("_now", F.lit(False))
+    runs = seen.withColumn("active", now).where(now | (F.coalesce("_was", F.lit(False)) & ~again))
     on, off = F.when(c("active"), c("seq")), F.when(~c("active"), c("seq"))
     first = F.min_by(F.struct("t_ms", "lap", "sector", "lap_distance", "speed"), on)
-    peak = F.max_by(F.struct("detail", "intensity", "brake", "throttle"), F.when(c("active"), F.struct("intensity", -c("seq"))))
+    peak = F.max_by(F.struct("detail", "intensity", "brake", "throttle", "steer"), F.when(c("active"), F.struct("intensity", -c("seq"))))
     last = F.min_by(F.struct("t_ms", "lap_distance", "frame_identifier"), off)
-    ev = runs.groupBy(*keys, "_run").agg(
+    ev = runs.groupBy(*keys, "_run", "_epoch").agg(
         first.alias("o"), peak.alias("p"), last.alias("e"), F.max(F.when(c("active"), c("brake"))).alias("brake_peak"),
-        F.max(F.when(c("active"), c("throttle"))).alias("throttle_peak"),
+        F.max(F.when(c("active"), c("throttle"))).alias("throttle_peak"), F.max(F.when(c("active"), F.abs("steer"))).alias("steer_peak"),
     )
     dur = c("e.t_ms") - c("o.t_ms")
     return ev.where(c("e").isNotNull() & (dur >= MIN_EVENT_MS)).select(
         *keys, F.lit(kind).alias("event_type"), c("o.lap").alias("lap"), c("o.sector").alias("sector"),
         c("o.lap_distance").alias("start_m"), c("e.lap_distance").alias("end_m"), c("p.detail").alias("detail"),
         c("p.intensity").alias("peak_intensity"), dur.alias("duration_ms"), c("o.speed").alias("entry_speed"),
-        "brake_peak", "throttle_peak", c("p.brake").alias("brake_at_peak"), c("p.throttle").alias("throttle_at_peak"),
+        F.lit(SIGNAL.get(kind)).cast("string").alias("intensity_signal"),
+        "brake_peak", "throttle_peak", "steer_peak", c("p.brake").alias("brake_at_peak"), c("p.throttle").alias("throttle_at_peak"), c("p.steer").alias("steer_at_peak"),
         c("e.frame_identifier").alias("frame_identifier"),
     )
 
 
 STOP_KMH = 5
+BEFORE_ALL = -(1 << 62)  # an order value before any tick
 
 
 def pit_states(feed: DataFrame, keys: list[str], span: int = 4096) -> DataFrame:
@@ -220,15 +230,13 @@ def pit_states(feed: DataFrame, keys: list[str], span: int = 4096) -> DataFrame:
     slow tick on, and exits from the first fast tick after that; a run that starts from a stop (or
     with the feed) has already stopped.
     """
-    seen = stats.along(feed, keys, "seq", lags={"_prev": "pit_status"}, span=span)
-    edge = c("_prev").isNull() | (c("_prev") != c("pit_status"))
-    # Status 1 after an entry from the track is judged by speed only from its second tick on.
-    start = F.when(edge, F.struct(c("seq").alias("at"), F.coalesce("_prev", F.lit(-1)).alias("came")))
-    seen = stats.along(seen, keys, "seq", running={"_run": ("last", start)}, span=span)
-    seen = seen.withColumn("_at", c("_run.at"))
-    later = c("seq") > c("_at")
-    counted = later | (c("_run.came") == 2)
-    stop0 = F.when(c("_run.came") == 2, c("_at") - 1).when(c("_run.came") == -1, c("_at"))
+    other = F.when(c("pit_status") != 1, F.struct(c("seq").alias("at"), c("pit_status").alias("status")))
+    seen = stats.along(feed, keys, "seq", lags={"_prev": "pit_status"}, running={"_other": ("last", other, "prior")}, span=span)
+    # A run of status 1 is named by the tick before it and came from that tick's status, or began the feed.
+    seen = seen.withColumn("_came", c("_other.status")).withColumn("_at", F.coalesce("_other.at", F.lit(BEFORE_ALL))).drop("_other")
+    # After an entry from the track, or at the feed's begin, speed counts only from the run's second tick on.
+    later = (c("pit_status") == 1) & (c("_prev") == 1)
+    counted = later | ((c("pit_status") == 1) & (c("_came") == 2))
     out = stats.along(
         seen, [*keys, "_at"], "seq",
         running={
@@ -237,7 +245,8 @@ def pit_states(feed: DataFrame, keys: list[str], span: int = 4096) -> DataFrame:
         },
         span=span,
     )
-    stopped = F.coalesce(stop0, c("_slow"))
+    # A run that did not come from the track has stopped already.
+    stopped = F.when(F.coalesce(c("_came") == 0, F.lit(False)), c("_slow")).otherwise(BEFORE_ALL)
     state = (
         F.when(c("pit_status") == 0, "ON_TRACK").when(c("pit_status") == 2, "PIT_STOPPED")
         .when(stopped.isNull(), "PIT_ENTRY").when(c("_fast") > stopped, "PIT_EXIT").otherwise("PIT_STOPPED")
@@ -250,12 +259,14 @@ def lifecycle(feed: DataFrame, span: int = 4096) -> DataFrame:
     the next session taking over."""
     seen = stats.along(feed, ["feed"], "seq", lags={"_prev": "uid"}, span=span)
     new = c("_prev").isNull() | (c("_prev") != c("uid"))
-    runs = stats.along(seen, ["feed"], "seq", running={"_run": ("sum", new.cast("int"))}, span=span)
+    marks = seen.withColumn("_new", new).where(c("_new") | c("classified"))  # all that matters, few of the packets
+    runs = stats.along(marks, ["feed"], "seq", running={"_run": ("sum", c("_new").cast("int"))}, span=span)
     per = runs.groupBy("feed", "_run").agg(
         F.min_by("uid", "seq").alias("uid"), F.min("seq").alias("start_seq"),
         F.min(F.when(c("classified"), c("seq"))).alias("final_seq"),
     )
-    after = stats.along(per.withColumn("_back", -c("_run")), ["feed"], "_back", lags={"next_seq": "start_seq"}, span=span)
+    # a session lasts minutes, so a feed has few of them
+    after = stats.along(per.withColumn("_back", -c("_run")), ["feed"], "_back", lags={"next_seq": "start_seq"}, span=0)
     started = after.select("feed", "uid", F.lit("started").alias("kind"), c("start_seq").alias("seq"))
     ended = after.select("feed", "uid", F.lit("ended").alias("kind"), F.coalesce("final_seq", "next_seq").alias("seq"))
     return started.unionByName(ended.where(c("seq").isNotNull()))

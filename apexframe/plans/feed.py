@@ -138,16 +138,19 @@ def _(x):
 
 EV = (
     "session_uid", "event_type", "lap", "sector", "start_m", "end_m", "detail", "peak_intensity", "duration_ms",
-    "entry_speed", "brake_peak", "throttle_peak", "brake_at_peak", "throttle_at_peak", "frame_identifier",
+    "entry_speed", "intensity_signal",
+    "brake_peak", "throttle_peak", "steer_peak", "brake_at_peak", "throttle_at_peak", "steer_at_peak", "frame_identifier",
 )
 ISLANDS = """
 SELECT session_uid, '{kind}' AS event_type, o.lap AS lap, o.sector AS sector, o.lap_distance AS start_m, e.lap_distance AS end_m, p.detail AS detail,
-  p.intensity AS peak_intensity, e.t_ms - o.t_ms AS duration_ms, o.speed AS entry_speed, brake_peak, throttle_peak,
-  p.brake AS brake_at_peak, p.throttle AS throttle_at_peak, e.frame_identifier AS frame_identifier
+  p.intensity AS peak_intensity, e.t_ms - o.t_ms AS duration_ms, o.speed AS entry_speed,
+  CASE '{kind}' WHEN 'LOCKUP' THEN 'wheel_slip_ratio' WHEN 'WHEELSPIN' THEN 'wheel_slip_ratio' WHEN 'SLIDE' THEN 'wheel_slip_angle' WHEN 'BRAKING' THEN 'brake' END AS intensity_signal,
+  brake_peak, throttle_peak, steer_peak, p.brake AS brake_at_peak, p.throttle AS throttle_at_peak, p.steer AS steer_at_peak, e.frame_identifier AS frame_identifier
 FROM (SELECT session_uid, run, arg_min(f, seq) FILTER (WHERE active) AS o, arg_max(f, struct_pack(a := intensity, b := -seq)) FILTER (WHERE active) AS p,
-    arg_min(f, seq) FILTER (WHERE NOT active) AS e, max(brake) FILTER (WHERE active) AS brake_peak, max(throttle) FILTER (WHERE active) AS throttle_peak
+    arg_min(f, seq) FILTER (WHERE NOT active) AS e, max(brake) FILTER (WHERE active) AS brake_peak, max(throttle) FILTER (WHERE active) AS throttle_peak,
+    max(abs(steer)) FILTER (WHERE active) AS steer_peak
   FROM (SELECT *, sum(CASE WHEN active AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER w AS run FROM (
-      SELECT *, struct_pack(lap, sector, lap_distance, detail, intensity, t_ms, speed, brake, throttle, frame_identifier) AS f,
+      SELECT *, struct_pack(lap, sector, lap_distance, detail, intensity, t_ms, speed, brake, throttle, steer, frame_identifier) AS f,
         lag(active) OVER w AS was FROM ({flags}) m WINDOW w AS (PARTITION BY session_uid ORDER BY seq)) g
     WINDOW w AS (PARTITION BY session_uid ORDER BY seq)) r WHERE run > 0 GROUP BY session_uid, run) i
 WHERE e IS NOT NULL AND e.t_ms - o.t_ms >= 50"""
@@ -188,7 +191,7 @@ def _(x):
 
 @query("R9_braking", ISLANDS.format(kind="BRAKING", flags=FLAGS["BRAKING"]))
 def _(x):
-    return feed.excursions(feed.braking(x.motion, S), S, "BRAKING").select(*EV)
+    return feed.excursions(feed.braking(x.motion), S, "BRAKING").select(*EV)
 
 
 @query("R10_frame_enrichment", """

@@ -216,7 +216,7 @@ SELECT session_uid, seq, lap - 1 AS num_laps FROM ticks WHERE (seq - 1) % 18 = 1
 VIEWS["motion"] = f"""
 SELECT session_uid, seq, seq * 20 AS t_ms, lap, sector, seq AS frame_identifier,
   cast(seq * 3 % 5000 as double) AS lap_distance, value - floor(value) AS brake,
-  (value * 7) - floor(value * 7) AS throttle, cast(5 + (seq * 13) % 60 as double) AS speed,
+  (value * 7) - floor(value * 7) AS throttle, (seq * 11 % 201 - 100) / 100e0 AS steer, cast(5 + (seq * 13) % 60 as double) AS speed,
   cast(4 + (seq * 3) % 40 as double) AS forward_ms,
   ((cast(floor(value * 100) as bigint) + seq) % 41 - 20) / 100e0 AS yaw,
   (cast(floor(value * 100) as bigint) % 30 + 75) / 100e0 AS ratio_rl,

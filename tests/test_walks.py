@@ -130,6 +130,50 @@ def test_excursions_against_tracker(spark):
         "frame_identifier bigint, active boolean, detail string, intensity double",
     )
     for span in (9, 4096):
-        ev = feed.excursions(df, ["k"], "X", span)
+        ev = feed.excursions(df.withColumn("steer", F.lit(0.1)), ["k"], "X", span)
         got = sorted(tuple(r) for r in ev.select("k", "lap", "start_m", "end_m", "detail", "peak_intensity", "duration_ms", "frame_identifier").collect())
         assert got == sorted(want)
+
+
+def test_excursions_hold_and_reset(spark):
+    rng = random.Random(21)
+    frames, want = [], []
+    for k in range(12):
+        state, opened = False, None
+        for i in range(150):
+            mark, reset = rng.choice([True, True, None, None, False]), rng.random() < 0.04
+            frames.append((k, i, i * 20, 1, 0, float(i), 0.5, 0.5, 50.0, i, mark, "d", float(i % 7), reset))
+            if reset:
+                state, opened = False, None
+            state = state if mark is None else mark
+            if state and opened is None:
+                opened = i
+            elif not state and opened is not None:
+                if (i - opened) * 20 >= 50:
+                    want.append((k, float(opened), float(i)))
+                opened = None
+    df = spark.createDataFrame(
+        frames,
+        "k int, seq bigint, t_ms bigint, lap int, sector int, lap_distance double, brake double, throttle double, speed double, "
+        "frame_identifier bigint, active boolean, detail string, intensity double, reset boolean",
+    )
+    for span in (0, 9, 4096):
+        ev = feed.excursions(df.withColumn("steer", F.lit(0.1)), ["k"], "X", span, reset="reset")
+        assert sorted(tuple(r) for r in ev.select("k", "start_m", "end_m").collect()) == want
+
+
+def test_pit_states_of_a_hot_key_with_sparse_order(spark):
+    rng = random.Random(31)
+    data, want = [], []
+    for k, n in ((0, 600), (1, 300), (2, 300)):  # one car holds half of all ticks
+        prev, at, status = None, 0, 0
+        for _ in range(n):
+            at += rng.choice([1, 50_000, 900_000])  # microseconds of arrival
+            status = rng.choice([status, status, 0, 1, 1, 2])
+            speed = rng.choice([0, 4, 5, 60])
+            data.append((k, at, status, speed))
+            prev = pit_state(prev, status, speed)
+            want.append((k, at, prev))
+    df = spark.createDataFrame(data, "k int, seq bigint, pit_status int, speed int")
+    got = sorted((r.k, r.seq, r.pit_state) for r in feed.pit_states(df, ["k"]).collect())
+    assert got == want
