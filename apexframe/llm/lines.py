@@ -17,6 +17,7 @@ from apexframe.llm.common import renamed, stored
 LEAST_WORDS = 5
 FULL, DELETED, REPLACED = 0, 1, 2
 FILTER_BITS = 1 << 24
+HOT_LINES = 2_000  # lines that are more than one in so many of all are fewer than so many: they go to all tasks
 
 
 def _words(line: str) -> Column:
@@ -121,6 +122,22 @@ def near_lines(docs: DataFrame, distinct: DataFrame, text: str = "text", key: st
     return pairs.join(mine, ["h1", "h2"]).join(theirs, ["o1", "o2"]).where(one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
 
 
+def _marked_lines(each: DataFrame, marked: DataFrame) -> DataFrame:
+    """``each`` line with what ``marked`` (h1, h2, first, near, times) holds of its words, null where nothing.
+
+    Lines without words, and those so common that they are few, do not travel to meet their mark: however
+    many rows a line has, they stay where they are.
+    """
+    marked = stored(marked, "marked-lines")
+    total = marked.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    common = F.col("times") > total / HOT_LINES
+    hot = F.broadcast(marked.where(common).drop("times"))
+    blank = each.where("n = 0").withColumns({name: F.lit(None).cast(marked.schema[name].dataType) for name in ("first", "near")})
+    full = each.where("n > 0")
+    rest = full.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(marked.where(~common).drop("times"), ["h1", "h2"], "left")
+    return rest.unionByName(full.join(hot, ["h1", "h2"])).unionByName(blank)
+
+
 def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(doc_id, text_hash, n_lines, n_exact, n_near, removed)`` for each document with a text.
 
@@ -135,8 +152,8 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     distinct = full.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), *[F.first(f"half{i}").alias(f"half{i}") for i in range(4)])
     distinct = stored(distinct, "distinct-lines")
     near = near_lines(docs, distinct, text, key).withColumn("near", F.lit(True))
-    marked = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    placed = each.select("doc_id", "text_hash", "line_no", "h1", "h2", "n").join(marked, ["h1", "h2"], "left")
+    marked = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near").select("h1", "h2", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    placed = _marked_lines(each.select("doc_id", "text_hash", "line_no", "h1", "h2", "n"), marked)
     exact = F.col("first").isNotNull() & (F.col("first") != _place())
     kind = F.when(F.col("n") == 0, 0).when(exact, 1).when(F.col("near"), 2).otherwise(0)
     # equal rows of a document give each line twice
