@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from apexframe.operators import latched_rules as lr
 from apexframe.operators import rules as ru
 from apexframe.operators import ticks as tk
-from apexframe.plans.registry import query, shared
+from apexframe.plans.registry import ORACLE, query, shared
 from apexframe.plans.rules import DG, LT, PW, T, TL, W, gated, pt
 from apexframe.plans.ticks import zones
 
@@ -217,12 +217,42 @@ def deliveries(x):
     return t, msgs, lr.delivered(feed, msgs)
 
 
-@query("R23_message_delivery")
+SAID = {"E5_penalties": "Penalties", "E9_drs": "Drs", "E10_ers_mode": "ErsMode", "E6_tyre_condition": "TyreCondition", "E2_flag_changes": "FlagChanges"}
+NUMBER = " ".join(f"WHEN '{rule}' THEN {i}" for i, rule in enumerate(("Penalties", "Drs", "ErsMode", "TyreCondition", "FlagChanges")))
+shared("o_said", f"""
+SELECT m.*, p.lap, p.at_ms, cast(m.tick * 10 + CASE m.rule {NUMBER} END AS bigint) AS message_no
+FROM ({" UNION ALL ".join(f"SELECT session_uid, tick, rule, priority, ttl_laps, text FROM ({ORACLE[q]}) r" for q in SAID)}) m JOIN o_pt p USING (session_uid, tick)""")
+shared("o_delivery_ticks", """
+SELECT p.session_uid, p.rn, p.tick, p.at_ms, p.lap, p.tick % 71 BETWEEN 40 AND 42 AS quiet, n.fresh,
+  CASE WHEN p.session_uid % 3 IN (SELECT track_id FROM o_zones) THEN coalesce(i.zone, -1) ELSE 0 END AS zone
+FROM o_pt p LEFT JOIN (SELECT t.session_uid, t.rn, min(z.zone_idx) AS zone FROM o_pt t JOIN o_zones z ON z.track_id = t.session_uid % 3
+    AND t.lap_distance >= z.from_m - t.speed / 3.6 * 3 AND t.lap_distance <= z.to_m GROUP BY 1, 2) i USING (session_uid, rn)
+LEFT JOIN (SELECT session_uid, tick, list(struct_pack(rank := CASE priority WHEN 'IMMEDIATE' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, born := cast(at_ms AS bigint),
+    no := message_no, last_lap := cast(lap + ttl_laps AS bigint))) AS fresh FROM o_said GROUP BY 1, 2) n USING (session_uid, tick)""")
+# The queue is a list that each tick filters, sorts and takes at most one message from.
+shared("o_delivered", """
+WITH RECURSIVE d AS (
+  SELECT session_uid, cast(0 AS bigint) AS rn, cast([] AS STRUCT(rank INTEGER, born BIGINT, no BIGINT, last_lap BIGINT)[]) AS waiting, cast(-1 AS bigint) AS zone,
+    cast(0 AS bigint) AS used, cast(NULL AS bigint) AS message_no FROM o_delivery_ticks WHERE rn = 1
+  UNION ALL
+  SELECT session_uid, rn, CASE WHEN give THEN live[2:] ELSE live END, cast(CASE WHEN quiet THEN zone0 ELSE zone END AS bigint),
+    cast(CASE WHEN quiet THEN used0 WHEN give AND live[1].rank = 2 THEN used + 1 ELSE used END AS bigint), CASE WHEN give THEN live[1].no END
+  FROM (SELECT *, coalesce(len(live) > 0 AND (live[1].rank = 0 OR (zone >= 0 AND (live[1].rank = 1 OR used < 2))), false) AS give
+    FROM (SELECT t.session_uid, t.rn, t.quiet, t.zone, d.zone AS zone0, d.used AS used0, CASE WHEN t.zone <> d.zone THEN 0 ELSE d.used END AS used,
+        CASE WHEN t.quiet THEN [] ELSE list_sort([m for m in list_concat(d.waiting, t.fresh)
+          if t.lap <= m.last_lap AND t.at_ms - m.born <= CASE m.rank WHEN 0 THEN 8000 WHEN 1 THEN 30000 ELSE 60000 END]) END AS live
+      FROM d JOIN o_delivery_ticks t ON t.session_uid = d.session_uid AND t.rn = d.rn + 1) a) b)
+SELECT d.session_uid, t.tick, t.at_ms, d.message_no FROM d JOIN o_delivery_ticks t USING (session_uid, rn) WHERE d.message_no IS NOT NULL""")
+
+
+@query("R23_message_delivery", "SELECT * FROM o_delivered")
 def _(x):
     return deliveries(x)[2]
 
 
-@query("R26_delivered_log")
+@query("R26_delivered_log", """
+SELECT o.*, m.priority, m.text, p.lap, p.pos, p.sector, p.pit_state, p.letter, p.tyre_age FROM o_delivered o
+JOIN o_said m USING (session_uid, message_no) JOIN o_pt p ON p.session_uid = o.session_uid AND p.tick = o.tick""")
 def _(x):
     t, msgs, out = deliveries(x)
     log = out.join(msgs.select("session_uid", "message_no", "priority", "text"), ["session_uid", "message_no"])
