@@ -10,7 +10,7 @@ once all of its lanes are beyond the radius. A bucket gives a spanning list of l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -213,10 +213,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     a deduplication keeps (and for rows repeating it: equal id and text). Repeated rows each get a row. An
     empty table gives none.
     """
-    fps = stored(fingerprints(docs, text, key), "fingerprints")
+    return classified(stored(fingerprints(docs, text, key), "fingerprints"), lambda nodes: links(nodes.select("fp")))
+
+
+def classified(fps: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fps(doc_id, text_hash, fp)``, and ``bands`` if any, with the class and keeper of each row; ``links_of``
+    gives the links of the distinct ``nodes(fp, first)``, ``first`` being the row of the smallest id."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = stored(fps.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
-    roots = stored(components(links(nodes.select("fp"))), "roots")
+    bands = [F.first("bands").alias("bands")] if "bands" in fps.columns else []  # the same for all of a node
+    nodes = stored(fps.groupBy("fp").agg(F.min(first).alias("first"), *bands), "nodes")
+    roots = stored(components(links_of(nodes)), "roots")
     classes = roots.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("best"))
     joined = roots.join(classes, "root").select(F.col("node").alias("fp"), "best")
     named = nodes.join(joined, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
@@ -224,10 +230,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", F.col("best.doc_id").alias("component_id"), keeper.alias("keeper"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each class: the smallest id, nulls last. Of repeated rows (equal id and
-    text) one stays. All columns are kept."""
-    keep = stored(near_duplicates(docs, text, key).where("keeper").select("doc_id", "text_hash"), "keepers")
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one document of each class that ``find`` gives: the smallest id, nulls last. Of repeated
+    rows (equal id and text) one stays. All columns are kept."""
+    keep = stored(find(docs, text, key).where("keeper").select("doc_id", "text_hash"), "keepers")
     left = docs.withColumn("_hash", F.xxhash64(text)).alias("d")
     same = F.col(f"d.{key}").eqNullSafe(F.col("k.doc_id")) & (F.col("d._hash") == F.col("k.text_hash"))
     left = left.join(keep.distinct().alias("k"), same, "left_semi")
