@@ -200,15 +200,17 @@ def token_ids(rows: DataFrame, path: str, split: Callable[[str], list[str]], end
     return rows.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
 
-def write_orc(docs: DataFrame, folder: str, path: str, split: Callable[[str], list[str]] = split_units, end_id: int = 0, text: str = "text", key: str = "doc_id") -> None:
-    """Write the ids of ``docs`` as ORC under ``folder``, in ascending id over all files.
+def write_orc(docs: DataFrame, folder: str, path: str, split: Callable[[str], list[str]] = split_units, end_id: int = 0, text: str = "text", key: str = "doc_id", order: str | None = None) -> None:
+    """Write the ids of ``docs`` as ORC under ``folder``, in ascending id over all files, or by ``order``.
 
-    Each row is (part, row, doc_id, ids). A part is a range of ids, as Spark's range partitioning cuts them;
-    within it rows ascend by id, null ids first, equal ids by text. ORC run-length encodes the ids; stripes,
-    row indexes and Bloom filters on doc_id let tasks read stripes in parallel and skip those without an id.
+    Each row is (part, row, doc_id, ids). A part is a range of ids, or of the column ``order``, as Spark's range
+    partitioning cuts them; within it rows ascend by it, nulls first, then by id, null ids first, equal ids by
+    text. ORC run-length encodes the ids; stripes, row indexes and Bloom filters on doc_id let tasks read stripes
+    in parallel and skip those without an id.
     """
-    rows = renamed(docs, doc_id=key, text=text).repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = renamed(docs, doc_id=key, text=text, **({"place": order} if order else {}))
+    by = [F.col(c).asc_nulls_first() for c in (["place"] if order else []) + ["doc_id"]]
+    ordered = rows.repartitionByRange(by[0]).sortWithinPartitions(*by, "text")
     token_ids(ordered, path, split, end_id).write.options(**ORC).orc(folder)
 
 
@@ -242,12 +244,12 @@ def digests(rows: DataFrame) -> DataFrame:
     return own.join(starts, "part").select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def binary_output(docs: DataFrame, path: str, split: Callable[[str], list[str]] = split_units, end_id: int = 0, text: str = "text", key: str = "doc_id") -> tuple[str, DataFrame]:
+def binary_output(docs: DataFrame, path: str, split: Callable[[str], list[str]] = split_units, end_id: int = 0, text: str = "text", key: str = "doc_id", order: str | None = None) -> tuple[str, DataFrame]:
     """Write ``docs`` in a new shared folder and read them back: the folder and the digest rows.
 
-    Null and empty texts give the end id alone. Rows of equal id lie together, ordered by text. An empty
-    table gives no rows.
+    Null and empty texts give the end id alone. Without ``order`` rows of equal id lie together, ordered by
+    text; with it, rows lie by that column. An empty table gives no rows.
     """
     folder = shared_path(docs.sparkSession, "tokens")
-    write_orc(docs, folder, path, split, end_id, text, key)
+    write_orc(docs, folder, path, split, end_id, text, key, order)
     return folder, digests(read_orc(docs.sparkSession, folder))
