@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 from apexframe.llm.common import id_type, renamed, slices, stored, texts
 
 ORDERS = (1, 2, 3, 5)  # bytes of context
-LEAST_TIMES = (1, 1, 1, 2, 2)  # a context and symbol met less often in a task's block is not worth a slot
 BACK = 5  # bytes a key holds in full, FAR with its hash
 FAR = 9
 PREDICTORS = len(ORDERS) + 1
@@ -146,10 +145,9 @@ class Contexts:
         flat = counts.reshape(-1)
         for k, (at, _, _, _) in enumerate(self.groups):
             n = np.add.reduceat(times, at).astype(counts.dtype)
-            keep = n >= LEAST_TIMES[k]
             for bit in range(8):
                 slot, taken = self.slots(k, bit)
-                np.add.at(flat, (2 * slot + taken)[keep], n[keep])
+                np.add.at(flat, 2 * slot + taken, n)
 
     def looked_up(self, counts: np.ndarray, bit: int, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds (PREDICTORS, n) of a one, and the gate's upper part. ``leave_out``: without one own occurrence."""
