@@ -17,6 +17,7 @@ of blocks are joined, sets of one class counting as linked.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,10 @@ SHINGLE = 5
 LEAST = (4, 5)  # similarity of linked sets, as a fraction
 SEED = 42
 COUNTERS = 24  # bits: 16.8 million counters, a byte each where they are sent to all tasks
-CHUNK = 1 << 16  # counters of one row
+CHUNK = 1 << 14  # counters of one row
 BLOCK = 4096  # sets that are joined in one task, at most ...
-BLOCK_GRAMS = 4 << 20  # ... and about so many n-grams
-REMEMBERED = 400_000  # words whose hashes a worker remembers before it starts anew
+BLOCK_GRAMS = 1 << 20  # ... and about so many n-grams
+REMEMBERED = 200_000  # words whose hashes a worker remembers before it starts anew
 SHARE = 2000  # a node of more than one in so many rows is sent to all tasks: fewer than so many nodes
 ODD = [np.uint64(x | 1) for x in np.random.default_rng(SEED).integers(0, 1 << 63, SHINGLE, np.uint64).tolist()]
 
@@ -100,7 +101,8 @@ def described(docs: DataFrame, text: str = "text", key: str = "doc_id", size: in
         for chunk, held in enumerate(counts.reshape(-1, CHUNK)):
             if held.any():
                 empty = [pa.nulls(1, blank.type), *[pa.nulls(1, pa.int64()) for _ in range(3)]]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([chunk], pa.int32()), pa.array([held.tobytes()], pa.binary())], names)
+                small = held.astype(np.min_scalar_type(held.max()))
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([chunk], pa.int32()), pa.array([zlib.compress(small, 1)], pa.binary())], names)
 
     fields = [T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType())]
     fields += [T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())]
@@ -124,7 +126,8 @@ def rarity(counters: DataFrame) -> np.ndarray:
                     if at is not None:
                         yield out(at, total)
                     at, total = chunk, np.zeros(CHUNK, np.int64)
-                total += np.frombuffer(counts.as_buffer(), np.uint32)
+                held = zlib.decompress(counts.as_buffer())
+                total += np.frombuffer(held, f"u{len(held) // CHUNK}")
         if at is not None:
             yield out(at, total)
 
