@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,8 @@ CHUNK = 1 << 14  # counters of one row
 BLOCK = 4096  # sets that are joined in one task, at most ...
 BLOCK_GRAMS = 1 << 20  # ... and about so many n-grams
 REMEMBERED = 200_000  # words whose hashes a worker remembers before it starts anew
+MARKS = 27  # bits of the place of a row's mark
+LEAST_HOT = 500  # an n-gram counted less often than this is never handled as frequent
 SHARE = 2000  # a node of more than one in so many rows is sent to all tasks: fewer than so many nodes
 ODD = [np.uint64(x | 1) for x in np.random.default_rng(SEED).integers(0, 1 << 63, SHINGLE, np.uint64).tolist()]
 
@@ -147,13 +149,19 @@ def prefix(n: int) -> int:
     return n - -(-n * LEAST[0] // LEAST[1]) + 1 if n else 0
 
 
-def prefixes(docs: DataFrame, classes, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """``(fp, grams)``: the prefix of each set; a task gives a set once as long as it remembers it."""
+def prefixes(docs: DataFrame, classes, frequent: int, text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``(fp, grams, hot)``: the prefix of each set, n-grams of a class above ``frequent`` apart; a task gives a set once
+    as long as it remembers it."""
+
+    def listed(lists: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
+        values = np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in slices(batches, "text"):
-            fps, lists = [], []
+            fps, rare, hot = [], [], []
             for x in texts(batch):
                 found = grams(x, size)
                 fp = set_hash(found)
@@ -161,20 +169,29 @@ def prefixes(docs: DataFrame, classes, text: str = "text", key: str = "doc_id",
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known.add(fp)
+                    first = ordered(found, classes.value)[: prefix(len(found))]
+                    cut = int(np.searchsorted(classes.value[(first >> np.uint64(64 - COUNTERS)).astype(np.int64)], frequent, "right"))
                     fps.append(fp)
-                    lists.append(ordered(found, classes.value)[: prefix(len(found))])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
-            values = pa.array(np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["fp", "grams"])
+                    rare.append(first[:cut])
+                    hot.append(first[cut:])
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), listed(rare), listed(hot)], ["fp", "grams", "hot"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "fp long, grams array<long>")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "fp long, grams array<long>, hot array<long>")
 
 
 def leaders(prefixed: DataFrame) -> DataFrame:
-    """``(leader, fp)``: the nodes that meet at each leader, two or more."""
+    """``(leader, fp)``: the nodes that meet at each leader, two or more.
+
+    The nodes of an n-gram pass one after the other, the least first. The few n-grams that a large share of the texts
+    may hold are summed up where they are read, and joined back, so no task gets all of their nodes.
+    """
     each = prefixed.select("fp", F.explode("grams").alias("gram"))
-    met = each.groupBy("gram").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader < last").select("gram", "leader")
-    return each.join(met, "gram").select("leader", "fp").distinct()
+    led = each.withColumn("leader", F.first("fp").over(Window.partitionBy("gram").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0)))
+    hot = prefixed.select("fp", F.explode("hot").alias("gram"))
+    least = hot.groupBy("gram").agg(F.min("fp").alias("leader"))
+    others = led.select("leader", "fp").unionByName(hot.join(least, "gram").select("leader", "fp")).where("leader <> fp").distinct()
+    others = stored(others, "led")
+    return others.unionByName(others.select("leader", F.col("leader").alias("fp")).distinct())
 
 
 def dealt(members: DataFrame, nodes: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -186,18 +203,46 @@ def dealt(members: DataFrame, nodes: DataFrame, block: int = BLOCK, block_grams:
     return stored(sized.join(once.select("leader", blocks.alias("blocks")), "leader"), "dealt")
 
 
-def sets(docs: DataFrame, wanted: DataFrame, classes, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """``(fp, data)``: the sets of the nodes ``wanted(fp, doc_id, text_hash)``, read again from their texts."""
-    whole = renamed(docs, doc_id=key, text=text).withColumn("text_hash", F.xxhash64("text"))
-    wanted = wanted.select("fp", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    whole = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("fp", "text")
+def marked(wanted: DataFrame) -> np.ndarray:
+    """A bit for the hash of each row ``(doc_id, text_hash)``; 16 MB whatever the input."""
+    at = _mark("doc_id", "text_hash") + 1
+    bits = wanted.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    found = np.zeros(1 << (MARKS - 3), np.uint8)
+    for row in bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        data = np.frombuffer(row.bits, np.uint8)
+        found[(row.bucket - 1) * len(data) : row.bucket * len(data)] = data
+    return found
+
+
+def _mark(*columns: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - MARKS)
+
+
+def sets(docs: DataFrame, marks, classes, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
+    """``(fp, data)``: the sets of at least the marked rows, read again from their texts, frequent n-grams first. A row
+    whose hash is marked by chance is left over in the join; a task gives a set once as long as it remembers it."""
+    rows = renamed(docs, doc_id=key, text=text).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.select(_mark("doc_id", "text_hash").alias("at"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data = [ordered(grams(x, size), classes.value)[::-1].tobytes() for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(data, pa.binary())], ["fp", "data"])
+        known: set[int] = set()
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            batch = batch.filter(pa.array((marks.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+            for part in slices(iter([batch]), "text"):
+                fps, data = [], []
+                for x in texts(part):
+                    found = grams(x, size)
+                    fp = set_hash(found)
+                    if fp and fp not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known.add(fp)
+                        fps.append(fp)
+                        data.append(ordered(found, classes.value)[::-1].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(data, pa.binary())], ["fp", "data"])
 
-    return whole.mapInArrow(run, "fp long, data binary").dropDuplicates(["fp"])  # repeated rows give a set again
+    return rows.mapInArrow(run, "fp long, data binary")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -345,7 +390,8 @@ def _links(classes):
 
 
 def links(members: DataFrame, read: DataFrame, classes) -> DataFrame:
-    """``members(leader, fp, n, blocks)`` and ``read(fp, data)`` -> links ``(a, b)`` whose components are those of all similar pairs."""
+    """``members(leader, fp, n, blocks)`` and ``read(fp, data)`` -> links ``(a, b)`` whose components are those of all similar
+    pairs. A set that comes twice does no harm."""
     mine = F.pmod(F.xxhash64("fp", F.lit(SEED)), F.col("blocks"))
 
     def walked(rows: DataFrame) -> DataFrame:
@@ -378,10 +424,13 @@ def similar_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     classes = spark.sparkContext.broadcast(rarity(counters))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = stored(rows.where("n > 0").groupBy("fp").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
-    prefixed = stored(prefixes(docs, classes, text, key, size), "prefixes")
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    frequent = int(np.log2(max(total / SHARE, LEAST_HOT) + 1) * 8)
+    prefixed = stored(prefixes(docs, classes, frequent, text, size), "prefixes")
     members = dealt(leaders(prefixed), nodes, block, block_grams)
     wanted = members.select("fp").distinct().join(nodes, "fp").select("fp", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    edges = stored(links(members, stored(sets(docs, wanted, classes, text, key, size), "sets"), classes), "links")
+    marks = spark.sparkContext.broadcast(marked(wanted))
+    edges = stored(links(members, sets(docs, marks, classes, text, key, size), classes), "links")
     roots = stored(components(edges), "roots")
     best = roots.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("best"))
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
