@@ -6,6 +6,9 @@ decides how much work there is: any order gives the same links. Of two linked se
 n-grams of each share one, so a node is sent where these are. All nodes that share such an n-gram go to the least
 node among them, their leader; a group of near copies so meets at a few leaders and not at each of its n-grams.
 
+Before whole sets move, leaders see a bit image of each: the parity of its n-grams at each of about 2 n places. Images differ
+in no more places than the sets in n-grams, so a node whose image is too far from all others at a leader is not sent there.
+
 At a leader the sets, turned from frequent to rare, lie in a radix trie. A set walks it once: the overlap with a path
 is counted once for all sets below it, and a subtree is left where its sizes or the n-grams remaining on either side
 cannot reach the overlap that 0.8 needs, or where all of its sets are linked to the walker already. A leader gives
@@ -149,9 +152,37 @@ def prefix(n: int) -> int:
     return n - -(-n * LEAST[0] // LEAST[1]) + 1 if n else 0
 
 
+def image(found: np.ndarray) -> np.ndarray:
+    """The parity of a set's n-grams at each place, as words of 64 places; places are a power of two, at least 2 n."""
+    places = 1 << max(6, (2 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def plausible(sizes: np.ndarray, images: list[np.ndarray]) -> np.ndarray:
+    """Which sets may be similar to another one, by their sizes and images; no set that is gets lost."""
+    out = np.zeros(len(sizes), bool)
+    width = np.array([len(x) for x in images])
+    for w in np.unique(width):
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        both = np.concatenate((own, wider))
+        folded = [images[k] for k in own] + [images[k][:w] ^ images[k][w:] for k in wider]
+        grid = np.stack(folded)
+        step = max(1, (1 << 21) // grid.size)
+        for a in range(0, len(own), step):
+            some = slice(a, min(a + step, len(own)))
+            apart = np.bitwise_count(grid[some, None, :] ^ grid[None, :, :]).sum(axis=2, dtype=np.int64)
+            x, y = sizes[own[some]][:, None], sizes[both][None, :]
+            near = (apart * (2 * LEAST[1] - 1) <= x + y) & (np.minimum(x, y) * LEAST[1] >= np.maximum(x, y) * LEAST[0])
+            near[np.arange(near.shape[0]), np.arange(a, a + near.shape[0])] = False
+            out[own[some]] |= near.any(axis=1)
+            out[both] |= near.any(axis=0)
+    return out
+
+
 def prefixes(docs: DataFrame, classes, frequent: int, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``(fp, grams, hot)``: the prefix of each set, n-grams of a class above ``frequent`` apart; a task gives a set once
-    as long as it remembers it."""
+    """``(fp, grams, hot, image)``: the prefix of each set, n-grams of a class above ``frequent`` apart; a task gives a set
+    once as long as it remembers it."""
 
     def listed(lists: list[np.ndarray]) -> pa.Array:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
@@ -161,7 +192,7 @@ def prefixes(docs: DataFrame, classes, frequent: int, text: str = "text", size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in slices(batches, "text"):
-            fps, rare, hot = [], [], []
+            fps, rare, hot, images = [], [], [], []
             for x in texts(batch):
                 found = grams(x, size)
                 fp = set_hash(found)
@@ -174,9 +205,10 @@ def prefixes(docs: DataFrame, classes, frequent: int, text: str = "text", size:
                     fps.append(fp)
                     rare.append(first[:cut])
                     hot.append(first[cut:])
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), listed(rare), listed(hot)], ["fp", "grams", "hot"])
+                    images.append(image(found).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), listed(rare), listed(hot), pa.array(images, pa.binary())], ["fp", "grams", "hot", "image"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "fp long, grams array<long>, hot array<long>")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "fp long, grams array<long>, hot array<long>, image binary")
 
 
 def leaders(prefixed: DataFrame) -> DataFrame:
@@ -195,12 +227,37 @@ def leaders(prefixed: DataFrame) -> DataFrame:
 
 
 def dealt(members: DataFrame, nodes: DataFrame, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``(leader, fp, n, blocks)``: leaders of equal members are taken once; ``blocks`` is how many one is cut into."""
-    sized = stored(members.join(nodes.select("fp", "n"), "fp"), "members")
+    """``(leader, fp, n, blocks)``: leaders of equal members are taken once; ``blocks`` is how many one is cut into. Nodes
+    that can have no similar one at a leader of one block are left out there."""
+    sized = stored(members.join(nodes, "fp"), "members")
     each = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("grams"), F.bit_xor(F.xxhash64("fp")).alias("who"))
     once = each.groupBy("held", "who").agg(F.min("leader").alias("leader"), F.max("grams").alias("grams"))
     blocks = F.greatest(F.ceil(F.col("held") / block), F.ceil(F.col("grams") / block_grams)).cast("long")
-    return stored(sized.join(once.select("leader", blocks.alias("blocks")), "leader"), "dealt")
+    rows = sized.join(once.select("leader", blocks.alias("blocks")), "leader")
+    single = rows.where("blocks = 1").select("leader", "fp", "n", "image").repartition("leader").sortWithinPartitions("leader")
+    kept = single.mapInArrow(_plausible, "leader long, fp long, n long").withColumn("blocks", F.lit(1).cast("long"))
+    return stored(kept.unionByName(rows.where("blocks > 1").select("leader", "fp", "n", "blocks")), "dealt")
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by leader; a leader may go on in the next batch."""
+
+    def out(leader: int, held: list) -> pa.RecordBatch:
+        fps, sizes, images = zip(*held)
+        keep = plausible(np.array(sizes, np.int64), [np.frombuffer(x, np.uint64) for x in images])
+        fps, sizes = np.array(fps, np.int64)[keep], np.array(sizes, np.int64)[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), leader, np.int64)), pa.array(fps), pa.array(sizes)], ["leader", "fp", "n"])
+
+    leader, held = None, []
+    for batch in batches:
+        for key, *row in zip(*[batch[c].to_pylist() for c in ("leader", "fp", "n", "image")]):
+            if key != leader:
+                if held:
+                    yield out(leader, held)
+                leader, held = key, []
+            held.append(row)
+    if held:
+        yield out(leader, held)
 
 
 def marked(wanted: DataFrame) -> np.ndarray:
@@ -427,7 +484,8 @@ def similar_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     total = nodes.agg(F.sum("copies")).first()[0] or 0
     frequent = int(np.log2(max(total / SHARE, LEAST_HOT) + 1) * 8)
     prefixed = stored(prefixes(docs, classes, frequent, text, size), "prefixes")
-    members = dealt(leaders(prefixed), nodes, block, block_grams)
+    images = prefixed.select("fp", "image").dropDuplicates(["fp"])
+    members = dealt(leaders(prefixed), nodes.select("fp", "n").join(images, "fp"), block, block_grams)
     wanted = members.select("fp").distinct().join(nodes, "fp").select("fp", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     marks = spark.sparkContext.broadcast(marked(wanted))
     edges = stored(links(members, sets(docs, marks, classes, text, key, size), classes), "links")
