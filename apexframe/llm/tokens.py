@@ -9,6 +9,7 @@ unit is encoded once and a long text never is one call.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain, pairwise
@@ -33,6 +34,7 @@ CALL_BYTES = 1 << 20  # of units in one call of the library
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: Unicode White_Space
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORDS = re.compile(f"[^{SPACE}]+")
+MEETING = re.compile(f"[{SPACE}][{SPACE}]")
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # Python calls these white space, the tokenizers do not
 
 JOINED = re.compile(f"[{SPACE}]+[^{SPACE}]")  # how units begin that stay apart when joined
@@ -110,8 +112,60 @@ def joined_ids(path: str, units: list[str]) -> list[bytes] | None:
     return [data[a:b] for a, b in pairwise(cuts)]
 
 
-def packed(path: str, units: list[str]) -> Iterator[bytes]:
-    """Ids of each unit as little-endian integers."""
+# Letters, digits and marks that the byte-level pre-tokenizer certainly keeps in runs of one kind. Apostrophes may be
+# contractions and '<' may begin a special token, so units with them, or anything else, go to the library whole.
+LETTER, MARK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f", r'!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~'
+PLAIN = re.compile(rf"(?:\n| )?[{LETTER}0-9{MARK}]+")
+PIECES = re.compile(rf"\n| ?[{LETTER}]+| ?[0-9]+| ?[{MARK}]+")
+PIECES_KEPT = 300_000
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+HIDDEN = [b for b in range(256) if b not in SHOWN]
+LETTERS = {b: chr(b if b in SHOWN else 256 + HIDDEN.index(b)) for b in range(256)}
+
+
+class Pieces(dict):
+    """Ids of pieces that the pre-tokenizer keeps whole, by the vocabulary's model."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES_KEPT:
+            self.clear()
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def _runs_apart(path: str) -> bool:
+    """Whether the vocabulary is byte-level BPE over runs of letters, digits and marks, with nothing before it."""
+    tokenizer = None if path.endswith(".model") else _tokenizer(path)
+    pre = getattr(tokenizer, "pre_tokenizer", None)
+    plain = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and tokenizer.normalizer is None
+    return plain and type(tokenizer.model).__name__ == "BPE"
+
+
+def packed(path: str, units: list[str]) -> list[bytes]:
+    """Ids of each unit as little-endian integers. Of plain units the pieces are given to the vocabulary's model, each
+    once; other units go through the whole tokenizer."""
+    if not _runs_apart(path):
+        return list(packed_whole(path, units))
+    if path not in _pieces:
+        _pieces[path] = Pieces(_tokenizer(path).model)
+    ids, find, plain = _pieces[path].__getitem__, PIECES.findall, PLAIN.fullmatch
+    out = [b"".join(map(ids, find(u))) if plain(u) else None for u in units]
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, x in zip(rest, packed_whole(path, [units[i] for i in rest])):
+        out[i] = x
+    return out
+
+
+def packed_whole(path: str, units: list[str]) -> Iterator[bytes]:
+    """Ids of each unit as little-endian integers, by the library's tokenizer."""
     single = [np.array(ids, "<u4").tobytes() for ids in encode_units(path, [u for u in units if not JOINED.match(u)])]
     rest = [u for u in units if JOINED.match(u)]
     many = joined_ids(path, rest) if rest and not path.endswith(".model") else None
@@ -178,21 +232,87 @@ def token_counts(docs: DataFrame, path: str, split: Callable[[str], list[str]] =
     return rows.mapInArrow(run, T.StructType(fields))
 
 
+def pieces(text: str, split: Callable[[str], list[str]]) -> list:
+    """The units of ``text`` as keys of ``Codes``: a unit as a tuple, or the text after a single space, or from a line
+    feed on, as a string. Where no two white spaces meet, a text falls into these by one plain split."""
+    if split is not split_units or MEETING.search(text):
+        return [(u,) for u in split(text)]
+    keys: list = text.replace("\n", " \n").split(" ")
+    if keys[0]:
+        keys[0] = (keys[0],)
+        return keys
+    return keys[1:]
+
+
+class Codes(dict):
+    """Numbers of the units that a worker has met, and the ids of each in one array.
+
+    Once more than ``REMEMBERED`` are held, those met longest ago go, about half.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.path, self.fresh, self.clock = path, [], 0
+        self.start, self.length, self.stamp = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
+
+    def __missing__(self, key) -> int:
+        code = self[key] = len(self)
+        self.fresh.append(key[0] if isinstance(key, tuple) else key if key[:1] == "\n" else " " + key)
+        return code
+
+    def encode(self, texts: list[str], split: Callable[[str], list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and where each text ends."""
+        if len(self) > REMEMBERED:
+            self._forget()
+        found = [np.fromiter(map(self.__getitem__, keys), np.int64, len(keys)) for keys in (pieces(x, split) for x in texts)]
+        self._settle()
+        codes = np.concatenate(found)
+        self.clock += 1
+        self.stamp[codes] = self.clock
+        size = self.length[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.start[codes] - ends + size, size) + np.arange(total)]
+        after = np.concatenate(([0], ends))[np.cumsum([len(x) for x in found])]
+        return np.insert(ids, after, end_id), after + np.arange(1, len(texts) + 1)
+
+    def _settle(self) -> None:
+        """Encode the units first met since the last call."""
+        data = packed(self.path, self.fresh)
+        size = np.array([len(x) for x in data], np.int64) // 4
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+        self.length = np.concatenate((self.length, size))
+        self.stamp = np.concatenate((self.stamp, np.zeros(len(data), np.int64)))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(data), "<u4")))
+        self.fresh = []
+
+    def _forget(self) -> None:
+        keep = self.stamp > np.median(self.stamp)
+        kept = [key for key, k in zip(self, keep.tolist()) if k]
+        size = self.length[keep]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(self.start[keep] - ends + size, size) + np.arange(size.sum())]
+        self.start, self.length, self.stamp = ends - size, size, self.stamp[keep]
+        self.clear()
+        self.update(zip(kept, range(len(kept))))
+
+
+_codes: dict[str, Codes] = {}
+
+
 def token_ids(rows: DataFrame, path: str, split: Callable[[str], list[str]], end_id: int) -> DataFrame:
     """``rows(doc_id, text)`` as ``(part, row, doc_id, ids)``: the ids with the end id last, the number of
     the partition, and of the row in it."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
+        codes = _codes.setdefault(path, Codes(path))
         for batch in slices(batches, "text"):
-            lists = [split(x or "") for x in batch["text"].to_pylist()]
-            ids = _memory(path, packed).fill(path, lists, packed)
-            encoded = [b"".join([*map(ids, units), end]) for units in lists]
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in encoded]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(encoded), "<u4").view("<i4"))
+            ids, ends = codes.encode([x or "" for x in batch["text"].to_pylist()], split, end_id)
             n = batch.num_rows
-            columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), values)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view("<i4")))
+            columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch["doc_id"], lists]
             yield pa.RecordBatch.from_arrays(columns, ["part", "row", "doc_id", "ids"])
             row += n
 
