@@ -1,25 +1,21 @@
-"""Alert rules over player ticks, written as ordered look-backs.
+"""Alert rules over player ticks, written as what they remember of earlier ticks.
 
-Every rule takes player ticks already gated to the pit states and session kinds it applies to, so a
-gated-out tick never touches its look-backs, and returns (session_uid, tick, rule, priority,
-ttl_laps, text). Rules whose next firing depends on their last one live in ``streaming.latches``.
+A rule is a generator (see ``memory``): it is handed the condition under which a tick counts for it, its gate, asks
+for look-backs, and returns messages. A gated-out tick never touches its look-backs. ``said`` runs any set of rules
+in one pass over the ticks, in a batch or a stream, and gives (session_uid, tick, rule, priority, ttl_laps, text).
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.functions import rows, stats
+from apexframe.functions import rows
 from apexframe.functions import text as tx
-from apexframe.operators import feed
 from apexframe.operators import ticks as tk
+from apexframe.operators.memory import Engine, Message, count, lag, last, least, most, remembered, spoken
 
 c = F.col
-KEY = ["session_uid"]
-_walk = partial(stats.along, span=0)  # player ticks: at most 65,536 one-second rows per session
 # Fixed values throughout this module: message texts, priorities, lifetimes in laps and thresholds.
 OUT = ["session_uid", "tick", "rule", "priority", "ttl_laps", "text"]
 PRACTICE, QUALIFYING, RACE = "PRACTICE", "QUALIFYING", "RACE"
@@ -40,30 +36,102 @@ GATES = {
 }
 
 
-def player_ticks(cars: DataFrame) -> DataFrame:
-    """One row per tick: the player, the cars one place ahead and behind, pit state and kind."""
-    near = ("car", "name", "lap", "lap_distance", "delta_front_ms", "result_status", "pit_status", "speed", "tyre", "tyre_age", "worn")
+STOP_KMH = 5
+BEFORE_ALL = -(2**62)
+NEAR = ("car", "name", "lap", "lap_distance", "delta_front_ms", "result_status", "pit_status", "speed", "tyre", "tyre_age", "worn")
+FIELD = ("car", "name", "ai", "pos", "lap", "sector", "s1_ms", "s2_ms", "last_lap_ms", "speed_trap", "pit_status", "lap_distance", "result_status")
+
+
+def around(cars: DataFrame) -> DataFrame:
+    """One row per tick: the player, the cars one place ahead and behind, and the field of at most 22 cars.
+
+    Everything of a tick comes from its own rows, which lie together once sessions do.
+    """
+    from pyspark.sql import Window
+
     wide = cars.withColumn("worn", F.greatest("wear_rl", "wear_rr", "wear_fl", "wear_fr"))
-    side = F.struct("pos", *near)
-    both = wide.withColumn("_a", F.lag(side).over(tk.by_pos())).withColumn("_b", F.lead(side).over(tk.by_pos()))
+    side = F.struct("pos", *NEAR)
+    whole = Window.partitionBy(*tk.TICK)
+    both = wide.withColumns({
+        "_a": F.lag(side).over(tk.by_pos()), "_b": F.lead(side).over(tk.by_pos()), "field": F.collect_list(F.struct(*FIELD)).over(whole)})
     player = both.where(c("ai") == 0)
     player = player.withColumn("ahead", F.when(c("_a.pos") == c("pos") - 1, c("_a"))).withColumn(
         "behind", F.when(c("_b.pos") == c("pos") + 1, c("_b"))
     )
-    shaped = player.drop("_a", "_b").withColumn("seq", c("tick")).withColumn("kind", rows.session_kind(c("session_type")))
-    state = feed.pit_states(shaped, KEY, span=0)
-    prev = _walk(state, KEY, "tick", lags={"prev_pit_state": "pit_state"})
-    return (
-        prev.withColumn("prev_pit_state", F.coalesce("prev_pit_state", "pit_state"))
-        .withColumn("letter", tx.code_letter(c("tyre"))).withColumn("track_m", F.lit(5000)).withColumn("total_laps", F.lit(20))
+    return labelled(player.drop("_a", "_b"))
+
+
+def from_documents(ticks: DataFrame, cars: str = "cars") -> DataFrame:
+    """As ``around``, from one row per tick holding its cars as an array; needs no shuffle, so it serves streams."""
+    worn = F.transform(cars, lambda x: x.withField("worn", F.greatest(x["wear_rl"], x["wear_rr"], x["wear_fl"], x["wear_fr"])))
+    t = ticks.withColumn(cars, worn).withColumn("_me", F.get(F.filter(cars, lambda x: x["ai"] == 0), F.lit(0))).where(c("_me").isNotNull())
+    side = lambda place: F.get(F.transform(
+        F.filter(cars, lambda x: x["pos"] == c("_me.pos") + place), lambda x: F.struct(x["pos"].alias("pos"), *[x[n].alias(n) for n in NEAR])), F.lit(0))
+    field = F.transform(cars, lambda x: F.struct(*[x[n].alias(n) for n in FIELD]))
+    own = [n for n in ticks.columns if n != cars]
+    return labelled(t.select(*own, *[c(f"_me.{n}").alias(n) for n in t.select("_me.*").columns if n not in own], side(-1).alias("ahead"), side(1).alias("behind"), field.alias("field")))
+
+
+def labelled(player: DataFrame) -> DataFrame:
+    return player.withColumns({
+        "kind": rows.session_kind(c("session_type")), "letter": tx.code_letter(c("tyre")), "track_m": F.lit(5000), "total_laps": F.lit(20)})
+
+
+def player_ticks(cars: DataFrame) -> DataFrame:
+    """One row per tick: the player, the cars around, the field, pit state and kind."""
+    return with_pit_state(around(cars))
+
+
+def pit_state(on: Column):
+    """The state of a tick and of the one before.
+
+    Status 0 and 2 decide alone. In a run of status 1 the car enters, has stopped from its first slow tick on, and
+    exits from the first fast tick after that; a run that starts from a stop, or with the session, has already
+    stopped. After an entry from the track, or at the begin, speed counts only from the run's second tick on.
+    """
+    lane = c("pit_status") == 1
+    q = yield {"was": lag("pit_status"), "came": last("pit_status", ~lane), "since": last("tick", ~lane)}
+    later = lane & F.coalesce(q.was == 1, F.lit(False))
+    stopped_before = q.came.isNull() | (q.came != 0)
+    since = F.coalesce(q.since, F.lit(BEFORE_ALL))
+    fast = (later | (lane & (q.came == 2))) & (c("speed") >= STOP_KMH)
+    s = yield {"slow": last("tick", later & (c("speed") < STOP_KMH), prior=False)}
+    stopped = stopped_before | F.coalesce(s.slow > since, F.lit(False))
+    e = yield {"left": last("tick", fast & stopped, prior=False)}
+    state = (
+        F.when(c("pit_status") == 0, "ON_TRACK").when(c("pit_status") == 2, "PIT_STOPPED")
+        .when(F.coalesce(e.left > since, F.lit(False)), "PIT_EXIT").when(stopped, "PIT_STOPPED").otherwise("PIT_ENTRY")
     )
+    p = yield {"prev": lag(state)}
+    return state, F.coalesce(p.prev, state)
+
+
+def with_pit_state(ticks: DataFrame, engine: Engine | None = None) -> DataFrame:
+    out, found = remembered(ticks, {"pit": (pit_state, F.lit(True))}, engine)
+    state, prev = found["pit"]
+    return out.select(*ticks.columns, state.alias("pit_state"), prev.alias("prev_pit_state"))
 
 
-def gate(ticks: DataFrame, rule: str) -> DataFrame:
+def gate(rule: str) -> Column:
+    """Ticks that count for a rule."""
     states, kinds = GATES[rule]
+    on = F.lit(True)
     if states:
-        ticks = ticks.where(c("pit_state").isin(*states))
-    return ticks.where(c("kind").isin(*kinds)) if kinds else ticks
+        on = on & c("pit_state").isin(*states)
+    return on & c("kind").isin(*kinds) if kinds else on
+
+
+def said(ticks: DataFrame, *names: str, engine: Engine | None = None) -> DataFrame:
+    """Messages of the rules ``names`` (all of ``RULES`` if none are given) from one pass over the ticks."""
+    out, messages = evaluated(ticks, *names, engine=engine)
+    return spoken(out, messages)
+
+
+def evaluated(ticks: DataFrame, *names: str, engine: Engine | None = None) -> tuple[DataFrame, list[Message]]:
+    """The ticks with all that the rules remember, and the rules' messages over them."""
+    wanted = {n: (RULES[n], F.coalesce(gate(n), F.lit(False))) for n in names or RULES}
+    out, found = remembered(ticks, wanted, engine)
+    return out, [m for each in found.values() for m in each]
 
 
 def gated_counts(ticks: DataFrame) -> DataFrame:
@@ -91,10 +159,13 @@ def cat(*parts: str | Column) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def greeting(ticks: DataFrame) -> DataFrame:
-    first = gate(ticks, "SessionStartGreeting").where(c("speed") >= 30).groupBy("session_uid").agg(
-        F.min_by(F.struct("tick", "kind", "session_type", "letter"), "tick").alias("t")
-    ).select("session_uid", "t.*")
+def _or_no(x: Column) -> Column:
+    return F.coalesce(x, F.lit(False))
+
+
+def greeting(on: Column):
+    start = on & (c("speed") >= 30)
+    q = yield {"said": count(start)}
     tyres = tx.capitalize(cat(tx.spoken_tyre(c("letter")), "s"))
     tyres = F.when(c("letter").isNull(), "Tyres").otherwise(tyres)
     # Handling notes and session labels.
@@ -116,78 +187,77 @@ def greeting(ticks: DataFrame) -> DataFrame:
         .when(c("kind") == "TIME_TRIAL", cat("Time trial. ", tyres, " on. Push for a clean lap."))
         .otherwise("Radio check. All systems go.")
     )
-    return say(first, "SessionStartGreeting", "NORMAL", 3, text)
+    return [Message("SessionStartGreeting", start & (q.said == 0), "NORMAL", 3, text)]
 
 
-def flag_changes(ticks: DataFrame) -> DataFrame:
-    seen = _walk(gate(ticks, "FlagChanges"), KEY, "tick", lags={"_was": "safety_car"})
-    over = seen.where((c("_was") > 0) & (c("safety_car") == 0))
-    return say(over, "FlagChanges", "IMMEDIATE", 2, F.lit("Safety car coming in. Green flag next lap. Push now, push now."))
+def flag_changes(on: Column):
+    q = yield {"was": lag("safety_car", on)}
+    over = on & (q.was > 0) & (c("safety_car") == 0)
+    return [Message("FlagChanges", over, "IMMEDIATE", 2, "Safety car coming in. Green flag next lap. Push now, push now.")]
 
 
-def penalties(ticks: DataFrame) -> DataFrame:
-    t = gate(ticks, "Penalties").withColumn("_u", c("unserved_dt") + c("unserved_sg"))
-    seen = _walk(t, KEY, "tick", lags={"q_u": "_u", "q_dt": "unserved_dt", "q_w": "warnings", "q_p": "pen"})
+def penalties(on: Column):
+    u = c("unserved_dt") + c("unserved_sg")
+    q = yield {"u": lag(u, on), "dt": lag("unserved_dt", on), "w": lag("warnings", on), "p": lag("pen", on)}
     was = lambda n: F.coalesce(n, F.lit(0))
-    kind = F.when(c("unserved_dt") > was("q_dt"), "drive-through").otherwise("stop-go")
-    unserved, warned, added = c("_u") > was("q_u"), c("warnings") > was("q_w"), c("pen") > was("q_p")
+    kind = F.when(c("unserved_dt") > was(q.dt), "drive-through").otherwise("stop-go")
+    unserved, warned, added = u > was(q.u), c("warnings") > was(q.w), c("pen") > was(q.p)
     text = (
         F.when(unserved, cat("You have an unserved ", kind, " penalty. Box this lap."))
         .when(warned, cat("Track limits warning. That's warning number ", c("warnings"), ". Be careful."))
-        .when(added, cat("Penalty received. ", c("pen") - was("q_p"), " seconds added. We'll talk strategy."))
+        .when(added, cat("Penalty received. ", c("pen") - was(q.p), " seconds added. We'll talk strategy."))
     )
     high = ~unserved & ~warned
-    return say(seen, "Penalties", F.when(high, "HIGH").otherwise("IMMEDIATE"), F.when(high, 3).otherwise(2), text)
-
-
-def tyre_condition(ticks: DataFrame) -> DataFrame:
-    seen = _walk(gate(ticks, "TyreCondition"), KEY, "tick", lags={"_was": "tyre_age"})
-    seen = seen.withColumn("_new", c("tyre_age") < F.coalesce("_was", F.lit(0)))
-    seen = _walk(seen, KEY, "tick", running={"_stint": ("sum", c("_new").cast("int"))})
-    old, aged = ~c("_new") & (c("tyre_age") >= 30), ~c("_new") & (c("tyre_age") >= 20)
-    seen = _walk(
-        seen, [*KEY, "_stint"], "tick",
-        running={"_n30": ("count", F.when(old, 1), "prior"), "_n20": ("count", F.when(aged, 1), "prior")},
-    )
-    spoken = tx.spoken_tyre(c("letter"))
-    done, worn = old & (c("_n30") == 0), aged & (c("tyre_age") < 30) & (c("_n20") == 0)
+    return [Message("Penalties", on, F.when(high, "HIGH").otherwise("IMMEDIATE"), F.when(high, 3).otherwise(2), text)]
+
+
+def tyre_condition(on: Column):
+    """Each age limit once per set; a younger age than before is a new set."""
+    q = yield {"was": lag("tyre_age", on)}
+    new = on & (c("tyre_age") < F.coalesce(q.was, F.lit(0)))
+    old, aged = on & ~new & (c("tyre_age") >= 30), on & ~new & (c("tyre_age") >= 20)
+    s = yield {"fitted": last("tick", new, prior=False), "old": last("tick", old), "aged": last("tick", aged)}
+    once = lambda at: ~_or_no(at >= F.coalesce(s.fitted, F.lit(BEFORE_ALL)))
+    spoken_tyre = tx.spoken_tyre(c("letter"))
+    done, worn = old & once(s.old), aged & (c("tyre_age") < 30) & once(s.aged)
     text = (
-        F.when(c("_new"), cat("New ", spoken, "s on, easy on the exit."))
+        F.when(new, cat("New ", spoken_tyre, "s on, easy on the exit."))
         .when(done, cat("Tyres are ", c("tyre_age"), " laps old and degrading. Box soon."))
-        .when(worn, cat(tx.capitalize(spoken), " tyres are ", c("tyre_age"), " laps old. Consider a pit stop."))
+        .when(worn, cat(tx.capitalize(spoken_tyre), " tyres are ", c("tyre_age"), " laps old. Consider a pit stop."))
     )
-    return say(seen, "TyreCondition", F.when(done, "HIGH").otherwise("NORMAL"), F.when(c("_new"), 1).when(done, 2).otherwise(3), text)
+    return [Message("TyreCondition", on, F.when(done, "HIGH").otherwise("NORMAL"), F.when(new, 1).when(done, 2).otherwise(3), text)]
 
 
-def drs(ticks: DataFrame) -> DataFrame:
+def drs(on: Column):
     """Silent, and without memory, while the driver has the DRS assist."""
-    seen = _walk(gate(ticks, "Drs").where(F.coalesce("drs_assist", F.lit(0)) == 0), KEY, "tick", lags={"_was": "drs_allowed"})
-    on = seen.where((c("drs_allowed") > 0) & (F.coalesce("_was", F.lit(0)) == 0))
-    return say(on, "Drs", "NORMAL", 1, F.lit("DRS enabled."))
+    on = on & (F.coalesce("drs_assist", F.lit(0)) == 0)
+    q = yield {"was": lag("drs_allowed", on)}
+    return [Message("Drs", on & (c("drs_allowed") > 0) & (F.coalesce(q.was, F.lit(0)) == 0), "NORMAL", 1, "DRS enabled.")]
 
 
-def ers_mode(ticks: DataFrame) -> DataFrame:
+def ers_mode(on: Column):
     """Silent, and without memory, while the driver has the ERS assist."""
-    seen = _walk(gate(ticks, "ErsMode").where((F.coalesce("ers_assist", F.lit(0)) == 0) & (c("ers_mode") >= 0)), KEY, "tick", lags={"_was": "ers_mode"})
-    moved = seen.where(c("_was") != c("ers_mode"))
-    return say(moved, "ErsMode", "NORMAL", 1, cat("ERS mode ", c("ers_mode"), ". Go to strat ", c("ers_mode"), "."))
+    on = on & (F.coalesce("ers_assist", F.lit(0)) == 0) & _or_no(c("ers_mode") >= 0)
+    q = yield {"was": lag("ers_mode", on)}
+    return [Message("ErsMode", on & (q.was != c("ers_mode")), "NORMAL", 1, cat("ERS mode ", c("ers_mode"), ". Go to strat ", c("ers_mode"), "."))]
 
 
-def weather(ticks: DataFrame) -> DataFrame:
-    """Needs ``rain_in``: minutes to the first forecast sample above 30 % rain, null if none."""
-    seen = _walk(gate(ticks, "Weather"), KEY, "tick", lags={"_was": "weather"})
-    turn = F.when(c("_was") != c("weather"), 1)
-    seen = _walk(seen, KEY, "tick", running={"_spell": ("count", turn, "prior")})
-    hit = (c("weather") == 0) & c("rain_in").isNotNull()
-    seen = _walk(seen, [*KEY, "_spell"], "tick", running={"_n": ("count", F.when(hit, 1), "prior")})
-    return say(seen.where(hit & (c("_n") == 0)), "Weather", "NORMAL", 3, cat("Rain expected in ", c("rain_in"), " minutes. Stay out for now."))
+def weather(on: Column):
+    """Needs ``rain_in``: minutes to the first forecast sample above 30 % rain, null if none. Once per spell of weather;
+    the tick at which the weather turns still belongs to the old one."""
+    q = yield {"was": lag("weather", on)}
+    turned = on & _or_no(q.was != c("weather"))
+    hit = on & (c("weather") == 0) & c("rain_in").isNotNull()
+    s = yield {"turned": last("tick", turned), "said": last("tick", hit)}
+    again = _or_no(s.said > F.coalesce(s.turned, F.lit(BEFORE_ALL)))
+    return [Message("Weather", hit & ~again, "NORMAL", 3, cat("Rain expected in ", c("rain_in"), " minutes. Stay out for now."))]
 
 
-def invalid_lap(ticks: DataFrame) -> DataFrame:
-    seen = _walk(gate(ticks, "InvalidLap"), KEY, "tick", lags={"_was": "lap_invalid"})
-    hit = seen.where((c("lap_invalid") != 0) & (F.coalesce("_was", F.lit(0)) == 0))
+def invalid_lap(on: Column):
+    q = yield {"was": lag("lap_invalid", on)}
+    hit = on & (c("lap_invalid") != 0) & (F.coalesce(q.was, F.lit(0)) == 0)
     more = F.when(c("corner_cutting") > 0, cat(" That's warning number ", c("corner_cutting"), ".")).otherwise("")
-    return say(hit, "InvalidLap", "IMMEDIATE", 1, cat("That lap's deleted — track limits.", more))
+    return [Message("InvalidLap", hit, "IMMEDIATE", 1, cat("That lap's deleted — track limits.", more))]
 
 
 def _ahead_gap() -> Column:
@@ -198,47 +268,43 @@ def _behind_distance_gap() -> Column:
     return tx.gap_behind_seconds(F.lit(0), c("behind.lap_distance"), c("lap_distance"), c("track_m"))
 
 
-def car_ahead(ticks: DataFrame) -> DataFrame:
+def car_ahead(on: Column):
     """Crossing into DRS range; ticks on another lap leave the remembered gap alone."""
     none = (c("drs_allowed") <= 0) | (c("pos") <= 1) | c("ahead").isNull()
-    t = gate(ticks, "CarAhead").withColumn("_gap", F.when(none, F.lit(-1).cast("float")).otherwise(F.when(_ahead_gap() >= 0, _ahead_gap())))
-    seen = _walk(t, KEY, "tick", running={"_was": ("last", c("_gap"), "prior")})
-    was_in = F.coalesce((c("_was") >= 0) & (c("_was") < 1), F.lit(False))
-    return say(seen.where(~none & (c("_gap") >= 0) & (c("_gap") < 1) & ~was_in), "CarAhead", "HIGH", 1, F.lit("You have DRS. Attack."))
+    gap = F.when(none, F.lit(-1).cast("float")).otherwise(F.when(_ahead_gap() >= 0, _ahead_gap()))
+    q = yield {"was": last(gap, on)}
+    hit = on & ~none & _or_no((gap >= 0) & (gap < 1)) & ~_or_no((q.was >= 0) & (q.was < 1))
+    return [Message("CarAhead", hit, "HIGH", 1, "You have DRS. Attack.")]
 
 
-def lap_countdown(ticks: DataFrame) -> DataFrame:
-    seen = _walk(gate(ticks, "LapCountdown").where(c("total_laps") > 0), KEY, "tick", lags={"_was": "lap"})
+def lap_countdown(on: Column):
+    on = on & (c("total_laps") > 0)
+    q = yield {"was": lag("lap", on)}
     left = c("total_laps") - c("lap") + 1
     text = (
         F.when(left == 10, "10 laps remaining. Keep it clean, manage your tyres.")
         .when(left == 3, "3 laps to go. Bring it home.").when(left == 1, "Last lap. Give it everything you've got.")
     )
-    new = seen.where(c("_was").isNull() | (c("lap") > c("_was")))
-    return say(new, "LapCountdown", F.when(left == 10, "NORMAL").otherwise("HIGH"), 1, text)
+    return [Message("LapCountdown", on & (q.was.isNull() | (c("lap") > q.was)), F.when(left == 10, "NORMAL").otherwise("HIGH"), 1, text)]
 
 
-def position_change(ticks: DataFrame, quiet_ms: int = 5000) -> DataFrame:
+def position_change(on: Column, quiet_ms: int = 5000):
     """Net change once the position has been steady for five seconds.
 
     A burst of changes keeps the position from before its first change. Laps right after a stop,
     the opening lap and the first tick start afresh.
     """
-    t = gate(ticks, "PositionChange")
     pitted = c("prev_pit_state") != "ON_TRACK"
-    t = _walk(
-        t, KEY, "tick", lags={"_pos": "pos", "_ms": "at_ms"},
-        running={"_until": ("last", F.when(pitted, c("lap") + 1), "prior")},
-    )
-    fresh = pitted | c("_pos").isNull() | (c("lap") <= 1) | F.coalesce(c("lap") < c("_until"), F.lit(False))
-    t = t.withColumn("_fresh", fresh).withColumn("_moved", ~fresh & (c("pos") != c("_pos")))
-    t = _walk(t, KEY, "tick", running={"_part": ("sum", c("_fresh").cast("int"))})
-    part = [*KEY, "_part"]
-    t = _walk(t, part, "tick", running={"_last": ("last", F.when(c("_moved"), c("at_ms")), "prior")})
-    opens = c("_moved") & (c("_last").isNull() | (c("_ms") >= c("_last") + quiet_ms))
-    t = _walk(t, part, "tick", running={"_base": ("last", F.when(opens, c("_pos")))})
-    due = ~c("_fresh") & ~c("_moved") & (c("at_ms") >= c("_last") + quiet_ms) & (c("_ms") < c("_last") + quiet_ms)
-    net = c("_base") - c("pos")
+    q = yield {"pos": lag("pos", on), "ms": lag("at_ms", on), "until": last(c("lap") + 1, on & pitted)}
+    fresh = on & (pitted | q.pos.isNull() | (c("lap") <= 1) | _or_no(c("lap") < q.until))
+    moved = on & ~fresh & (c("pos") != q.pos)
+    s = yield {"fresh": last("tick", fresh, prior=False), "moved": last("tick", moved), "moved_ms": last("at_ms", moved)}
+    start = F.coalesce(s.fresh, F.lit(BEFORE_ALL))
+    since = F.when(s.moved >= start, s.moved_ms)
+    opens = moved & (since.isNull() | (q.ms >= since + quiet_ms))
+    b = yield {"base": last(q.pos, opens, prior=False)}
+    due = on & ~fresh & ~moved & _or_no((c("at_ms") >= since + quiet_ms) & (q.ms < since + quiet_ms))
+    net = b.base - c("pos")
     name = F.coalesce("ahead.name", F.lit("Car ahead"))
     gap = F.when(c("ahead").isNotNull() & (_ahead_gap() >= 0), cat(name, " is next, ", tx.tenths(_ahead_gap()), " seconds up the road."))
     tail = F.coalesce(gap, cat(name, " is next."))
@@ -249,7 +315,7 @@ def position_change(ticks: DataFrame, quiet_ms: int = 5000) -> DataFrame:
         .when(net == -1, cat("Lost a place. P", c("pos"), ". ", name, " is now ahead."))
         .when(net < -1, cat("Lost ", -net, " places. P", c("pos"), ". ", name, " is now ahead."))
     )
-    return say(t.where(due), "PositionChange", F.when(net > 0, "IMMEDIATE").otherwise("HIGH"), 1, text)
+    return [Message("PositionChange", due, F.when(net > 0, "IMMEDIATE").otherwise("HIGH"), 1, text)]
 
 
 def _gaps_text() -> Column:
@@ -259,35 +325,36 @@ def _gaps_text() -> Column:
     return cat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
-def pit_stop_completed(ticks: DataFrame) -> DataFrame:
-    t = _walk(gate(ticks, "PitStopCompleted"), KEY, "tick", lags={"_st": "pit_status", "_n": "pits"})
-    was, count = F.coalesce("_st", F.lit(0)), F.coalesce("_n", F.lit(0))
-    t = _walk(t, KEY, "tick", running={"_in": ("last", F.when((c("pit_status") > 0) & (was == 0), c("at_ms")), "prior")})
-    out = t.where((c("pit_status") == 0) & (was > 0) & (c("pits") > count))
-    took = F.coalesce(((c("at_ms") - c("_in")) / 1000).cast("float"), F.lit(0).cast("float"))
-    done = say(out, "PitStopCompleted", "HIGH", 1, cat("Good stop. ", tx.tenths(took), " seconds. Push now."))
-    recap = say(out, "PitStopRecap", "HIGH", 2, cat("Out of the pits in P", c("pos"), ".", _gaps_text()))
-    return done.unionByName(recap)
+def pit_stop_completed(on: Column):
+    q = yield {"st": lag("pit_status", on), "n": lag("pits", on)}
+    was = F.coalesce(q.st, F.lit(0))
+    s = yield {"into": last("at_ms", on & (c("pit_status") > 0) & (was == 0))}
+    out = on & (c("pit_status") == 0) & (was > 0) & (c("pits") > F.coalesce(q.n, F.lit(0)))
+    took = F.coalesce(((c("at_ms") - s.into) / 1000).cast("float"), F.lit(0).cast("float"))
+    return [
+        Message("PitStopCompleted", out, "HIGH", 1, cat("Good stop. ", tx.tenths(took), " seconds. Push now.")),
+        Message("PitStopRecap", out, "HIGH", 2, cat("Out of the pits in P", c("pos"), ".", _gaps_text())),
+    ]
 
 
-def situational(ticks: DataFrame) -> DataFrame:
+def situational(on: Column):
     """Every third lap once: the previous eligible tick's lap is the lap last spoken about."""
-    ok = (c("lap") > 1) & (c("lap") < c("total_laps")) & (c("lap") % 3 == 0) & (c("ahead").isNotNull() | c("behind").isNotNull())
-    t = _walk(gate(ticks, "PeriodicSituationalAwareness").where(ok), KEY, "tick", lags={"_was": "lap"})
-    new = t.where(c("_was").isNull() | (c("_was") != c("lap")))
-    return say(new, "PeriodicSituationalAwareness", "NORMAL", 2, cat("P", c("pos"), ".", _gaps_text()))
-
-
-def race_lap_complete(ticks: DataFrame) -> DataFrame:
-    """Each new lap from the second on. A lap going back clears the memory without speaking."""
-    t = _walk(gate(ticks, "RaceLapComplete").where(c("lap") >= 2), KEY, "tick", lags={"_was": "lap"}, running={"_i": ("count", F.lit(1))})
-    back = F.coalesce(c("lap") < c("_was"), F.lit(False))
-    t = t.withColumn("_back", back)
-    t = _walk(t, KEY, "tick", running={"_fwd": ("last", F.when(~c("_back"), c("_i")))})
-    t = t.withColumn("_cleared", c("_back") & ((c("_i") - F.coalesce("_fwd", F.lit(0))) % 2 == 1))
-    t = _walk(t, KEY, "tick", lags={"_was_cleared": "_cleared"})
-    memo = c("_was").isNotNull() & ~F.coalesce("_was_cleared", F.lit(False))
-    new = t.where(~c("_cleared") & (~memo | (c("lap") > c("_was"))))
+    on = on & (c("lap") > 1) & (c("lap") < c("total_laps")) & (c("lap") % 3 == 0) & (c("ahead").isNotNull() | c("behind").isNotNull())
+    q = yield {"was": lag("lap", on)}
+    return [Message("PeriodicSituationalAwareness", on & (q.was.isNull() | (q.was != c("lap"))), "NORMAL", 2, cat("P", c("pos"), ".", _gaps_text()))]
+
+
+def race_lap_complete(on: Column):
+    """Each new lap from the second on. A lap going back clears the memory without speaking; of laps going back one
+    after the other each second one meets a cleared memory."""
+    on = on & (c("lap") >= 2)
+    q = yield {"was": lag("lap", on), "i": count(on, prior=False)}
+    back = on & _or_no(c("lap") < q.was)
+    f = yield {"forward": last(q.i, on & ~back, prior=False)}
+    cleared = back & ((q.i - F.coalesce(f.forward, F.lit(0))) % 2 == 1)
+    m = yield {"cleared": lag(cleared, on)}
+    memo = q.was.isNotNull() & ~_or_no(m.cleared)
+    new = on & ~cleared & (~memo | (c("lap") > q.was))
     left = F.greatest(c("total_laps") - c("lap") + 1, F.lit(0))
     runs = lambda side: c(f"{side}.result_status").isin(2, 3)
     own_gap = F.when(c("result_status").isin(2, 3), c("delta_front_ms"))
@@ -297,119 +364,108 @@ def race_lap_complete(ticks: DataFrame) -> DataFrame:
     place = F.when(c("pos") == 1, "Leading the race.").otherwise(cat("You are P", c("pos"), "."))
     togo = F.when(left == 1, " Last lap.").when(left > 0, cat(" ", left, " laps to go.")).otherwise("")
     text = cat("Lap ", c("lap") - 1, " done. ", place, togo, F.coalesce(ahead, F.lit("")), F.coalesce(behind, F.lit("")))
-    return say(new, "RaceLapComplete", "NORMAL", 2, text)
-
-
-def race_finish(ticks: DataFrame) -> DataFrame:
-    """First retired, disqualified or finished tick; needs ``grid`` (cars with status 2 or more)."""
-    t = gate(ticks, "RaceFinish")
-    over = c("result_status").isin(3, 4, 5, 6, 7) | c("chequered")
-    text = F.coalesce(tx.retired_text(c("result_status")), tx.finish_text(c("pos"), c("grid")))
-    first = t.where(over).withColumn("_text", text).groupBy("session_uid").agg(F.min_by(F.struct("tick", "_text"), "tick").alias("f"))
-    return say(first.select("session_uid", "f.*"), "RaceFinish", "IMMEDIATE", 5, c("_text"))
-
-
-def qualifying_sector(ticks: DataFrame) -> DataFrame:
-    t = _walk(gate(ticks, "QualifyingSectorDelta"), KEY, "tick", lags={"_was": "sector"})
-    done = F.when((c("_was") == 0) & (c("sector") == 1), 0).when((c("_was") == 1) & (c("sector") == 2), 1)
-    t = t.withColumn("_done", done).withColumn("_ms", F.when(done == 0, c("s1_ms")).when(done == 1, c("s2_ms")))
-    t = t.where(c("_ms") > 0)
-    best = lambda s: ("min", F.when(c("_done") == s, c("_ms")), "prior")
-    t = _walk(t, KEY, "tick", running={"_b0": best(0), "_b1": best(1)})
-    top = F.when(c("_done") == 0, c("_b0")).otherwise(c("_b1"))
-    text = F.when(top.isNull() | (c("_ms") < top), cat("Purple sector ", c("_done") + 1, ". ", tx.lap_time(c("_ms")), ".")).otherwise(
-        cat("Sector ", c("_done") + 1, " down ", tx.tenths((c("_ms") - top) / 1000), " seconds.")
+    return [Message("RaceLapComplete", new, "NORMAL", 2, text)]
+
+
+def race_finish(on: Column):
+    """First retired, disqualified or finished tick; needs ``chequered``."""
+    over = on & (c("result_status").isin(3, 4, 5, 6, 7) | c("chequered"))
+    q = yield {"said": count(over)}
+    grid = F.size(F.filter("field", lambda x: x["result_status"] >= 2))
+    text = F.coalesce(tx.retired_text(c("result_status")), tx.finish_text(c("pos"), grid))
+    return [Message("RaceFinish", over & (q.said == 0), "IMMEDIATE", 5, text)]
+
+
+def qualifying_sector(on: Column):
+    q = yield {"was": lag("sector", on)}
+    done = F.when((q.was == 0) & (c("sector") == 1), 0).when((q.was == 1) & (c("sector") == 2), 1)
+    ms = F.when(done == 0, c("s1_ms")).when(done == 1, c("s2_ms"))
+    on = on & _or_no(ms > 0)
+    b = yield {f"b{s}": least(ms, on & (done == s)) for s in (0, 1)}
+    top = F.when(done == 0, b.b0).otherwise(b.b1)
+    text = F.when(top.isNull() | (ms < top), cat("Purple sector ", done + 1, ". ", tx.lap_time(ms), ".")).otherwise(
+        cat("Sector ", done + 1, " down ", tx.tenths((ms - top) / 1000), " seconds.")
     )
-    return say(t, "QualifyingSectorDelta", "NORMAL", 2, text)
+    return [Message("QualifyingSectorDelta", on, "NORMAL", 2, text)]
 
 
-def qualifying_lap(ticks: DataFrame) -> DataFrame:
-    """New lap of the player against the best of everyone's current last laps (``field_best_ms``)."""
-    t = _walk(gate(ticks, "QualifyingLapComplete"), KEY, "tick", running={"_top": ("max", c("lap"), "prior")})
-    new = t.where((c("_top").isNull() | (c("lap") > c("_top"))) & (c("last_lap_ms") > 0))
-    own, best = c("last_lap_ms"), c("field_best_ms")
+def qualifying_lap(on: Column):
+    """New lap of the player against the best of everyone's current last laps."""
+    q = yield {"top": most("lap", on)}
+    own = c("last_lap_ms")
+    best = F.array_min(F.transform(F.filter("field", lambda x: x["last_lap_ms"] > 0), lambda x: x["last_lap_ms"]))
     text = F.when(best.isNull() | (own <= best), cat("Provisional pole. ", tx.lap_time(own), ".")).otherwise(
         cat("P", c("pos"), ", ", tx.tenths((own - best) / 1000), " seconds off pole. ", tx.lap_time(own), ".")
     )
     left = tx.time_left(c("time_left"))
-    return say(new, "QualifyingLapComplete", "NORMAL", 2, cat(text, F.when(left != "", cat(" ", tx.capitalize(left), ".")).otherwise("")))
+    text = cat(text, F.when(left != "", cat(" ", tx.capitalize(left), ".")).otherwise(""))
+    return [Message("QualifyingLapComplete", on & (q.top.isNull() | (c("lap") > q.top)) & (own > 0), "NORMAL", 2, text)]
 
 
-def sector_comparison(ticks: DataFrame, cars: DataFrame) -> DataFrame:
+def sector_comparison(on: Column):
     """Player's new best sector against the fastest rival sector so far, once per lap and sector."""
-    own = gate(ticks, "PracticeSectorComparison").select("session_uid", "tick")
-    seen = _walk(cars.join(own, tk.TICK), tk.CAR, "tick", lags={"_was": "sector"})
-    was = F.coalesce("_was", F.lit(0))
-    done = F.when((was == 0) & (c("sector") == 1), 0).when((was == 1) & (c("sector") == 2), 1)
-    seen = seen.withColumn("_done", done).withColumn("_ms", F.when(done == 0, c("s1_ms")).when(done == 1, c("s2_ms")))
-    fin = seen.where(c("_ms") > 0).join(cars.where(c("ai") == 0).select(*tk.TICK, c("car").alias("_me")), tk.TICK)
-    mine, rival = c("ai") == 0, c("ai") != 0
-    code = c("_ms") * 100 + c("car")  # the lower car number wins a tie
-    at = lambda cond, v, s: F.min(F.when(cond & (c("_done") == s), v))
-    per = fin.groupBy("session_uid", "tick").agg(
-        F.max(F.when(mine, c("_done"))).alias("_done"), F.min(F.when(mine, c("_ms"))).alias("_ms"), F.max(F.when(mine, c("lap"))).alias("lap"),
-        *[at(rival & (c("car") < c("_me")), code, s).alias(f"_near{s}") for s in (0, 1)],
-        *[at(rival, code, s).alias(f"_all{s}") for s in (0, 1)],
-    )
-    best = {f"_p{s}": ("min", F.when(c("_done") == s, c("_ms")), "prior") for s in (0, 1)}
-    best |= {f"_r{s}": ("min", c(f"_all{s}"), "prior") for s in (0, 1)}
-    per = _walk(per, KEY, "tick", running=best)
-    pick = lambda a: F.when(c("_done") == 0, c(f"{a}0")).otherwise(c(f"{a}1"))
-    fast = F.least(pick("_r"), pick("_near"))
-    new = per.where(c("_done").isNotNull() & (pick("_p").isNull() | (c("_ms") < pick("_p"))))
-    new = new.withColumn("_fast", F.floor(fast / 100)).withColumn("car", (fast % 100).cast("bigint"))
-    short = new.where(c("_ms") - c("_fast") >= 100)
-    laps = {f"_l{s}": ("max", F.when(c("_done") == s, c("lap")), "prior") for s in (0, 1)}
-    short = _walk(short, KEY, "tick", running=laps)
-    said = short.where(c("lap") > F.coalesce(pick("_l"), F.lit(0)))
-    named = said.join(cars.select(*tk.TICK, "car", "name"), [*tk.TICK, "car"], "left")
-    text = cat(F.coalesce("name", F.lit("Rival")), " is ", tx.tenths((c("_ms") - c("_fast")) / 1000), " seconds faster in Sector ", c("_done") + 1, ".")
-    return say(named, "PracticeSectorComparison", "NORMAL", 3, text)
-
-
-def traffic_exit(ticks: DataFrame) -> DataFrame:
-    """Clear or hold on the way out, once per outing; needs ``rival_s`` and ``rival_name``."""
-    t = gate(ticks, "TrackTrafficExit")
-    t = _walk(t, KEY, "tick", running={"_outing": ("count", F.when(c("prev_pit_state") == "PIT_STOPPED", 1))})
-    hit = c("rival_name").isNotNull() & ((c("rival_s") > 15) | (c("rival_s") < 8))
-    t = _walk(t, [*KEY, "_outing"], "tick", running={"_n": ("count", F.when(hit, 1), "prior")})
-    text = F.when(c("rival_s") > 15, "Track is clear, go now.").otherwise(cat("Hold position, ", c("rival_name"), " about to pass."))
-    return say(t.where(hit & (c("_n") == 0)), "TrackTrafficExit", "HIGH", 2, text)
-
-
-def nearest_behind(cars: DataFrame) -> DataFrame:
-    """Per tick the rival on track that will pass the player soonest, by distance."""
-    me = cars.where(c("ai") == 0).select(*tk.TICK, c("lap_distance").alias("_d"))
-    rival = cars.where((c("ai") != 0) & (c("pit_status") == 0)).join(me, tk.TICK)
-    s = tx.gap_behind_seconds(F.lit(0), c("lap_distance"), c("_d"), F.lit(5000))
-    return rival.groupBy(*tk.TICK).agg(F.min_by(F.struct(s.alias("s"), "name"), F.struct(s.alias("s"), "car")).alias("r")).select(
-        *tk.TICK, c("r.s").alias("rival_s"), c("r.name").alias("rival_name")
-    )
-
-
-def strategy_summary(ticks: DataFrame, plans: DataFrame, settle_ms: int = 12000) -> DataFrame:
-    """Spoken when the visible plan changes; needs plans (session_uid, tick, p1, p2 as stop arrays).
-
-    Plans arrive over time and hold until replaced. The last spoken signature is the one of the
-    previous eligible tick.
+    q = yield {"was": lag(F.transform("field", lambda x: F.struct(x["car"].alias("car"), x["sector"].alias("sector"))), on)}
+
+    def finished(x: Column) -> Column:
+        was = F.coalesce(F.get(F.filter(q.was, lambda p: p["car"] == x["car"]), F.lit(0))["sector"], F.lit(0))
+        done = F.when((was == 0) & (x["sector"] == 1), 0).when((was == 1) & (x["sector"] == 2), 1)
+        return F.struct(x["car"].alias("car"), x["ai"].alias("ai"), x["lap"].alias("lap"), done.alias("done"), F.when(done == 0, x["s1_ms"]).when(done == 1, x["s2_ms"]).alias("ms"))
+
+    fin = F.filter(F.transform("field", finished), lambda x: x["ms"] > 0)
+    me = F.get(F.filter(fin, lambda x: x["ai"] == 0), F.lit(0))
+    mine = lambda s: F.when(me["done"] == s, me["ms"])
+    code = lambda s, near: F.array_min(F.transform(  # noqa: E731 - the lower car number wins a tie
+        F.filter(fin, lambda x: (x["ai"] != 0) & (x["done"] == s) & ((x["car"] < c("car")) if near else F.lit(True))), lambda x: x["ms"] * 100 + x["car"]))
+    b = yield {f"p{s}": least(mine(s), on) for s in (0, 1)} | {f"r{s}": least(code(s, False), on) for s in (0, 1)}
+    pick = lambda first, second: F.when(me["done"] == 0, first).otherwise(second)
+    best, fast = pick(b.p0, b.p1), F.least(pick(b.r0, b.r1), pick(code(0, True), code(1, True)))
+    fast_ms = F.floor(fast / 100)
+    short = on & _or_no((best.isNull() | (me["ms"] < best)) & (me["ms"] - fast_ms >= 100))
+    k = yield {f"l{s}": most(me["lap"], short & (me["done"] == s)) for s in (0, 1)}
+    new = short & (me["lap"] > F.coalesce(pick(k.l0, k.l1), F.lit(0)))
+    name = F.get(F.filter("field", lambda x: x["car"] == fast % 100), F.lit(0))["name"]
+    text = cat(F.coalesce(name, F.lit("Rival")), " is ", tx.tenths((me["ms"] - fast_ms) / 1000), " seconds faster in Sector ", me["done"] + 1, ".")
+    return [Message("PracticeSectorComparison", new, "NORMAL", 3, text)]
+
+
+def traffic_exit(on: Column):
+    """Clear or hold on the way out, once per outing."""
+    rival = F.filter("field", lambda x: (x["ai"] != 0) & (x["pit_status"] == 0))
+    gap = lambda x: tx.gap_behind_seconds(F.lit(0), x["lap_distance"], c("lap_distance"), c("track_m"))
+    first = F.array_min(F.transform(rival, lambda x: F.struct(gap(x).alias("s"), x["car"].alias("car"), x["name"].alias("name"))))
+    hit = on & _or_no(first["name"].isNotNull() & ((first["s"] > 15) | (first["s"] < 8)))
+    q = yield {"out": last("tick", on & (c("prev_pit_state") == "PIT_STOPPED"), prior=False), "said": last("tick", hit)}
+    again = _or_no(q.said >= F.coalesce(q.out, F.lit(BEFORE_ALL)))
+    text = F.when(first["s"] > 15, "Track is clear, go now.").otherwise(cat("Hold position, ", first["name"], " about to pass."))
+    return [Message("TrackTrafficExit", hit & ~again, "HIGH", 2, text)]
+
+
+def held_plans(on: Column):
+    """Plans arrive as ``plan`` now and then and hold until replaced."""
+    q = yield {"plan": last("plan", prior=False)}
+    return q.plan
+
+
+def strategy_summary(on: Column, settle_ms: int = 12000):
+    """Spoken when the visible plan changes; needs the stop arrays ``p1`` and ``p2`` of the plan that holds.
+
+    The last spoken signature is the one of the previous eligible tick.
     """
-    t = stats.asof(gate(ticks, "StrategySummary"), plans, KEY, "tick", {"p1": "p1", "p2": "p2"}, span=0)
-    t = t.where(c("p1").isNotNull() & (c("lap") > 1))
-    t = _walk(t, KEY, "tick", running={"_pit": ("last", F.when(c("prev_pit_state") != "ON_TRACK", c("at_ms")))})
-    t = t.where(c("_pit").isNull() | (c("at_ms") >= c("_pit") + settle_ms))
+    on = on & c("p1").isNotNull() & (c("lap") > 1)
+    q = yield {"pit": last("at_ms", on & (c("prev_pit_state") != "ON_TRACK"), prior=False)}
+    on = on & (q.pit.isNull() | (c("at_ms") >= q.pit + settle_ms))
     nxt = lambda p: F.get(F.filter(c(p), lambda s: s["on_lap"] >= c("lap")), F.lit(0))
-    t = t.withColumn("_n1", nxt("p1")).withColumn("_n2", nxt("p2"))
-    sig = lambda n: F.when(c(n).isNull(), "end").otherwise(cat(c(f"{n}.on_lap"), ":", c(f"{n}.compound")))
-    runner = c("p2").isNotNull() & c("_n1").isNotNull() & (sig("_n1") != sig("_n2"))
-    t = t.withColumn("_runner", runner)
-    near = F.when(c("_runner"), F.least(c("_n1.on_lap"), c("_n2.on_lap"))).otherwise(c("_n1.on_lap"))
-    t = t.where(c("_n1").isNull() | (near - c("lap") <= 2))
-    t = t.withColumn("_sig", cat(sig("_n1"), "|", F.when(c("_runner"), sig("_n2")).otherwise("none")))
-    t = _walk(t, KEY, "tick", lags={"_said": "_sig"}).where(c("_said").isNull() | (c("_said") != c("_sig")))
-    box = lambda n: cat("box lap ", c(f"{n}.on_lap"), " for ", tx.display_tyre(c(f"{n}.compound")), ".")
-    plan = F.when(c("_n1").isNull(), cat("stay out to the end on ", tx.spoken_tyre(c("letter")), ".")).otherwise(box("_n1"))
-    alt = F.when(~c("_runner"), "").when(c("_n2").isNull(), " Next best: stay out to the end.").otherwise(cat(" Next best: ", box("_n2")))
-    return say(t, "StrategySummary", "NORMAL", 2, cat("Current plan: ", plan, alt))
+    n1, n2 = nxt("p1"), nxt("p2")
+    sig = lambda n: F.when(n.isNull(), "end").otherwise(cat(n["on_lap"], ":", n["compound"]))
+    runner = c("p2").isNotNull() & n1.isNotNull() & (sig(n1) != sig(n2))
+    near = F.when(runner, F.least(n1["on_lap"], n2["on_lap"])).otherwise(n1["on_lap"])
+    on = on & (n1.isNull() | (near - c("lap") <= 2))
+    whole = cat(sig(n1), "|", F.when(runner, sig(n2)).otherwise("none"))
+    s = yield {"said": lag(whole, on)}
+    box = lambda n: cat("box lap ", n["on_lap"], " for ", tx.display_tyre(n["compound"]), ".")
+    plan = F.when(n1.isNull(), cat("stay out to the end on ", tx.spoken_tyre(c("letter")), ".")).otherwise(box(n1))
+    alt = F.when(~runner, "").when(n2.isNull(), " Next best: stay out to the end.").otherwise(cat(" Next best: ", box(n2)))
+    return [Message("StrategySummary", on & (s.said.isNull() | (s.said != whole)), "NORMAL", 2, cat("Current plan: ", plan, alt))]
 
 
 def event_messages(events: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
@@ -420,3 +476,12 @@ def event_messages(events: DataFrame, relevant: DataFrame | None = None) -> Data
     )
     sc = c("event_code") == "SCAR"
     return say(events, "Event", F.when(sc, "IMMEDIATE").otherwise("NORMAL"), F.when(sc, 3).otherwise(2), text)
+
+
+RULES = {
+    "SessionStartGreeting": greeting, "FlagChanges": flag_changes, "Penalties": penalties, "TyreCondition": tyre_condition, "Drs": drs, "ErsMode": ers_mode,
+    "Weather": weather, "InvalidLap": invalid_lap, "CarAhead": car_ahead, "LapCountdown": lap_countdown, "PositionChange": position_change,
+    "PitStopCompleted": pit_stop_completed, "StrategySummary": strategy_summary, "PeriodicSituationalAwareness": situational,
+    "RaceLapComplete": race_lap_complete, "RaceFinish": race_finish, "QualifyingSectorDelta": qualifying_sector,
+    "QualifyingLapComplete": qualifying_lap, "PracticeSectorComparison": sector_comparison, "TrackTrafficExit": traffic_exit,
+}

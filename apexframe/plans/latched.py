@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from apexframe.operators import latched_rules as lr
 from apexframe.operators import rules as ru
 from apexframe.operators import ticks as tk
+from apexframe.operators.memory import remembered
 from apexframe.plans.registry import ORACLE, query, shared
 from apexframe.plans.rules import DG, LT, PW, T, TL, W, gated, pt
 from apexframe.plans.ticks import zones
@@ -27,7 +28,7 @@ r AS (SELECT session_uid, cast(0 AS bigint) AS rn, 0 AS said, cast(NULL AS int)
   FROM r JOIN y ON y.session_uid = r.session_uid AND y.rn = r.rn + 1)
 SELECT r.session_uid, p.tick, 'YellowFlag' AS rule, 'HIGH' AS priority, 2 AS ttl_laps, concat('Yellow flag in sector ', hit + 1, '.') AS text FROM r JOIN o_pt p USING (session_uid, rn) WHERE hit IS NOT NULL""")
 def _(x):
-    return lr.yellow_flag(pt(x).withColumn("yellow", F.expr(YELLOW)))
+    return ru.said(pt(x).withColumn("yellow", F.expr(YELLOW)), "YellowFlag")
 
 
 @query("E4_fastest_lap", f"""
@@ -43,7 +44,7 @@ SELECT q.session_uid, q.tick, 'FastestLapByRival' AS rule, 'NORMAL' AS priority,
   ELSE concat(coalesce(c.name, concat('Car ', q.car)), ' sets the fastest lap, ', {LT('q.best')}, '.', CASE WHEN q.me > 0 THEN concat(' You''re ', {T('(q.me - q.best) / 1000.0')}, ' seconds off the pace.') ELSE '' END) END AS text
 FROM r JOIN q USING (session_uid, n) LEFT JOIN cars c ON c.session_uid = q.session_uid AND c.tick = q.tick AND c.car = q.car WHERE fire""")
 def _(x):
-    return lr.fastest_lap(pt(x), x.cars)
+    return ru.said(pt(x), "FastestLapByRival")
 
 
 def _wear_case(i: int, then: str, other: str) -> str:
@@ -63,7 +64,7 @@ SELECT session_uid, tick, 'PerCornerWear' AS rule, CASE hit % 100 WHEN 37 THEN '
   concat(CASE cast(floor(hit / 100.0) AS int) WHEN 0 THEN 'Rear-left' WHEN 1 THEN 'Rear-right' WHEN 2 THEN 'Front-left' ELSE 'Front-right' END, CASE hit % 100 WHEN 37 THEN ' is finished, manage it.' ELSE ' starting to degrade.' END) AS text
 FROM r JOIN p USING (session_uid, rn) WHERE hit >= 0""")
 def _(x):
-    return lr.corner_wear(pt(x))
+    return ru.said(pt(x), "PerCornerWear")
 
 
 def _damage_case() -> str:
@@ -84,7 +85,7 @@ SELECT session_uid, tick, 'Damage' AS rule, CASE WHEN hit = -2 THEN 'NORMAL' WHE
   CASE WHEN hit = -2 THEN 'Front wing replaced, good to go.' ELSE concat(CASE cast(floor(hit / 100.0) AS int) WHEN 0 THEN 'Front wing' WHEN 1 THEN 'Rear wing' WHEN 2 THEN 'Floor' WHEN 3 THEN 'Diffuser' ELSE 'Sidepod' END,
     CASE hit % 100 WHEN 60 THEN ' is heavily damaged.' WHEN 30 THEN ' is damaged.' ELSE ' has minor damage.' END) END AS text FROM r JOIN p USING (session_uid, rn) WHERE hit <> -1""")
 def _(x):
-    return lr.damage(pt(x))
+    return ru.said(pt(x), "Damage")
 
 
 def cooldown_sql(cross: str, wait: int) -> str:
@@ -113,7 +114,7 @@ SELECT session_uid, tick, 'CarBehind' AS rule, 'HIGH' AS priority, 1 AS ttl_laps
     CASE WHEN {RL} <> letter THEN concat(' ', b_name, ' on ', CASE WHEN b_age BETWEEN 0 AND 3 THEN 'new ' WHEN b_worn >= 50 THEN 'worn ' ELSE '' END, {PL.format(x=RL)}, ', you''re on ', {PL.format(x='letter')}, '.') ELSE '' END) END AS text
 FROM k JOIN f USING (session_uid, b_car, n) WHERE fire""")
 def _(x):
-    return lr.car_behind(pt(x))
+    return ru.said(pt(x), "CarBehind")
 
 
 READY = "CASE {c} WHEN 16 THEN 'Softs' WHEN 17 THEN 'Mediums' ELSE 'Hards' END"
@@ -134,12 +135,20 @@ SELECT r.session_uid, q.tick, 'PitWindowMessages' AS rule, CASE what WHEN 'five'
   concat(CASE what WHEN 'missed' THEN concat('We''ve missed that window. New plan, box lap ', target, ', ') WHEN 'five' THEN 'Box window opens in 5 laps. ' WHEN 'next' THEN 'Box next lap. ' ELSE 'Box this lap. ' END, {READY.format(c='comp')}, ' ready.') AS text
 FROM r JOIN q USING (session_uid, n) WHERE what IS NOT NULL""")
 def _(x):
-    t = pt(x)
+    return ru.said(with_stops(pt(x)), "PitWindowMessages")
+
+
+def stops(t):
+    """The recommended stop at each fortieth tick."""
     slot = F.floor(c("tick") / 40)
-    plans = t.where(c("tick") % 40 == 0).select(
-        "session_uid", "tick", F.when(slot == 3, -1).otherwise(6 + slot * 4).cast("bigint").alias("target"), (16 + slot % 3).alias("compound")
-    )
-    return lr.pit_window(t, plans)
+    stop = F.struct(F.when(slot == 3, -1).otherwise(6 + slot * 4).cast("bigint").alias("target"), (16 + slot % 3).alias("compound"))
+    return F.when(c("tick") % 40 == 0, stop)
+
+
+def with_stops(t):
+    """Each tick with the stop that holds."""
+    out, found = remembered(t.withColumn("plan", stops(t)), {"stops": (ru.held_plans, F.lit(True))})
+    return out.select(*t.columns, found["stops"]["target"].alias("target"), found["stops"]["compound"].alias("compound"))
 
 
 @query("E25_tyre_fuel_summary", f"""
@@ -155,7 +164,7 @@ SELECT k.session_uid, k.tick, 'PracticeTyreFuelSummary' AS rule, 'NORMAL' AS pri
 FROM k JOIN f USING (session_uid, n) JOIN b m ON m.session_uid = k.session_uid AND m.tick = k.tick AND m.car = 0 WHERE fire""")
 def _(x):
     t = pt(x).withColumn("track_id", c("session_uid") % 3)
-    return lr.tyre_fuel_summary(t, x.cars, zones(x))
+    return ru.said(lr.with_zones(t, zones(x)), "PracticeTyreFuelSummary")
 
 
 @query("E26_practice_lap_complete", f"""
@@ -173,7 +182,7 @@ SELECT o.session_uid, o.tick, 'PracticeLapComplete' AS rule, 'NORMAL' AS priorit
   CASE WHEN NOT r.over AND o.time_left > 0 THEN concat(' ', {TL('o.time_left', True)}, '.') ELSE '' END) AS text
 FROM r JOIN o USING (session_uid, n) LEFT JOIN h ON h.session_uid = o.session_uid AND h.tick = o.tick AND h.car = 0 WHERE fire""")
 def _(x):
-    return lr.practice_lap(pt(x), x.cars)
+    return ru.said(pt(x), "PracticeLapComplete")
 
 
 @query("E28_speed_trap", f"""
@@ -184,7 +193,7 @@ r AS (SELECT session_uid, cast(0 AS bigint) AS n, cast(0 AS bigint) AS v, cast(0
 SELECT o.session_uid, o.tick, 'PracticeSpeedTrap' AS rule, 'NORMAL' AS priority, 3 AS ttl_laps,
   concat('P', (SELECT count(*) + 1 FROM cars c WHERE c.session_uid = o.session_uid AND c.tick = o.tick AND c.speed_trap > o.speed_trap), ' in the speed trap, ', o.speed_trap, ' kilometres per hour.') AS text FROM r JOIN o USING (session_uid, n) WHERE fire""")
 def _(x):
-    return lr.speed_trap(pt(x), x.cars)
+    return ru.said(pt(x), "PracticeSpeedTrap")
 
 
 R12 = "OVER (PARTITION BY session_uid ORDER BY tick ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
@@ -197,16 +206,13 @@ i AS (SELECT *, lag(gap) OVER w AS pgap FROM h {W}),
 {cooldown_sql("SELECT * FROM i WHERE gap >= 0 AND gap < 4 AND pgap > 0 AND gap < pgap", 15000)}
 SELECT session_uid, tick, 'SlowLapTrafficWarning' AS rule, 'HIGH' AS priority, 2 AS ttl_laps, concat(b_name, ' closing fast behind, let them through.') AS text FROM k JOIN f USING (session_uid, b_car, n) WHERE fire""")
 def _(x):
-    return lr.slow_lap_traffic(pt(x))
+    return ru.said(pt(x), "SlowLapTrafficWarning")
 
 
 def deliveries(x):
     """Rule messages of each session delivered over its own ticks."""
     t = pt(x)
-    said = [ru.penalties(t), ru.drs(t), ru.ers_mode(t), ru.tyre_condition(t), ru.flag_changes(t)]
-    msgs = said[0]
-    for m in said[1:]:
-        msgs = msgs.unionByName(m)
+    msgs = ru.said(t, "Penalties", "Drs", "ErsMode", "TyreCondition", "FlagChanges")
     msgs = msgs.join(t.select("session_uid", "tick", "lap", "at_ms"), ["session_uid", "tick"])
     order = {r: i for i, r in enumerate(("Penalties", "Drs", "ErsMode", "TyreCondition", "FlagChanges"))}
     from apexframe.dims import lookup

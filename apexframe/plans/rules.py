@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from apexframe.functions import text as tx
 from apexframe.operators import rules as ru
+from apexframe.operators.memory import remembered
 from apexframe.operators import ticks as tk
 from apexframe.plans.registry import query, shared
 
@@ -95,13 +96,13 @@ def _(x):
     CASE kind WHEN 'PRACTICE' THEN '. Push when you have a window.' ELSE '. Send it on a clear lap.' END) END""",
     f"(SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY tick) AS k FROM {gated('SessionStartGreeting')} g WHERE speed >= 30) y WHERE k = 1"))
 def _(x):
-    return ru.greeting(pt(x))
+    return ru.said(pt(x), "SessionStartGreeting")
 
 
 @query("E2_flag_changes", say("FlagChanges", "IMMEDIATE", "2", "CASE WHEN q > 0 AND safety_car = 0 THEN 'Safety car coming in. Green flag next lap. Push now, push now.' END",
        f"(SELECT *, lag(safety_car) OVER w AS q FROM o_pt {W}) y"))
 def _(x):
-    return ru.flag_changes(pt(x))
+    return ru.said(pt(x), "FlagChanges")
 
 
 U, QU = "unserved_dt + unserved_sg", "coalesce(qdt, 0) + coalesce(qsg, 0)"
@@ -113,7 +114,7 @@ U, QU = "unserved_dt + unserved_sg", "coalesce(qdt, 0) + coalesce(qsg, 0)"
   WHEN pen > coalesce(qp, 0) THEN concat('Penalty received. ', pen - coalesce(qp, 0), ' seconds added. We''ll talk strategy.') END""",
   f"(SELECT *, lag(unserved_dt) OVER w AS qdt, lag(unserved_sg) OVER w AS qsg, lag(warnings) OVER w AS qw, lag(pen) OVER w AS qp FROM o_pt {W}) y"))
 def _(x):
-    return ru.penalties(pt(x))
+    return ru.said(pt(x), "Penalties")
 
 
 @query("E6_tyre_condition", f"""
@@ -126,17 +127,17 @@ SELECT session_uid, tick, 'TyreCondition' AS rule, CASE what WHEN 'old' THEN 'HI
   CASE what WHEN 'new' THEN concat('New ', {SPOKEN}, 's on, easy on the exit.') WHEN 'old' THEN concat('Tyres are ', tyre_age, ' laps old and degrading. Box soon.')
     ELSE concat({CAPSP}, ' tyres are ', tyre_age, ' laps old. Consider a pit stop.') END AS text FROM r WHERE what IS NOT NULL""")
 def _(x):
-    return ru.tyre_condition(pt(x))
+    return ru.said(pt(x), "TyreCondition")
 
 
 @query("E9_drs", say("Drs", "NORMAL", "1", "CASE WHEN drs_allowed > 0 AND coalesce(q, 0) = 0 THEN 'DRS enabled.' END", f"(SELECT *, lag(drs_allowed) OVER w AS q FROM o_pt WHERE drs_assist = 0 {W}) y"))
 def _(x):
-    return ru.drs(pt(x))
+    return ru.said(pt(x), "Drs")
 
 
 @query("E10_ers_mode", say("ErsMode", "NORMAL", "1", "CASE WHEN q <> ers_mode THEN concat('ERS mode ', ers_mode, '. Go to strat ', ers_mode, '.') END", f"(SELECT *, lag(ers_mode) OVER w AS q FROM o_pt WHERE ers_assist = 0 {W}) y"))
 def _(x):
-    return ru.ers_mode(pt(x))
+    return ru.said(pt(x), "ErsMode")
 
 
 RAIN = "CASE WHEN (tick * 7 + 55) % 100 > 30 AND tick % 25 > 5 THEN 5 WHEN (tick * 7 + 110) % 100 > 30 AND tick % 25 > 5 THEN 10 END"
@@ -158,25 +159,25 @@ r AS (SELECT session_uid, rn, tick, weather, weather = 0 AND rain_in IS NOT NULL
   FROM r JOIN b p ON p.session_uid = r.session_uid AND p.rn = r.rn + 1)
 SELECT session_uid, tick, 'Weather' AS rule, 'NORMAL' AS priority, 3 AS ttl_laps, concat('Rain expected in ', rain_in, ' minutes. Stay out for now.') AS text FROM r WHERE fired""")
 def _(x):
-    return ru.weather(rain_in(pt(x)))
+    return ru.said(rain_in(pt(x)), "Weather")
 
 
 @query("E12_invalid_lap", say("InvalidLap", "IMMEDIATE", "1", """CASE WHEN lap_invalid <> 0 AND coalesce(q, 0) = 0 THEN concat('That lap''s deleted — track limits.',
   CASE WHEN corner_cutting > 0 THEN concat(' That''s warning number ', corner_cutting, '.') ELSE '' END) END""", f"(SELECT *, lag(lap_invalid) OVER w AS q FROM {gated('InvalidLap')} g {W}) y"))
 def _(x):
-    return ru.invalid_lap(pt(x))
+    return ru.said(pt(x), "InvalidLap")
 
 
 @query("E14_car_ahead", say("CarAhead", "HIGH", "1", "CASE WHEN g >= 0 AND g < 1 AND NOT coalesce(q >= 0 AND q < 1, false) THEN 'You have DRS. Attack.' END",
   f"(SELECT *, last_value(g IGNORE NULLS) {PW} AS q FROM (SELECT *, CASE WHEN drs_allowed <= 0 OR pos <= 1 OR a_name IS NULL THEN -1 ELSE {A_GAP} END AS g FROM {gated('CarAhead')} k) h) y"))
 def _(x):
-    return ru.car_ahead(pt(x))
+    return ru.said(pt(x), "CarAhead")
 
 
 @query("E15_lap_countdown", say("LapCountdown", "CASE 20 - lap + 1 WHEN 10 THEN 'NORMAL' ELSE 'HIGH' END", "1", """CASE WHEN q IS NULL OR lap > q THEN CASE 20 - lap + 1 WHEN 10 THEN '10 laps remaining. Keep it clean, manage your tyres.'
   WHEN 3 THEN '3 laps to go. Bring it home.' WHEN 1 THEN 'Last lap. Give it everything you''ve got.' END END""", f"(SELECT *, lag(lap) OVER w AS q FROM {gated('LapCountdown')} g {W}) y"))
 def _(x):
-    return ru.lap_countdown(pt(x))
+    return ru.said(pt(x), "LapCountdown")
 
 
 @query("E16_position_change", f"""
@@ -194,7 +195,7 @@ r AS (SELECT session_uid, k, pos AS base, pos AS seen, cast(0 AS bigint) AS pend
   WHEN net < 0 THEN concat(CASE WHEN net = -1 THEN 'Lost a place. P' ELSE concat('Lost ', -net, ' places. P') END, pos, '. ', coalesce(a_name, 'Car ahead'), ' is now ahead.') END''',
   '(SELECT g.*, r.net FROM r JOIN g USING (session_uid, k) WHERE net <> 0) y')}""")
 def _(x):
-    return ru.position_change(pt(x))
+    return ru.said(pt(x), "PositionChange")
 
 
 @query("E17_pit_stop_completed", f"""
@@ -204,7 +205,7 @@ o AS (SELECT * FROM e WHERE pit_status = 0 AND coalesce(st, 0) > 0 AND pits > co
 SELECT session_uid, tick, 'PitStopCompleted' AS rule, 'HIGH' AS priority, 1 AS ttl_laps, concat('Good stop. ', {T('coalesce(cast((at_ms - ent) / 1000.0 AS float), 0)')}, ' seconds. Push now.') AS text FROM o
 UNION ALL SELECT session_uid, tick, 'PitStopRecap', 'HIGH', 2, concat('Out of the pits in P', pos, '.', {GAPS}) FROM o""")
 def _(x):
-    return ru.pit_stop_completed(pt(x))
+    return ru.said(pt(x), "PitStopCompleted")
 
 
 PLANS = "SELECT session_uid, tick, 4 + (tick * 3) % 12 AS l1, 16 + cast(floor(tick / 15.0) AS bigint) % 3 AS c1, 4 + (tick * 3) % 12 + cast(floor(tick / 15.0) AS bigint) % 2 AS l2, tick % 45 <> 30 AS two FROM o_pt WHERE tick % 15 = 0"
@@ -222,21 +223,28 @@ SELECT session_uid, tick, 'StrategySummary' AS rule, 'NORMAL' AS priority, 2 AS
   ELSE concat('box lap ', l1, ' for ', {DISP.format(c='c1')}, '.') END, CASE WHEN NOT run THEN '' WHEN s2 = 'end' THEN ' Next best: stay out to the end.' ELSE concat(' Next best: box lap ', l2, ' for Mediums.') END) AS text
 FROM h WHERE was IS NULL OR was <> sig""")
 def _(x):
-    t = pt(x)
+    return ru.said(with_plans(pt(x)), "StrategySummary")
+
+
+def plans(t):
+    """The plan and its runner-up at each fifteenth tick."""
     slot = F.floor(c("tick") / 15)
     stop = lambda lap, comp: F.array(F.struct(lap.alias("on_lap"), comp.alias("compound")))
     l1 = 4 + (c("tick") * 3) % 12
-    plans = t.where(c("tick") % 15 == 0).select(
-        "session_uid", "tick", stop(l1, 16 + slot % 3).alias("p1"),
-        F.when(c("tick") % 45 != 30, stop(l1 + slot % 2, F.lit(17).cast("bigint"))).alias("p2"),
-    )
-    return ru.strategy_summary(t, plans)
+    two = F.when(c("tick") % 45 != 30, stop(l1 + slot % 2, F.lit(17).cast("bigint")))
+    return F.when(c("tick") % 15 == 0, F.struct(stop(l1, 16 + slot % 3).alias("p1"), two.alias("p2")))
+
+
+def with_plans(t):
+    """Each tick with the plan that holds."""
+    out, found = remembered(t.withColumn("plan", plans(t)), {"plans": (ru.held_plans, F.lit(True))})
+    return out.select(*t.columns, found["plans"]["p1"].alias("p1"), found["plans"]["p2"].alias("p2"))
 
 
 @query("E20_situational_awareness", say("PeriodicSituationalAwareness", "NORMAL", "2", f"CASE WHEN q IS NULL OR q <> lap THEN concat('P', pos, '.', {GAPS}) END",
   f"(SELECT *, lag(lap) OVER w AS q FROM (SELECT * FROM {gated('PeriodicSituationalAwareness')} g WHERE lap > 1 AND lap < 20 AND lap % 3 = 0 AND (a_name IS NOT NULL OR b_name IS NOT NULL)) h {W}) y"))
 def _(x):
-    return ru.situational(pt(x))
+    return ru.said(pt(x), "PeriodicSituationalAwareness")
 
 
 @query("E21_race_lap_complete", f"""
@@ -251,7 +259,7 @@ r AS (SELECT session_uid, k, lap AS memo, true AS fire FROM g WHERE k = 1
 def _(x):
     # The tick feed runs forward; a few ticks are moved back one or two laps to reach the rewind branch.
     back = F.when(c("tick") % 23 < 2, c("lap") - 1 - c("tick") % 23).otherwise(c("lap"))
-    return ru.race_lap_complete(pt(x).withColumn("lap", back))
+    return ru.said(pt(x).withColumn("lap", back), "RaceLapComplete")
 
 
 FT = """CASE WHEN pos <= 0 THEN 'Chequered flag. Box this lap.' WHEN pos <= 3 THEN concat('P', pos, '! Brilliant drive. Cooldown lap, bring it home.')
@@ -268,10 +276,9 @@ SELECT session_uid, tick, 'RaceFinish' AS rule, 'IMMEDIATE' AS priority, 5 AS tt
   JOIN (SELECT session_uid, tick, count(*) FILTER (WHERE result_status >= 2) AS grid FROM cars GROUP BY 1, 2) g USING (session_uid, tick)
   WHERE p.result_status >= 3 OR tick >= 150) f WHERE k = 1""")
 def _(x):
-    grid = x.cars.groupBy(*tk.TICK).agg(F.count_if(c("result_status") >= 2).alias("grid"))
     status = F.when(c("tick") < 120 + c("session_uid") % 7, 2).otherwise(3 + c("session_uid") % 5)
     t = pt(x).withColumn("result_status", status).withColumn("chequered", c("tick") >= 150)
-    return ru.race_finish(t.join(grid, tk.TICK))
+    return ru.said(t, "RaceFinish")
 
 
 @query("F25_finish_message", f"SELECT session_uid, car_index, coalesce({RT}, {FT}) AS text FROM (SELECT *, 20 AS grid, position AS pos FROM final_class) f")
@@ -285,7 +292,7 @@ def _(x):
   f"""(SELECT *, min(ms) OVER (PARTITION BY session_uid, done ORDER BY tick {PRI}) AS best FROM (SELECT *, CASE WHEN done = 0 THEN s1_ms ELSE s2_ms END AS ms FROM (
     SELECT *, CASE WHEN q = 0 AND sector = 1 THEN 0 WHEN q = 1 AND sector = 2 THEN 1 END AS done FROM (SELECT *, lag(sector) OVER w AS q FROM {gated('QualifyingSectorDelta')} g {W}) h) i WHERE done IS NOT NULL) j WHERE ms > 0) y"""))
 def _(x):
-    return ru.qualifying_sector(pt(x))
+    return ru.said(pt(x), "QualifyingSectorDelta")
 
 
 @query("E24_qualifying_lap_complete", say("QualifyingLapComplete", "NORMAL", "2",
@@ -293,8 +300,7 @@ def _(x):
   ELSE concat('P', pos, ', ', {T('(last_lap_ms - fb) / 1000.0')}, ' seconds off pole. ', {LT('last_lap_ms')}, '.') END, CASE WHEN time_left > 0 THEN concat(' ', {TL('time_left', True)}, '.') ELSE '' END) END""",
   f"(SELECT g.*, fb, max(lap) {PW} AS q FROM {gated('QualifyingLapComplete')} g JOIN (SELECT session_uid, tick, min(nullif(last_lap_ms, 0)) AS fb FROM cars GROUP BY 1, 2) f USING (session_uid, tick)) y"))
 def _(x):
-    best = x.cars.groupBy(*tk.TICK).agg(F.min(F.when(c("last_lap_ms") > 0, c("last_lap_ms"))).alias("field_best_ms"))
-    return ru.qualifying_lap(pt(x).join(best, tk.TICK))
+    return ru.said(pt(x), "QualifyingLapComplete")
 
 
 @query("E27_practice_sector_comparison", f"""
@@ -310,7 +316,7 @@ SELECT s.session_uid, s.tick, 'PracticeSectorComparison' AS rule, 'NORMAL' AS pr
   concat(coalesce(n.name, 'Rival'), ' is ', {T('(s.ms - floor(s.fast / 100.0)) / 1000.0')}, ' seconds faster in Sector ', s.done + 1, '.') AS text
 FROM s LEFT JOIN cars n ON n.session_uid = s.session_uid AND n.tick = s.tick AND n.car = s.fast % 100 WHERE s.lap > coalesce(pl, 0)""")
 def _(x):
-    return ru.sector_comparison(pt(x), x.cars)
+    return ru.said(pt(x), "PracticeSectorComparison")
 
 
 @query("E29_track_traffic_exit", say("TrackTrafficExit", "HIGH", "2", "CASE WHEN k = 1 THEN CASE WHEN s > 15 THEN 'Track is clear, go now.' ELSE concat('Hold position, ', nm, ' about to pass.') END END",
@@ -319,7 +325,7 @@ def _(x):
       FROM cars r JOIN cars p ON p.session_uid = r.session_uid AND p.tick = r.tick AND p.ai = 0 WHERE r.ai = 1 AND r.pit_status = 0 GROUP BY 1, 2) n USING (session_uid, tick)) h
     WHERE s > 15 OR s < 8) y"""))
 def _(x):
-    return ru.traffic_exit(pt(x).join(ru.nearest_behind(x.cars), tk.TICK, "left"))
+    return ru.said(pt(x), "TrackTrafficExit")
 
 
 @query("E31_event_messages", """

@@ -1,8 +1,7 @@
-"""Rules whose next firing depends on their last one, and message delivery.
+"""Steps that remember what they did last: latches of rules, message delivery, sector changes.
 
-Everything that can be read off a tick (neighbours, gaps, texts) is prepared with DataFrame
-operations. What remains is a few lines of state per session, run either over a bounded batch group
-(at most 65,536 one-second ticks per session) or in a stateful stream with the same step.
+Everything that can be read off a tick (neighbours, gaps, texts, look-backs) is prepared as columns. A step is a
+few lines over a session's state; ``operators.memory`` runs it in a batch, ``streaming.memory`` in a stream.
 """
 
 from __future__ import annotations
@@ -34,16 +33,20 @@ def yellow(s: dict, r) -> tuple | None:
     return None
 
 
-def fastest(s: dict, r, wait_ms: int = 20_000) -> tuple | None:
-    """Session best improved on the last one announced; the first best is taken silently."""
-    known = s.get("best")
-    if known is None:
-        s["best"] = r.best_ms
-        return None
-    if r.best_ms >= known or ("at" in s and r.at_ms - s["at"] < wait_ms):
-        return None
-    s["best"], s["at"] = r.best_ms, r.at_ms
-    return "fastest", r.best_ms, 0
+def record(wait_ms: int, silent: bool = False) -> Callable:
+    """Announce a mark above the last one announced, then nothing for a while. With ``silent`` the first is only kept."""
+
+    def step(s: dict, r) -> tuple | None:
+        if silent and "top" not in s:
+            s["top"] = r.mark
+        if r.mark <= s.get("top", 0) or r.at < s.get("free", r.at):
+            return None
+        s["top"] = r.mark
+        if r.at > 0:
+            s["free"] = r.at + wait_ms
+        return "record", r.mark
+
+    return step
 
 
 def climbs(levels: tuple, slack: int, prefer: Callable, together: bool = False, restored: int | None = None) -> Callable:
@@ -78,13 +81,14 @@ corner_wear = climbs((24, 37), 5, prefer=lambda corner, level: (corner, -level),
 damage = climbs((10, 30, 60), 1, prefer=lambda part, level: (-level, part), restored=0)
 
 
-def per_car_cooldown(wait_ms: int) -> Callable:
+def cooldown(wait_ms: int) -> Callable:
+    """Let one firing through for each rival, then none for a while."""
+
     def step(s: dict, r) -> tuple | None:
-        last = s.get(str(r.rival))
-        if last is not None and r.at_ms - last < wait_ms:
+        if r.at < s.get(r.rival, r.at):
             return None
-        s[str(r.rival)] = int(r.at_ms)
-        return "fire", r.rival, 0
+        s[r.rival] = r.at + wait_ms
+        return "fire", r.rival
 
     return step
 
@@ -94,11 +98,19 @@ def lap_gap(least: int) -> Callable:
         if "lap" in s and r.lap - s["lap"] < least:
             return None
         s["lap"] = int(r.lap)
-        return "fire", r.lap, 0
+        return "fire", r.lap
 
     return step
 
 
+def changed(s: dict, r) -> tuple | None:
+    """A later lap whose value is another than that of the last one let through."""
+    if r.lap > s.get("lap", 0) and r.value != s.get("value"):
+        s["lap"], s["value"] = r.lap, r.value
+        return "new", r.lap
+    return None
+
+
 CALLS = ("", "five", "next", "box")
 
 
@@ -115,30 +127,6 @@ def pit_calls(s: dict, r) -> tuple | None:
     return (CALLS[r.due], r.target, 0) if r.due > made else None
 
 
-def practice_lap(s: dict, r) -> tuple | None:
-    """New lap with a new time: n1 is the best before or now, n2 = 1 while the clock still runs."""
-    if r.lap <= s.get("lap", 0) or r.last_lap_ms <= 0 or r.last_lap_ms == s.get("ms", 0):
-        return None
-    s["lap"], s["ms"] = r.lap, r.last_lap_ms
-    first = s.get("best", 0) == 0 or r.last_lap_ms < s["best"]
-    if first:
-        s["best"] = r.last_lap_ms
-    if r.time_left > 0:
-        if s.get("left", -1) >= 0 and r.time_left >= s["left"]:
-            s["over"] = True
-        s["left"] = r.time_left
-    return "best" if first else "lap", s["best"], 0 if s.get("over") else 1
-
-
-def speed_trap(s: dict, r, wait_ms: int = 60_000) -> tuple | None:
-    if r.speed_trap <= 0 or r.speed_trap - s.get("v", 0) < 1:
-        return None
-    if s.get("at", 0) > 0 and r.at_ms - s["at"] < wait_ms:
-        return None
-    s["v"], s["at"] = r.speed_trap, r.at_ms
-    return "fire", r.speed_trap, 0
-
-
 def sector_changes(s: dict, r) -> list | None:
     """Completed sectors of one car from lap packets, with the newest history packet remembered.
 
@@ -176,34 +164,29 @@ def sector_changes(s: dict, r) -> list | None:
     return out or None
 
 
-RANK = {"IMMEDIATE": 0, "HIGH": 1, "NORMAL": 2}
-KEEP_MS = (8_000, 30_000, 60_000)
+KEEP_MS = (8_000, 30_000, 60_000)  # age at which a message of each rank is dropped
 
 
 def deliver(s: dict, r) -> tuple | None:
-    """Queue messages and hand out at most one per tick.
+    """Queue the tick's messages and hand out at most one; n1 is its number.
 
-    IMMEDIATE goes any time, HIGH only inside a zone, NORMAL at most twice per zone visit; messages
-    expire by laps and by age. n1 is the delivered message's number.
+    Rank 0 goes any time, 1 only inside a zone, 2 at most twice per zone visit. Messages expire by laps and by age.
+    A quiet tick empties the queue; without a tick (``here`` false) messages only wait.
     """
-    queue = s.setdefault("queue", [])
-    if r.is_message:
-        queue.append([RANK[r.priority], r.at_ms, r.message_no, r.lap + r.ttl_laps])
-        return None
-    if r.quiet:
-        queue.clear()
+    queue = [*s.get("queue", ()), *[(m["rank"], m["born"], m["no"], m["last_lap"]) for m in r.fresh or ()]]
+    if r.here:
+        queue = [] if r.quiet else sorted(m for m in queue if r.lap <= m[3] and r.at - m[1] <= KEEP_MS[m[0]])
+    s["queue"] = queue
+    if not r.here or r.quiet:
         return None
     if r.zone != s.get("zone", -1):
         s["zone"], s["used"] = r.zone, 0
-    queue[:] = sorted(m for m in queue if r.lap <= m[3] and r.at_ms - m[1] <= KEEP_MS[m[0]])
-    if not queue:
-        return None
-    top = queue[0][0]
-    if top > 0 and (r.zone < 0 or (top == 2 and s.get("used", 0) >= 2)):
+    rank = queue[0][0] if queue else None
+    if rank is None or (rank and r.zone < 0) or (rank == 2 and s.get("used", 0) >= 2):
         return None
-    if top == 2:
-        s["used"] = s.get("used", 0) + 1
-    return "deliver", queue.pop(0)[2], 0
+    s["used"] = s.get("used", 0) + (rank == 2)
+    s["queue"] = queue[1:]
+    return "deliver", queue[0][2]
 
 
 # ---- runners ---------------------------------------------------------------------------------

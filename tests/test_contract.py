@@ -19,7 +19,7 @@ def test_registry_is_complete():
     queries, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(queries)
     without = {n for n in set(queries) - set(sqls) if not re.match(r"op\d+_|pipeline$", n)}
-    assert without == {"R23_message_delivery", "R26_delivered_log"}  # checked by brute force in test_rules
+    assert not without
 
 
 @pytest.mark.parametrize("name", SPOT)

@@ -47,7 +47,7 @@ def test_damage_one_message_per_tick(spark):
     data = [(1, t, *d) for t, d in enumerate([(65, 35, 0, 0, 0), (65, 35, 0, 0, 0), (66, 35, 12, 0, 0), (0, 35, 12, 0, 0), (12, 35, 12, 0, 0)])]
     t = spark.createDataFrame(data, "session_uid int, tick int, fw_dmg int, rw_dmg int, fl_dmg int, diff_dmg int, sp_dmg int")
     t = t.withColumn("pit_state", F.lit("ON_TRACK")).withColumn("kind", F.lit("RACE"))
-    got = [(r.tick, r.priority, r.text) for r in lr.damage(t).orderBy("tick").collect()]
+    got = [(r.tick, r.priority, r.text) for r in ru.said(t, "Damage").orderBy("tick").collect()]
     assert got == [
         (0, "IMMEDIATE", "Front wing is heavily damaged."), (1, "HIGH", "Rear wing is damaged."), (2, "HIGH", "Floor has minor damage."),
         (3, "NORMAL", "Front wing replaced, good to go."), (4, "HIGH", "Front wing has minor damage."),
@@ -58,7 +58,7 @@ def test_assists_silence_drs_and_ers(spark):
     data = [(1, 0, 0, 1, 0, 0), (1, 1, 1, 1, 2, 1), (1, 2, 1, 0, 0, 0), (1, 3, 1, 0, 3, 0)]
     t = spark.createDataFrame(data, "session_uid int, tick int, drs_allowed int, drs_assist int, ers_mode int, ers_assist int")
     t = t.withColumn("pit_state", F.lit("ON_TRACK")).withColumn("kind", F.lit("RACE"))
-    assert [r.tick for r in ru.drs(t).collect()] == [2] and [r.tick for r in ru.ers_mode(t).collect()] == [3]
+    assert [r.tick for r in ru.said(t, "Drs").collect()] == [2] and [r.tick for r in ru.said(t, "ErsMode").collect()] == [3]
 
 
 def plain_delivery(ticks, messages):
