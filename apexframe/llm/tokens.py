@@ -117,7 +117,7 @@ def joined_ids(path: str, units: list[str]) -> list[bytes] | None:
 LETTER, MARK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f", r'!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~'
 PLAIN = re.compile(rf"(?:\n| )?[{LETTER}0-9{MARK}]+")
 PIECES = re.compile(rf"\n| ?[{LETTER}]+| ?[0-9]+| ?[{MARK}]+")
-PIECES_KEPT = 300_000
+PIECES_KEPT = 500_000
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
 HIDDEN = [b for b in range(256) if b not in SHOWN]
 LETTERS = {b: chr(b if b in SHOWN else 256 + HIDDEN.index(b)) for b in range(256)}
@@ -235,9 +235,11 @@ def token_counts(docs: DataFrame, path: str, split: Callable[[str], list[str]] =
 def pieces(text: str, split: Callable[[str], list[str]]) -> list:
     """The units of ``text`` as keys of ``Codes``: a unit as a tuple, or the text after a single space, or from a line
     feed on, as a string. Where no two white spaces meet, a text falls into these by one plain split."""
-    if split is not split_units or MEETING.search(text):
+    if split is not split_units or not (text.isascii() and not any(s in text for s in "\t\r\x0b\x0c")) and MEETING.search(text):
         return [(u,) for u in split(text)]
     keys: list = text.replace("\n", " \n").split(" ")
+    if "" in keys[1:-1] or "\n" in keys[:-1]:  # white spaces met
+        return [(u,) for u in split(text)]
     if keys[0]:
         keys[0] = (keys[0],)
         return keys
