@@ -28,13 +28,13 @@ REMEMBERED = 800_000  # units that a worker remembers before it starts anew
 REMEMBERED_CHARS = 16 << 20  # their characters
 ORC = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
-    "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zlib",
+    "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "lz4",
 }
 CALL_BYTES = 1 << 20  # of units in one call of the library
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: Unicode White_Space
 UNITS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORDS = re.compile(f"[^{SPACE}]+")
-MEETING = re.compile(f"[{SPACE}][{SPACE}]")
+MEETING = "[{0}][{0}]".format(SPACE.encode().decode("unicode_escape"))  # as characters, for Arrow's expressions
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # Python calls these white space, the tokenizers do not
 
 JOINED = re.compile(f"[{SPACE}]+[^{SPACE}]")  # how units begin that stay apart when joined
@@ -133,7 +133,8 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES_KEPT:
             self.clear()
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]
+        shown = piece.replace(" ", LETTERS[32]).replace("\n", LETTERS[10]) if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.model.tokenize(shown)]
         found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
@@ -232,23 +233,11 @@ def token_counts(docs: DataFrame, path: str, split: Callable[[str], list[str]] =
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def pieces(text: str, split: Callable[[str], list[str]]) -> list:
-    """The units of ``text`` as keys of ``Codes``: a unit as a tuple, or the text after a single space, or from a line
-    feed on, as a string. Where no two white spaces meet, a text falls into these by one plain split."""
-    if split is not split_units or not (text.isascii() and not any(s in text for s in "\t\r\x0b\x0c")) and MEETING.search(text):
-        return [(u,) for u in split(text)]
-    keys: list = text.replace("\n", " \n").split(" ")
-    if "" in keys[1:-1] or "\n" in keys[:-1]:  # white spaces met
-        return [(u,) for u in split(text)]
-    if keys[0]:
-        keys[0] = (keys[0],)
-        return keys
-    return keys[1:]
-
-
 class Codes(dict):
     """Numbers of the units that a worker has met, and the ids of each in one array.
 
+    A key is a unit as a tuple, or, as a string, the text after a single space or from a line feed on. Texts in which no
+    two white spaces meet fall into the latter by one plain split, and each distinct one of a batch is looked up once.
     Once more than ``REMEMBERED`` are held, those met longest ago go, about half.
     """
 
@@ -263,22 +252,50 @@ class Codes(dict):
         self.fresh.append(key[0] if isinstance(key, tuple) else key if key[:1] == "\n" else " " + key)
         return code
 
-    def encode(self, texts: list[str], split: Callable[[str], list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, split: Callable[[str], list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text ends."""
         if len(self) > REMEMBERED:
             self._forget()
-        found = [np.fromiter(map(self.__getitem__, keys), np.int64, len(keys)) for keys in (pieces(x, split) for x in texts)]
+        texts = pa.compute.fill_null(texts, "")
+        even = np.zeros(len(texts), bool)
+        if split is split_units:
+            even = ~pa.compute.match_substring_regex(texts, MEETING).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(texts), np.int64)
+        plain, counts[even] = self._split_plainly(texts.filter(pa.array(even)))
+        odd = [np.fromiter((self[(u,)] for u in units), np.int64, len(units)) for units in map(split, texts.filter(pa.array(~even)).to_pylist())]
+        counts[~even] = [len(x) for x in odd]
+        codes = np.empty(counts.sum(), np.int64)
+        from_plain = np.repeat(even, counts)
+        codes[from_plain] = plain
+        if odd:
+            codes[~from_plain] = np.concatenate(odd)
         self._settle()
-        codes = np.concatenate(found)
         self.clock += 1
         self.stamp[codes] = self.clock
         size = self.length[codes]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.start[codes] - ends + size, size) + np.arange(total)]
-        after = np.concatenate(([0], ends))[np.cumsum([len(x) for x in found])]
+        after = np.concatenate(([0], ends))[np.cumsum(counts)]
         return np.insert(ids, after, end_id), after + np.arange(1, len(texts) + 1)
 
+    def _split_plainly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the units of all texts, and how many each has."""
+        if not len(texts):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lists = pa.compute.split_pattern(pa.compute.replace_substring(texts, "\n", " \n"), " ")
+        counts = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        values = lists.flatten()
+        first = np.zeros(len(values), bool)
+        first[np.cumsum(counts) - counts] = True
+        rest = values.filter(pa.array(~first)).dictionary_encode()
+        known = np.fromiter(map(self.__getitem__, rest.dictionary.to_pylist()), np.int64, len(rest.dictionary))
+        codes = np.empty(len(values), np.int64)
+        codes[~first] = known[rest.indices.to_numpy()]
+        heads = np.array([self[(x,)] if x else -1 for x in values.filter(pa.array(first)).to_pylist()], np.int64)
+        codes[first] = heads
+        return codes[codes >= 0], counts - (heads < 0)
+
     def _settle(self) -> None:
         """Encode the units first met since the last call."""
         data = packed(self.path, self.fresh)
@@ -311,7 +328,7 @@ def token_ids(rows: DataFrame, path: str, split: Callable[[str], list[str]], end
         part, row = TaskContext.get().partitionId(), 0
         codes = _codes.setdefault(path, Codes(path))
         for batch in slices(batches, "text"):
-            ids, ends = codes.encode([x or "" for x in batch["text"].to_pylist()], split, end_id)
+            ids, ends = codes.encode(batch["text"], split, end_id)
             n = batch.num_rows
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.view("<i4")))
             columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch["doc_id"], lists]
