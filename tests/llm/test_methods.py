@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -107,6 +108,30 @@ def test_units_give_the_ids_of_the_text(text):
         assert list(tokens.packed(path, units)) == [np.array(ids, "<u4").tobytes() for ids in tokens.encode_units(path, units)]
 
 
+@given(st.lists(TEXTS, min_size=1, max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_coded_texts_are_the_librarys_ids(texts):
+    library = tokens._tokenizer(BYTE)
+    ids, ends = tokens.Codes(BYTE).encode(pa.array(texts, pa.string()), tokens.split_units, 7)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [library.encode(x, add_special_tokens=False).ids + [7] for x in texts]
+
+
+def test_codes_forget_the_oldest_half(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    rng, codes, library = random.Random(2), tokens.Codes(BYTE), tokens._tokenizer(BYTE)
+    for _ in range(60):
+        texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(20)) + rng.choice(("", "\n", "  x", "\n\ny")) for _ in range(5)]
+        ids, ends = codes.encode(pa.array(texts), tokens.split_units, 0)
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [library.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+        assert len(codes) == len(codes.length) == len(codes.stamp) and len(codes) < 450
+
+
+def test_pieces_are_those_of_the_whole_tokenizer():
+    units = [" word", "word,", "\nÉtat", " x12y", "...", " <b", "it's", "\ta", " ²", "<|endoftext|>", " ", "\n", "", "œuvre-9", "日本", " naïve!?"]
+    assert tokens.packed(BYTE, units) == list(tokens.packed_whole(BYTE, units))
+    assert tokens._runs_apart(BYTE) and not tokens._runs_apart(WORD)
+
+
 def test_token_queries(spark):
     docs = documents()
     ids = [e.ids + [0] for e in Tokenizer.from_file(BYTE).encode_batch(docs.text.tolist(), add_special_tokens=False)]
