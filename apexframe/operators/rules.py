@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from apexframe.functions import rows
 from apexframe.functions import text as tx
 from apexframe.operators import ticks as tk
-from apexframe.operators.memory import Engine, Message, count, lag, last, least, most, remembered, spoken
+from apexframe.operators.memory import Engine, Message, count, lag, last, latch, least, most, remembered, spoken
+from apexframe.streaming import latches as lt
 
 c = F.col
 # Fixed values throughout this module: message texts, priorities, lifetimes in laps and thresholds.
@@ -39,7 +40,7 @@ GATES = {
 STOP_KMH = 5
 BEFORE_ALL = -(2**62)
 NEAR = ("car", "name", "lap", "lap_distance", "delta_front_ms", "result_status", "pit_status", "speed", "tyre", "tyre_age", "worn")
-FIELD = ("car", "name", "ai", "pos", "lap", "sector", "s1_ms", "s2_ms", "last_lap_ms", "speed_trap", "pit_status", "lap_distance", "result_status")
+FIELD = ("car", "name", "ai", "pos", "lap", "sector", "s1_ms", "s2_ms", "last_lap_ms", "speed_trap", "pit_status", "pits", "lap_distance", "result_status")
 
 
 def around(cars: DataFrame) -> DataFrame:
@@ -468,6 +469,70 @@ def strategy_summary(on: Column, settle_ms: int = 12000):
     return [Message("StrategySummary", on & (s.said.isNull() | (s.said != whole)), "NORMAL", 2, cat("Current plan: ", plan, alt))]
 
 
+def changes(on: Column):
+    """What sets off projections and strategy runs at a tick; needs the tick's ``field``.
+
+    Returns the conditions by name; a car or player not seen before counts as off the pits and without stops.
+    """
+    was_of = lambda x, name: F.coalesce(F.get(F.filter(q.cars, lambda p: p["car"] == x["car"]), F.lit(0))[name], F.lit(0))
+    first = F.get(F.filter("field", lambda x: x["pos"] == 1), F.lit(0))["lap"]
+    leader = F.coalesce(first, F.lit(0))
+    own = ("lap", "sector", "pos", "pit_status")
+    q = yield {
+        "cars": lag(F.transform("field", lambda x: F.struct(x["car"].alias("car"), x["pit_status"].alias("pit_status"), x["pits"].alias("pits"))), on),
+        "leader": lag(leader, on), "sc": lag("safety_car", on), "weather": lag("weather", on), **{n: last(n, on) for n in own}}
+    moved = lambda n: _or_no(c(n) != getattr(q, n))
+    entry = F.exists("field", lambda x: (x["pit_status"] > 0) & (was_of(x, "pit_status") == 0))
+    stop = lambda own_car: F.exists("field", lambda x: ((x["ai"] == 0) == own_car) & (x["pits"] > was_of(x, "pits")))
+    return {
+        "leader_lap": _or_no((leader > q.leader) & (q.leader > 0)), "entry": entry, "sector": moved("sector"), "pos": moved("pos"),
+        "rejoined": _or_no((q.pit_status > 0) & (c("pit_status") == 0)), "safety_car": c("safety_car") != F.coalesce(q.sc, F.lit(0)),
+        "lap": _or_no((c("lap") > q.lap) & (q.lap > 0)), "own_stop": stop(F.lit(True)), "ai_stop": stop(F.lit(False)), "weather": _or_no(c("weather") != q.weather),
+    }
+
+
+def projection_triggers(ticks: DataFrame, engine: Engine | None = None) -> DataFrame:
+    """As ``ticks.projection_triggers``, from one row per tick with its field, in a batch or a stream."""
+    out, found = remembered(ticks, {"changes": (changes, F.lit(True))}, engine)
+    at = found["changes"]
+    names = ("leader_lap", "entry", "rejoined", "safety_car")
+    fire = at["sector"] | at["pos"]
+    for n in names:
+        fire = fire | at[n]
+    return out.where(fire).select(*tk.TICK, "at_ms", *[at[n].alias(n) for n in names])
+
+
+def strategy_triggers(ticks: DataFrame, engine: Engine | None = None, cap: int | None = None) -> DataFrame:
+    """As ``ticks.strategy_triggers``, and with a ``cap`` as ``ticks.throttle`` of them, in a batch or a stream."""
+
+    def triggers(on: Column):
+        at = yield from changes(on)
+        critical = at["lap"] | at["rejoined"] | at["own_stop"] | at["safety_car"] | at["weather"]
+        level = F.when(critical, "CRITICAL").when(at["sector"] | at["pos"] | at["ai_stop"], "NORMAL")
+        if cap is None:
+            return level, level.isNotNull()
+        q = yield {"pass": latch(lt.per_lap(cap), level == "NORMAL", lap=c("lap"))}
+        return level, (level == "CRITICAL") | getattr(q, "pass").isNotNull()
+
+    out, found = remembered(ticks, {"triggers": (triggers, F.lit(True))}, engine)
+    level, fire = found["triggers"]
+    return out.where(fire).select(*tk.TICK, "at_ms", "lap", level.alias("severity"))
+
+
+def outside_rewind(rows_: DataFrame, quiet_ms: int = 4000, engine: Engine | None = None) -> DataFrame:
+    """As ``ticks.outside_rewind``, of messages and rewinds in one feed (session_uid, at_ms, is_rewind), in a batch or a
+    stream; a rewind comes before a message of the same time."""
+
+    def rewinds(on: Column):
+        q = yield {"at": last("at_ms", c("is_rewind"))}
+        return q.at
+
+    feed = rows_.withColumn("tick", c("at_ms") * 2 + (~c("is_rewind")).cast("int"))
+    out, found = remembered(feed, {"rewinds": (rewinds, F.lit(True))}, engine)
+    quiet = found["rewinds"].isNull() | (c("at_ms") - found["rewinds"] >= quiet_ms)
+    return out.where(~c("is_rewind") & quiet).select(*rows_.columns)
+
+
 def event_messages(events: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
     """Safety-car and retirement calls from the event stream (session_uid, tick, event_code, name, near)."""
     text = (

@@ -85,11 +85,8 @@ def situation(snaps: DataFrame) -> DataFrame:
     return out.withColumn("no_window", c("current_lap") + MIN_STINT >= last)
 
 
-def candidates(snaps: DataFrame, keys: list[str]) -> DataFrame:
-    """No-stop, one-stop and two-stop plans per snapshot that keep to the tyre rules and lifespans.
-
-    At most fifty per snapshot, plans with fewer than two stops first.
-    """
+def all_plans(snaps: DataFrame) -> DataFrame:
+    """No-stop, one-stop and two-stop plans per snapshot that keep to the tyre rules, whatever the lifespans."""
     s = situation(snaps)
     none = F.array().cast("array<struct<on_lap:bigint,compound:bigint>>")
     zero = s.where((c("free") | c("wet") | c("no_window")) & c("can_finish")).select(
@@ -107,8 +104,12 @@ def candidates(snaps: DataFrame, keys: list[str]) -> DataFrame:
     two = two.withColumn("_l1", F.explode(_laps(c("current_lap") + MIN_STINT, c("total_laps") - MIN_STINT - 1, step2)))
     two = two.withColumn("_l2", F.explode(_laps(c("_l1") + MIN_STINT, c("last_pit"), step2)))
     two = two.withColumn("stops", F.array(stop(c("_l1"), c("_c1")), stop(c("_l2"), c("_c2")))).drop("_c1", "_c2", "_l1", "_l2")
-    every = zero.unionByName(one).unionByName(two)
-    fits = every.where((F.size("compounds") == 0) | within_lifespans())
+    return zero.unionByName(one).unionByName(two)
+
+
+def candidates(snaps: DataFrame, keys: list[str]) -> DataFrame:
+    """The plans of ``all_plans`` that keep to the lifespans, at most fifty per snapshot, those with fewer than two stops first."""
+    fits = all_plans(snaps).where((F.size("compounds") == 0) | within_lifespans())
     order = [F.when(F.size("stops") == 2, 1).otherwise(0), F.size("stops"), c("i1"), c("i2"), c("stops")]
     w = Window.partitionBy(*keys).orderBy(*order)  # a snapshot yields a few hundred plans at most
     top = fits.withColumn("plan", F.row_number().over(w)).where(c("plan") <= MAX_CANDIDATES)

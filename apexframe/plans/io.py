@@ -10,6 +10,7 @@ from apexframe.operators import rewrites as rw
 from apexframe.plans.registry import query
 from apexframe.plans.text import DIMS
 from apexframe.plans.ticks import zones
+from apexframe.session import cut_lineage
 from apexframe.sources import packets as pk
 from apexframe.sources import tables as tb
 
@@ -28,7 +29,7 @@ def car_packets(x, kind, fields, src=None):
     """One packet per tick from the car table, a struct per slot."""
     s = F.struct(c("car").cast("int").alias("car_slot"), *[e.alias(n) for n, e in fields.items()])
     per = (x.cars if src is None else src).groupBy("session_uid", "tick").agg(F.collect_list(s).alias("body"))  # 22 slots
-    return pk.pack(per.select(F.expr(SEQ).alias("recv_seq"), "session_uid", c("tick").alias("frame_identifier"), "body"), kind)
+    return pk.pack(per.select(F.expr(SEQ).alias("recv_seq"), "session_uid", c("tick").alias("frame_identifier"), "body"), kind, slots=True)
 
 
 @query("S1_packet_headers", "SELECT event_id AS recv_seq, user_id - 7 AS session_uid, event_id AS frame_identifier, 2025 AS packet_format, true AS known_format FROM events WHERE event_id % 5 <> 0")
@@ -48,7 +49,7 @@ def _(x):
         "s2_part_min": F.floor(c("s2_ms") / 60000), "lap_distance": c("lap_distance").cast("float"), "car_position": c("pos"), "current_lap_num": c("lap"),
         "sector": c("sector"), "pit_status": c("pit_status"), "result_status": c("result_status"),
     })
-    d = pk.cars(p, "lap").where(c("car_position") > 0)
+    d = pk.cars(p, "lap")
     ms = lambda n: (c(f"{n}_part_min") * 60000 + c(f"{n}_part_ms")).alias(f"{n}_ms")
     return d.select("recv_seq", "session_uid", "car_slot", "last_lap_ms", ms("s1"), ms("s2"), "lap_distance", "car_position", "current_lap_num", *ints("sector", "pit_status", "result_status"))
 
@@ -56,16 +57,16 @@ def _(x):
 @query("S2_participant_packets", f"SELECT {SEQ} AS recv_seq, car AS car_slot, ai AS ai_controlled, car + 1 AS race_number, name FROM cars")
 def _(x):
     p = car_packets(x, "participant", {"ai_controlled": c("ai"), "race_number": c("car") + 1, "name": c("name")})
-    return pk.cars(p, "participant").where(c("race_number") > 0).select("recv_seq", "car_slot", *ints("ai_controlled"), "race_number", "name")
+    return pk.cars(p, "participant").select("recv_seq", "car_slot", *ints("ai_controlled"), "race_number", "name")
 
 
-@query("S2_telemetry_packets", f"SELECT {SEQ} AS recv_seq, car AS car_slot, speed, cast(throttle AS float) AS throttle, -(tick % 3) AS gear, [tick % 90, car, 7, 9] AS inner_temp FROM cars WHERE speed > 0")
+@query("S2_telemetry_packets", f"SELECT {SEQ} AS recv_seq, car AS car_slot, speed, cast(throttle AS float) AS throttle, -(tick % 3) AS gear, [tick % 90, car, 7, 9] AS inner_temp FROM cars")
 def _(x):
     p = car_packets(x, "telemetry", {
         "speed": c("speed"), "throttle": c("throttle").cast("float"), "gear": -(c("tick") % 3),
         "tyres_inner_temp": F.array(c("tick") % 90, c("car"), F.lit(7), F.lit(9)),
     })
-    return pk.cars(p, "telemetry").where(c("speed") > 0).select("recv_seq", "car_slot", "speed", "throttle", "gear", c("tyres_inner_temp").alias("inner_temp"))
+    return pk.cars(p, "telemetry").select("recv_seq", "car_slot", "speed", "throttle", "gear", c("tyres_inner_temp").alias("inner_temp"))
 
 
 @query("S2_status_packets", f"SELECT {SEQ} AS recv_seq, car AS car_slot, cast(fuel AS float) AS fuel_in_tank, tyre AS visual_compound, tyre_age AS tyres_age_laps, drs_allowed, ers_mode FROM cars")
@@ -73,16 +74,15 @@ def _(x):
     p = car_packets(x, "status", {
         "fuel_in_tank": c("fuel").cast("float"), "visual_compound": c("tyre"), "tyres_age_laps": c("tyre_age"), "drs_allowed": c("drs_allowed"), "ers_mode": c("ers_mode"),
     })
-    return pk.cars(p, "status").where(c("visual_compound") > 0).select("recv_seq", "car_slot", "fuel_in_tank", "visual_compound", "tyres_age_laps", *ints("drs_allowed"), "ers_mode")
+    return pk.cars(p, "status").select("recv_seq", "car_slot", "fuel_in_tank", "visual_compound", "tyres_age_laps", *ints("drs_allowed"), "ers_mode")
 
 
 @query("S2_damage_packets", f"""
-SELECT {SEQ} AS recv_seq, car AS car_slot, [cast(wear_rl AS float), cast(wear_rr AS float), cast(wear_fl AS float), cast(wear_fr AS float)] AS tyres_wear, fw_dmg AS front_wing_l, fl_dmg AS floor, sp_dmg AS sidepod FROM cars WHERE tick > 0""")
+SELECT {SEQ} AS recv_seq, car AS car_slot, [cast(wear_rl AS float), cast(wear_rr AS float), cast(wear_fl AS float), cast(wear_fr AS float)] AS tyres_wear, fw_dmg AS front_wing_l, fl_dmg AS floor, sp_dmg AS sidepod FROM cars""")
 def _(x):
     wear = F.array(*[c(f"wear_{w}").cast("float") for w in ("rl", "rr", "fl", "fr")])
-    p = car_packets(x, "damage", {"tyres_wear": wear, "front_wing_l": c("fw_dmg"), "floor": c("fl_dmg"), "sidepod": c("sp_dmg"), "engine_seized": F.lit(1)})
-    d = pk.cars(p, "damage").where((c("engine_seized") == 1) & (c("frame_identifier") > 0))
-    return d.select("recv_seq", "car_slot", "tyres_wear", "front_wing_l", "floor", "sidepod")
+    p = car_packets(x, "damage", {"tyres_wear": wear, "front_wing_l": c("fw_dmg"), "floor": c("fl_dmg"), "sidepod": c("sp_dmg")})
+    return pk.cars(p, "damage").select("recv_seq", "car_slot", "tyres_wear", "front_wing_l", "floor", "sidepod")
 
 
 @query("S2_classification_packets", "SELECT session_uid, car_index AS car_slot, position, grid_position, num_laps, result_status, [16 + car_index % 3, stint2, 0, 0, 0, 0, 0, 0] AS stints_visual FROM final_class")
@@ -93,7 +93,7 @@ def _(x):
         "position": c("position"), "grid_position": c("grid_position"), "num_laps": c("num_laps"), "result_status": c("result_status"),
         "stints_visual": F.array(c("stint1").cast("bigint"), c("stint2").cast("bigint"), *zero),
     }, src)
-    d = pk.cars(p, "classification").where(c("position") > 0)
+    d = pk.cars(p, "classification")
     return d.select("session_uid", "car_slot", "position", "grid_position", *ints("num_laps", "result_status"), "stints_visual")
 
 
@@ -130,14 +130,16 @@ def _(x):
     return d.select("recv_seq", "car_index", "num_laps", c("laps.lap_ms").alias("laps"), F.transform("laps", lambda e: e["valid_flags"].bitwiseAND(1) != 0).alias("valid"))
 
 
-@query("S3_tyre_set_packets", "SELECT session_uid, car_index, list(visual_compound ORDER BY set_index) AS compounds, list(lap_delta_time_ms ORDER BY set_index) AS deltas FROM tyre_sets GROUP BY 1, 2 HAVING count(*) = 20")
+@query("S3_tyre_set_packets", "SELECT session_uid, car_index, list(visual_compound ORDER BY set_index) AS compounds, list(lap_delta_time_ms ORDER BY set_index) AS deltas FROM tyre_sets GROUP BY 1, 2")
 def _(x):
     s = F.array_sort(F.collect_list(F.struct("set_index", "visual_compound", c("lap_delta_time_ms").alias("lap_delta_ms"))))
-    per = x.tyre_sets.groupBy("session_uid", "car_index").agg(s.alias("s")).where(F.size("s") == 20)  # 20 sets per car
+    per = x.tyre_sets.groupBy("session_uid", "car_index").agg(s.alias("s"))  # at most 20 sets per car
     sets = F.transform("s", lambda e: F.struct(e["visual_compound"].alias("visual_compound"), e["lap_delta_ms"].alias("lap_delta_ms")))
     body = F.struct(c("car_index"), sets.alias("sets"))
     p = pk.pack(per.select((c("session_uid") * 100 + c("car_index")).alias("recv_seq"), "session_uid", F.lit(0).alias("frame_identifier"), body.alias("body")), "tyre_sets")
-    return pk.singles(p, "tyre_sets").select("session_uid", "car_index", c("sets.visual_compound").alias("compounds"), c("sets.lap_delta_ms").alias("deltas"))
+    held = F.filter("sets", lambda e: e["visual_compound"] != 0)  # places of the packet without a set are all zero
+    return pk.singles(p, "tyre_sets").select(
+        "session_uid", "car_index", F.transform(held, lambda e: e["visual_compound"]).alias("compounds"), F.transform(held, lambda e: e["lap_delta_ms"]).alias("deltas"))
 
 
 @query("S3_motion_packets", "SELECT session_uid, seq, cast(forward_ms AS float) AS velocity_x, cast(yaw AS float) AS yaw, [cast(slip_rl AS float), cast(slip_rr AS float), cast(slip_fl AS float), cast(slip_fr AS float)] AS slip_ratio FROM motion")
@@ -186,22 +188,27 @@ def _(x):
 
 
 def export(x):
-    r = x.radio.withColumn("track_id", c("session_uid") % 36).withColumn("sent_at", c("sent_day").cast("timestamp"))
-    return tb.radio_export(r.withColumn("player_position", c("race_position")), dash.driver_names(x.participants))
+    r = x.radio.withColumn("track_id", c("session_uid") % 36).withColumn("sent_at", c("sent_day").cast("timestamp")).withColumn("player_position", c("race_position"))
+    n = c("message_id")
+    r = r.withColumns({
+        "session_type": 1 + n % 12, "total_laps": 20 + n % 40, "tyre_compound": F.when(n % 6 > 0, 15 + n % 6), "tyre_age_laps": n % 30, "sector": n % 3,
+        "best_strategies": F.when(n % 5 > 0, F.concat(F.lit('[{"label": "Plan ", "laps": '), n % 7, F.lit("}]")))})
+    return tb.radio_export(r, dash.driver_names(x.participants))
 
 
 EXPORT = """
-SELECT cast(message_id AS varchar) AS message_id, cast(r.session_uid AS varchar) AS session_uid, strftime(sent_day, '%Y-%m-%d %H:%M:%S') AS sent_at, priority, {tracks} AS circuit_name, coalesce(d.driver_name, '') AS driver_name,
-  message_text, coalesce(rendered_text, '') AS rendered_text FROM (SELECT *, session_uid % 36 AS track_id FROM radio) r
+SELECT cast(message_id AS varchar) AS message_id, cast(r.session_uid AS varchar) AS session_uid, strftime(sent_day, '%Y-%m-%d %H:%M:%S') AS sent_at, priority, cast(1 + message_id % 12 AS varchar) AS session_type,
+  cast(track_id AS varchar) AS track_id, {tracks} AS circuit_name, cast(lap_number AS varchar) AS lap_number, cast(20 + message_id % 40 AS varchar) AS total_laps, cast(race_position AS varchar) AS player_position,
+  coalesce(d.driver_name, '') AS driver_name, CASE WHEN message_id % 6 > 0 THEN cast(15 + message_id % 6 AS varchar) ELSE '' END AS tyre_compound, cast(message_id % 30 AS varchar) AS tyre_age_laps,
+  cast(message_id % 3 AS varchar) AS sector, message_text, CASE WHEN message_id % 5 > 0 THEN concat('[{{"label": "Plan ", "laps": ', message_id % 7, '}}]') ELSE '' END AS best_strategies,
+  coalesce(rendered_text, '') AS rendered_text FROM (SELECT *, session_uid % 36 AS track_id FROM radio) r
 LEFT JOIN (SELECT session_uid, max(driver_name) AS driver_name FROM participants WHERE ai_controlled = 0 AND trim(driver_name) <> '' GROUP BY 1) d ON d.session_uid = r.session_uid"""
 from apexframe.plans.readiness import TRACKS  # noqa: E402
 
-EXPORTED = ["message_id", "session_uid", "sent_at", "priority", "circuit_name", "driver_name", "message_text", "rendered_text"]
-
 
 @query("K8_radio_export", EXPORT.format(tracks=TRACKS))
 def _(x):
-    return export(x).select(*EXPORTED)
+    return export(x)
 
 
 @query("S12_radio_csv", EXPORT.format(tracks=TRACKS))
@@ -209,7 +216,7 @@ def _(x):
     path = tb.scratch(x.spark, "radio-csv")
     tb.write_csv(export(x), path)
     back = tb.read_csv(x.spark, path, list(tb.RADIO_HEADER))
-    return back.select(*[F.coalesce(n, F.lit("")).alias(n) for n in EXPORTED])
+    return back.select(*[F.coalesce(n, F.lit("")).alias(n) for n in tb.RADIO_HEADER])
 
 
 @query("S13_jsonl_runs", "SELECT row_id, model, variant, output, error, total_ms FROM runs")
@@ -267,16 +274,34 @@ def _(x):
         (F.max("event_id").isNotNull()).alias("has_id"), F.count("*").alias("copies"), F.max("owners").alias("owners"))
 
 
-@query("K7_backup_restore", "SELECT 'participants' AS t, session_uid, car_index, NULL AS set_index FROM participants WHERE car_index % 2 = 1 UNION ALL SELECT 'tyre_sets', session_uid, car_index, set_index FROM tyre_sets WHERE car_index % 2 = 1")
+# The tables in the order of their foreign keys: where their check SQL reads them, and the number that tells the lost rows.
+TABLES = {
+    "sessions": ("sessions", "session_uid"), "participants": ("participants", "car_index"), "sector_snapshots": ("snap", "lap_number"), "session_events": ("events", "event_id"),
+    "tyre_sets": ("tyre_sets", "set_index"), "final_classifications": ("final_class", "car_index"), "calibration_coefficients": ("coeffs", "coefficient_id"),
+    "sector_pace_baselines": ("o_baselines", "sector_number"), "tyre_age_pace_offsets": ("o_bins", "tyre_age_laps"), "radio_messages": ("radio", "message_id"),
+    "simulation_runs": ("(SELECT cast(substring(job_id, 5) AS bigint) AS run_id FROM sim_runs)", "run_id"), "simulation_accuracy": ("accuracy", "accuracy_id"),
+}
+
+
+def live_tables(x):
+    base = cut_lineage(cal.baselines(x.snap))
+    made = {"sector_pace_baselines": base, "tyre_age_pace_offsets": cut_lineage(cal.age_bins(x.snap, base)), "simulation_runs": x.sim_runs.withColumn("run_id", F.substring("job_id", 5, 20).cast("bigint"))}
+    return {name: made[name] if name in made else getattr(x, view) for name, (view, _) in TABLES.items()}
+
+
+@query("K7_backup_restore", " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS restored, 0 AS changed FROM {view} v WHERE {n} % 2 = 1" for t, (view, n) in TABLES.items()))
 def _(x):
-    live = {"participants": x.participants, "tyre_sets": x.tyre_sets}
+    """Rows that are missing from each table after a loss, given back whole."""
+    live = live_tables(x)
     path = tb.scratch(x.spark, "backup")
     tb.backup(live, path)
-    lost = {n: df.where(c("car_index") % 2 == 0) for n, df in live.items()}
-    back = tb.restore(x.spark, path, lost)
-    sets = back["tyre_sets"].select(F.lit("tyre_sets").alias("t"), "session_uid", "car_index", "set_index")
-    none = F.lit(None).cast(sets.schema["set_index"].dataType).alias("set_index")
-    return back["participants"].select(F.lit("participants").alias("t"), "session_uid", "car_index", none).unionByName(sets)
+    back = tb.restore(x.spark, path, {name: df.where(c(TABLES[name][1]) % 2 == 0) for name, df in live.items()})
+    out = None
+    for name, df in back.items():
+        lost = tb.summary(live[name].where(c(TABLES[name][1]) % 2 == 1).select(*df.columns)).select(c("mark").alias("lost"))
+        one = tb.summary(df).crossJoin(lost).select(F.lit(name).alias("t"), c("rows").alias("restored"), (c("mark") != c("lost")).cast("int").alias("changed"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("K9_report_rows", "SELECT track_id, regime, knob_name, coalesce(cast(sector_number AS varchar), '') AS sector, printf('%.4f', round(r2, 6)) AS r_squared, n FROM o_r2")

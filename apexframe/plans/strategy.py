@@ -90,13 +90,10 @@ def _(x):
 @query("C4_lifespan_pruning", f"""
 SELECT session_uid, tick, count(*) AS raw, count(*) FILTER (WHERE len(comps) = 0 OR (coalesce(l1, total_laps + 1) - current_lap + tyre_age <= {cap('compound')}
   AND (n < 1 OR coalesce(l2, total_laps + 1) - l1 <= {cap('c1')}) AND (n < 2 OR total_laps + 1 - l2 <= {cap('c2')}))) AS kept
-FROM (SELECT * FROM o_plans_raw WHERE n = 1) r GROUP BY 1, 2""")
+FROM o_plans_raw r GROUP BY 1, 2""")
 def _(x):
-    s = st.situation(plan_inputs(x)).select("*", F.posexplode("compounds").alias("_i", "_c1"))
-    s = s.where((c("_c1") != c("compound")) | c("free") | c("wet"))
-    s = s.withColumn("_l1", F.explode(st._laps(c("current_lap") + st.MIN_STINT, c("last_pit"), c("step"))))
-    s = s.withColumn("stops", F.array(F.struct(c("_l1").alias("on_lap"), c("_c1").cast("bigint").alias("compound"))))
-    return s.groupBy(*P).agg(F.count("*").alias("raw"), F.count_if((F.size("compounds") == 0) | st.within_lifespans()).alias("kept"))
+    every = st.all_plans(plan_inputs(x))
+    return every.groupBy(*P).agg(F.count("*").alias("raw"), F.count_if((F.size("compounds") == 0) | st.within_lifespans()).alias("kept"))
 
 
 @query("C5_break_even_guard", "SELECT session_uid, tick, cast(last_pit AS bigint) AS last_pit, can_finish FROM o_sit")
@@ -109,17 +106,19 @@ def _(x):
     return plans(x).where(c("repair_front_wing")).select(*P, "label")
 
 
-HAVE = "(SELECT session_uid, visual_compound AS k, count(*) AS a FROM tyre_sets WHERE available = 1 AND fitted = 0 AND car_index = 0 GROUP BY 1, 2)"
+HAVE = "(SELECT session_uid, car_index AS car, visual_compound AS k, count(*) AS a FROM tyre_sets WHERE available = 1 AND fitted = 0 GROUP BY 1, 2, 3)"
 REASON = "concat('Need ', {n}, ' ', CASE {k} WHEN 16 THEN 'Soft' WHEN 17 THEN 'Medium' WHEN 18 THEN 'Hard' ELSE concat('Compound-', {k}) END, ' set(s) but only ', coalesce({a}, 0), ' available')"
 
 
 @query("C7_tyre_set_feasibility", f"""
 SELECT p.session_uid, p.tick, p.label, CASE WHEN coalesce(a.a, 0) < CASE WHEN c2 = c1 THEN 2 ELSE 1 END THEN {REASON.format(n='CASE WHEN c2 = c1 THEN 2 ELSE 1 END', k='c1', a='a.a')}
   WHEN n = 2 AND coalesce(b.a, 0) < 1 THEN {REASON.format(n='1', k='c2', a='b.a')} END AS reason
-FROM o_plans p LEFT JOIN {HAVE} a ON a.session_uid = p.session_uid AND a.k = p.c1 LEFT JOIN {HAVE} b ON b.session_uid = p.session_uid AND b.k = p.c2 WHERE n > 0""")
+FROM (SELECT p.*, q.car FROM o_plans p JOIN cars q ON q.session_uid = p.session_uid AND q.tick = p.tick AND q.ai = 0) p
+LEFT JOIN {HAVE} a ON a.session_uid = p.session_uid AND a.car = p.car AND a.k = p.c1 LEFT JOIN {HAVE} b ON b.session_uid = p.session_uid AND b.car = p.car AND b.k = p.c2 WHERE n > 0""")
 def _(x):
-    have = st.set_counts(x.tyre_sets.where(c("car_index") == 0), ["session_uid"])
-    p = plans(x).where(F.size("stops") > 0).join(have, "session_uid", "left")
+    have = st.set_counts(x.tyre_sets.withColumnRenamed("car_index", "car"), ["session_uid", "car"])
+    player = x.cars.where(c("ai") == 0).select(*P, "car")  # the plans are for the player's car
+    p = plans(x).where(F.size("stops") > 0).join(player, P).join(have, ["session_uid", "car"], "left")
     none = F.create_map().cast("map<bigint,bigint>")
     return p.select(*P, "label", st.first_shortage(c("stops"), F.coalesce("have", none)).alias("reason"))
 

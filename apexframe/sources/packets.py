@@ -200,7 +200,11 @@ def headers(packets: DataFrame) -> DataFrame:
 
 
 def cars(packets: DataFrame, kind: str) -> DataFrame:
-    """Twenty-two rows per packet of a per-car kind; packets that are too short give none."""
+    """Twenty-two rows per packet of a per-car kind; packets that are too short give none.
+
+    Where the packets come with ``slots``, the slots in use, only those give rows.
+    """
+    known = ["slots"] if "slots" in packets.columns else []
     number, text, before, after = CAR_KINDS[kind]
     slot = layout(text)
     names = _fields(slot)
@@ -211,11 +215,17 @@ def cars(packets: DataFrame, kind: str) -> DataFrame:
             h, a = _view(raw, HEAD, 0)[:, 0], _view(raw, slot, HEADER_SIZE + before, CARS).reshape(-1)
             lead = [pa.array(np.repeat(np.asarray(b.column("recv_seq")), CARS))]
             lead += [_arrow(np.repeat(h[k], CARS)) for k in KEPT] + [pa.array(np.tile(np.arange(CARS, dtype=np.int64), len(raw)))]
-            yield pa.RecordBatch.from_arrays([*lead, *[_arrow(a[n]) for n in names]], ["recv_seq", *KEPT, "car_slot", *names])
+            out = pa.RecordBatch.from_arrays([*lead, *[_arrow(a[n]) for n in names]], ["recv_seq", *KEPT, "car_slot", *names])
+            if known:
+                used = np.zeros((len(raw), CARS), bool)
+                at = b.column("slots")
+                used[np.repeat(np.arange(len(raw)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = True
+                out = out.filter(pa.array(used.reshape(-1)))
+            yield out
 
     least = HEADER_SIZE + before + CARS * slot.itemsize + after
     kept = ", ".join(f"{k} bigint" for k in KEPT)
-    return of_kind(packets, number, least).select("recv_seq", "payload").mapInArrow(run, f"recv_seq bigint, {kept}, car_slot bigint, {_schema(slot)}")
+    return of_kind(packets, number, least).select("recv_seq", "payload", *known).mapInArrow(run, f"recv_seq bigint, {kept}, car_slot bigint, {_schema(slot)}")
 
 
 def singles(packets: DataFrame, kind: str) -> DataFrame:
@@ -274,10 +284,11 @@ def _fill(slot, values: dict) -> None:
             slot[n] = v.encode() if isinstance(v, str) else v
 
 
-def pack(rows_: DataFrame, kind: str) -> DataFrame:
+def pack(rows_: DataFrame, kind: str, slots: bool = False) -> DataFrame:
     """Packets from rows of (recv_seq, session_uid, frame_identifier, body).
 
-    ``body`` is an array of structs (``car_slot`` and fields) for per-car kinds, else one struct.
+    ``body`` is an array of structs (``car_slot`` and fields) for per-car kinds, else one struct. With
+    ``slots`` per-car packets come with their slots in use.
     Events carry ``event_code`` in the struct; kind "header" packs the header alone.
     """
     import pandas as pd
@@ -309,7 +320,8 @@ def pack(rows_: DataFrame, kind: str) -> DataFrame:
                     a = np.zeros(1, t)
                     _fill(a[0], dict(r.body))
                     body = a.tobytes()[HEADER_SIZE - offset :].ljust(least - HEADER_SIZE, b"\0")
-                out.append((r.recv_seq, h.tobytes() + body))
-            yield pd.DataFrame(out, columns=["recv_seq", "payload"])
+                used = [[car["car_slot"] for car in r.body]] if slots else []
+                out.append((r.recv_seq, h.tobytes() + body, *used))
+            yield pd.DataFrame(out, columns=["recv_seq", "payload", "slots"] if slots else ["recv_seq", "payload"])
 
-    return rows_.mapInPandas(run, "recv_seq bigint, payload binary")
+    return rows_.mapInPandas(run, "recv_seq bigint, payload binary" + (", slots array<int>" if slots else ""))

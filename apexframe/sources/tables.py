@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apexframe import dims
@@ -16,6 +16,7 @@ TICK_SCHEMA = (
     "type string, sessionUid string, trackId int, sessionType int, currentLap bigint, event string, driverName string, "
     "cars array<struct<idx:bigint,name:string,pos:bigint,lap:bigint,sector:bigint,lastLapTimeMs:bigint,pitStatus:int,ai:boolean>>"
 )
+# The export's columns in order, and the key of each table.
 RADIO_HEADER = (
     "message_id", "session_uid", "sent_at", "priority", "session_type", "track_id", "circuit_name", "lap_number", "total_laps",
     "player_position", "driver_name", "tyre_compound", "tyre_age_laps", "sector", "message_text", "best_strategies", "rendered_text",
@@ -153,17 +154,45 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version-{have[-1]:08d}") if have else None
 
 
+def _mark() -> list[Column]:
+    """Row count and order-free checksum of a table, of the column ``_mark`` of ``_marked``."""
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(c("_mark").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("mark")]
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    whole = F.to_json(F.struct(*[c(f"`{n}`") for n in df.columns]))
+    return df.select("*", F.xxhash64(whole).alias("_mark"))
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """Rows and checksum of a table, whatever the order."""
+    return _marked(df).agg(*_mark())
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> None:
+    """Write the tables, then a manifest with rows and checksum of each as they were written. A backup without its
+    manifest is not complete."""
+    marks = []
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        seen = Observation()
+        _marked(df).observe(seen, *_mark()).drop("_mark").write.mode("errorifexists").parquet(f"{path}/{name}")
+        marks.append((name, seen.get["rows"], seen.get["mark"]))
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame(marks, "name string, rows bigint, mark string").coalesce(1).write.json(f"{path}/manifest")
 
 
 def restore(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Rows of the backup missing from each live table."""
-    return {
-        name: spark.read.parquet(f"{path}/{name}").join(live.select(*TABLE_KEYS[name]), TABLE_KEYS[name], "left_anti")
-        for name, live in tables.items()
-    }
+    """Rows of the backup missing from each live table, tables in the order of their foreign keys.
+
+    Every table is verified against the manifest before any is given; a damaged one is refused.
+    """
+    marks = {r.name: (r.rows, r.mark) for r in spark.read.schema("name string, rows bigint, mark string").json(f"{path}/manifest").collect()}  # a row for each table
+    names = [n for n in TABLE_KEYS if n in tables]
+    for name in names:
+        found = summary(spark.read.parquet(f"{path}/{name}")).first()
+        if (found.rows, found.mark) != marks.get(name):
+            raise ValueError(f"backup of {name} is damaged: {found.rows} rows with mark {found.mark}, not {marks.get(name)}")
+    return {n: spark.read.parquet(f"{path}/{n}").join(tables[n].select(*TABLE_KEYS[n]), TABLE_KEYS[n], "left_anti") for n in names}
 
 
 def radio_log(messages: DataFrame) -> DataFrame:

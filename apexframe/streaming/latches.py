@@ -103,6 +103,16 @@ def lap_gap(least: int) -> Callable:
     return step
 
 
+def per_lap(cap: int) -> Callable:
+    """Let so many through in each lap."""
+
+    def step(s: dict, r) -> tuple | None:
+        s[r.lap] = s.get(r.lap, 0) + 1
+        return ("pass", s[r.lap]) if s[r.lap] <= cap else None
+
+    return step
+
+
 def changed(s: dict, r) -> tuple | None:
     """A later lap whose value is another than that of the last one let through."""
     if r.lap > s.get("lap", 0) and r.value != s.get("value"):

@@ -31,3 +31,22 @@ def test_unknown_event_has_no_details(spark):
     rows = spark.range(1).select(c("id").alias("recv_seq"), F.lit(1).cast("bigint").alias("session_uid"), F.lit(9).alias("frame_identifier"), body.alias("body"))
     e = pk.events(pk.pack(rows, "event")).first()
     assert e.event_code == "SEND" and e.vehicle_idx is None
+
+
+def test_slots_in_use_keep_rows_of_zeros(spark):
+    """A car at rest with all fields zero is a row; a slot without a car is none."""
+    body = F.array(*[F.struct(F.lit(slot).alias("car_slot"), F.lit(0).alias("speed")) for slot in (0, 3)])
+    rows = spark.range(3).select(c("id").alias("recv_seq"), F.lit(1).cast("bigint").alias("session_uid"), F.lit(0).alias("frame_identifier"), body.alias("body"))
+    p = pk.pack(rows, "telemetry", slots=True)
+    got = sorted((r.recv_seq, r.car_slot, r.speed) for r in pk.cars(p, "telemetry").collect())
+    assert got == [(i, slot, 0) for i in range(3) for slot in (0, 3)]
+    assert pk.cars(p.drop("slots"), "telemetry").count() == 66
+
+
+def test_short_tyre_set_lists(spark):
+    """A car with fewer than twenty sets keeps those it has."""
+    sets = F.array(*[F.struct(F.lit(k).alias("visual_compound"), F.lit(ms).alias("lap_delta_ms")) for k, ms in ((16, -5), (7, 0))])
+    body = F.struct(F.lit(4).alias("car_index"), sets.alias("sets"))
+    rows = spark.range(1).select(c("id").alias("recv_seq"), F.lit(1).cast("bigint").alias("session_uid"), F.lit(0).alias("frame_identifier"), body.alias("body"))
+    r = pk.singles(pk.pack(rows, "tyre_sets"), "tyre_sets").first()
+    assert r.car_index == 4 and [(s.visual_compound, s.lap_delta_ms) for s in r.sets if s.visual_compound] == [(16, -5), (7, 0)]

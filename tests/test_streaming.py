@@ -15,6 +15,7 @@ from apexframe.plans.rules import plans, rain_in
 from apexframe.plans.ticks import zones
 from apexframe.streaming import jobs
 from apexframe.streaming import memory as sm
+from apexframe.streaming import timers
 
 c = F.col
 S = ["session_uid"]
@@ -121,6 +122,55 @@ def test_delivery_in_a_stream(spark, tmp_path):
     assert want and rows(spark.read.parquet(f"{tmp_path}/out")) == want
 
 
+def test_triggers_are_those_of_the_batch_operators(spark, tmp_path):
+    x = Inputs(spark, "/root/testdata/sf0.01")
+    t = ru.from_documents(documents(x).drop("ts"))
+    assert rows(ru.projection_triggers(t)) == rows(tk.projection_triggers(x.cars))
+    strategy = tk.strategy_triggers(x.cars)
+    assert rows(ru.strategy_triggers(t)) == rows(strategy)
+    want = rows(tk.throttle(strategy).select("session_uid", "tick", "at_ms", "lap", "severity"))
+    assert len(want) < strategy.count() and rows(ru.strategy_triggers(t, cap=2)) == want
+    stream = ru.from_documents(land(documents(x).drop("ts"), f"{tmp_path}/in", ["tick", "session_uid"]))
+    jobs.drain(ru.strategy_triggers(stream, sm.Stateful(), cap=2), f"{tmp_path}/cp", path=f"{tmp_path}/out")
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == want
+
+
+def test_rewinds_silence_in_a_stream(spark, x, tmp_path):
+    m = x.ticks.select("session_uid", (c("seq") * 1000).alias("at_ms"), (c("event_type") == "signup").alias("is_rewind"))
+    want = rows(tk.outside_rewind(m.where(~c("is_rewind")).drop("is_rewind"), m.where("is_rewind").drop("is_rewind")))
+    assert rows(ru.outside_rewind(m).drop("is_rewind")) == want
+    jobs.drain(ru.outside_rewind(land(m, f"{tmp_path}/in", ["at_ms", "session_uid"]), engine=sm.Stateful()).drop("is_rewind"), f"{tmp_path}/cp", path=f"{tmp_path}/out")
+    assert want and rows(spark.read.parquet(f"{tmp_path}/out")) == want
+
+
+def test_runs_by_timers(spark, x, tmp_path):
+    """Bursts and idle runs of all sessions at the times of the batch; only a row of another session moves the clock on."""
+    base = 3_600_000
+    trig = tk.strategy_triggers(x.cars).where(c("severity") == "CRITICAL").withColumn("at_ms", c("at_ms") + base)
+    ends = x.cars.groupBy("session_uid").agg((F.max("at_ms") + 20000 + base).alias("end_ms"))
+    burst = tk.debounce(trig)
+    want = rows(tk.idle_floor(burst, ends).select("session_uid", "fire_ms", "cause"))
+    feed = trig.select("session_uid", "at_ms", F.lit(False).alias("ends")).unionByName(ends.select("session_uid", c("end_ms").alias("at_ms"), F.lit(True).alias("ends")))
+    late = feed.withColumn("_o", c("at_ms") + F.pmod(F.hash("at_ms"), F.lit(5)) * 1000)
+    closing = spark.createDataFrame([(-1, 10 * base, True, 1 << 60)], "session_uid bigint, at_ms bigint, ends boolean, _o bigint")
+    source = land(late.unionByName(closing), f"{tmp_path}/in", ["_o", "session_uid"])
+    jobs.drain(timers.runs(source.drop("_o")), f"{tmp_path}/cp", path=f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(got.select("session_uid", "fire_ms", "cause")) == want and {r[2] for r in want} == {"trigger", "idle"}
+    assert rows(got.where("triggers > 0").select("session_uid", "fire_ms", "triggers")) == rows(burst)
+
+
+def test_liveness_by_timers(spark, tmp_path):
+    put = lambda *rows_: spark.createDataFrame([(s, 3_600_000 + at) for s, at in rows_], "session_uid int, at_ms bigint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for rows_ in (((1, 0), (1, 4000)), ((2, 8000), (1, 9500)), ((2, 40_000),), ((1, 60_000), (3, 90_000)), ((3, 120_000),)):
+        put(*rows_)
+        source = spark.readStream.schema("session_uid int, at_ms bigint").parquet(f"{tmp_path}/in")
+        jobs.drain(timers.liveness(source), f"{tmp_path}/cp", path=f"{tmp_path}/out")
+    got = sorted((r.session_uid, r.at_ms - 3_600_000, r.live) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert [g for g in got if g[0] == 1] == [(1, 0, True), (1, 9000, False), (1, 9500, True), (1, 14_500, False), (1, 60_000, True), (1, 65_000, False)]
+    assert [g for g in got if g[0] == 2] == [(2, 8000, True), (2, 13_000, False), (2, 40_000, True), (2, 45_000, False)]
+
+
 def test_rules_take_one_fact_shuffle(spark, x):
     """All rules over player ticks: sessions are dealt once, and once more no tick moves."""
     t = ru.player_ticks(x.cars.repartition("session_uid"))
