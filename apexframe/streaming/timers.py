@@ -101,21 +101,29 @@ class Liveness(_Timed):
     row = Row("session_uid", "at_ms", "live")
 
     def take(self, state: dict, r) -> None:
-        if "from" not in state:
-            state["from"] = r["at_ms"]
-        state["seen"] = max(state.get("seen", r["at_ms"]), r["at_ms"])
+        state["times"] = sorted([*state.get("times", []), r["at_ms"]])
+
+    def _chain(self, times: list[int]) -> int:
+        """How many of the first times lie no further apart than a session stays live."""
+        n = 1
+        while n < len(times) and times[n] - times[n - 1] <= LIVE_MS:
+            n += 1
+        return n
 
     def due(self, state: dict) -> int | None:
-        return state["from"] if "from" in state and not state.get("said") else state["seen"] + LIVE_MS if "seen" in state else None
+        times = state.get("times")
+        if not times:
+            return None
+        if not state.get("live"):
+            return times[0]
+        state["times"] = times = times[self._chain(times) - 1 :]  # what lies before the end of the chain is told
+        return times[0] + LIVE_MS
 
     def happen(self, key, state: dict, at: int) -> Iterator[Row]:
-        live = not state.get("said")
-        if live:
-            state["said"] = True
-        else:
-            for name in ("from", "seen", "said"):
-                state.pop(name, None)
-        yield self.row(key, at, live)
+        state["live"] = not state.get("live")
+        if not state["live"]:
+            state["times"] = state["times"][1:]
+        yield self.row(key, at, state["live"])
 
 
 def _timed(rows: DataFrame, late: str) -> DataFrame:
