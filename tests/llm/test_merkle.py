@@ -56,8 +56,7 @@ def expected(rows):
     return sorted(((*r[:4], [(a, d) if d else (None, None) for a, d in r[4]]) for r in brute(rows)), key=repr)
 
 
-@pytest.mark.parametrize("sizes", [(1,), (2,), (3, 1), (4, 5, 0), (17, 9, 8), (64, 63, 65, 1, 2)])
-@pytest.mark.parametrize("bits", [1, 2, 3, 10])
+@pytest.mark.parametrize("sizes, bits", [((1,), 10), ((2, 3, 1), 1), ((4, 5, 0), 2), ((17, 9, 8), 3), ((64, 63, 65, 1, 2), 10)])
 def test_trees_of_every_shape(spark, sizes, bits):
     rows = [(i * 7 % 1000 + 1000 * k, "é" * (i % 3), None if k == 1 else f"l{k}", i or None, f"text {i}") for k, n in enumerate(sizes) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(3)
