@@ -1,7 +1,7 @@
 """Structured Streaming jobs: landed packets to ticks, statistics, snapshots, messages and tables.
 
-Event time is the receive time; watermarks bound the state. Rules and transitions keep arrival order
-inside a micro-batch and carry their memory in the state store.
+Event time is the receive time. Watermarks bound the state of windows and of ticks put in order; what rules
+and transitions remember is one value for each key in the state store (see ``memory`` and ``latches``).
 """
 
 from __future__ import annotations
