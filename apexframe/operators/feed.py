@@ -200,22 +200,31 @@ def excursions(frames: DataFrame, keys: list[str], kind: str, span: int = 4096,
     )
     now = F.coalesce("_now", F.lit(False))
     runs = seen.withColumn("active", now).where(now | (F.coalesce("_was", F.lit(False)) & ~again))
+    return closed(runs.withColumn("event_type", F.lit(kind)), [*keys, "_epoch"]).drop("_epoch")
+
+
+def closed(runs: DataFrame, keys: list[str], closing: tuple[str, ...] = ()) -> DataFrame:
+    """Events of the frames of runs (named by ``_run`` within keys and ``event_type``) and of the frame after each;
+    ``closing`` columns come from that frame."""
     on, off = F.when(c("active"), c("seq")), F.when(~c("active"), c("seq"))
     first = F.min_by(F.struct("t_ms", "lap", "sector", "lap_distance", "speed"), on)
     peak = F.max_by(F.struct("detail", "intensity", "brake", "throttle", "steer"), F.when(c("active"), F.struct("intensity", -c("seq"))))
-    last = F.min_by(F.struct("t_ms", "lap_distance", "frame_identifier"), off)
-    ev = runs.groupBy(*keys, "_run", "_epoch").agg(
+    last = F.min_by(F.struct("t_ms", "lap_distance", "frame_identifier", *closing), off)
+    ev = runs.groupBy(*keys, "event_type", "_run").agg(
         first.alias("o"), peak.alias("p"), last.alias("e"), F.max(F.when(c("active"), c("brake"))).alias("brake_peak"),
         F.max(F.when(c("active"), c("throttle"))).alias("throttle_peak"), F.max(F.when(c("active"), F.abs("steer"))).alias("steer_peak"),
     )
-    dur = c("e.t_ms") - c("o.t_ms")
-    return ev.where(c("e").isNotNull() & (dur >= MIN_EVENT_MS)).select(
-        *keys, F.lit(kind).alias("event_type"), c("o.lap").alias("lap"), c("o.sector").alias("sector"),
+    dur = (c("e.t_ms") - c("o.t_ms")).cast("bigint")
+    signal = F.lit(None).cast("string")
+    for kind, name in SIGNAL.items():
+        signal = F.when(c("event_type") == kind, name).otherwise(signal)
+    return ev.where(c("o").isNotNull() & c("e").isNotNull() & (dur >= MIN_EVENT_MS)).select(
+        *keys, "event_type", c("o.lap").alias("lap"), c("o.sector").alias("sector"),
         c("o.lap_distance").alias("start_m"), c("e.lap_distance").alias("end_m"), c("p.detail").alias("detail"),
         c("p.intensity").alias("peak_intensity"), dur.alias("duration_ms"), c("o.speed").alias("entry_speed"),
-        F.lit(SIGNAL.get(kind)).cast("string").alias("intensity_signal"),
+        signal.alias("intensity_signal"),
         "brake_peak", "throttle_peak", "steer_peak", c("p.brake").alias("brake_at_peak"), c("p.throttle").alias("throttle_at_peak"), c("p.steer").alias("steer_at_peak"),
-        c("e.frame_identifier").alias("frame_identifier"),
+        c("e.frame_identifier").alias("frame_identifier"), *[c(f"e.{n}").alias(n) for n in closing],
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apexframe.functions import stats
-from apexframe.operators import feed
+from apexframe.operators import feed, motion
 from apexframe.plans.registry import query, shared
+from apexframe.sources import packets as pk
 
 c = F.col
 S = ["session_uid"]
@@ -151,8 +152,8 @@ FROM (SELECT session_uid, run, arg_min(f, seq) FILTER (WHERE active) AS o, arg_m
     max(abs(steer)) FILTER (WHERE active) AS steer_peak
   FROM (SELECT *, sum(CASE WHEN active AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER w AS run FROM (
       SELECT *, struct_pack(lap, sector, lap_distance, detail, intensity, t_ms, speed, brake, throttle, steer, frame_identifier) AS f,
-        lag(active) OVER w AS was FROM ({flags}) m WINDOW w AS (PARTITION BY session_uid ORDER BY seq)) g
-    WINDOW w AS (PARTITION BY session_uid ORDER BY seq)) r WHERE run > 0 GROUP BY session_uid, run) i
+        lag(active) OVER w AS was FROM ({flags}) m WINDOW w AS (PARTITION BY {part} ORDER BY seq)) g
+    WINDOW w AS (PARTITION BY {part} ORDER BY seq)) r WHERE run > 0 GROUP BY {part}, run) i
 WHERE e IS NOT NULL AND e.t_ms - o.t_ms >= 50"""
 LOW4, HIGH2 = "least(ratio_rl, ratio_rr, ratio_fl, ratio_fr)", "greatest(ratio_rl, ratio_rr)"
 FLAGS = {
@@ -168,28 +169,34 @@ FLAGS = {
 }
 
 
-@query("R5_excursions", ISLANDS.format(kind="FAST", flags="SELECT *, speed > 25 AS active, 'any' AS detail, speed AS intensity FROM motion"))
+def islands(kind, flags, part="session_uid"):
+    return ISLANDS.format(kind=kind, flags=flags, part=part)
+
+
+# Every 97th frame is a rewind: an event open at it is discarded.
+@query("R5_excursions", islands(
+    "FAST", "SELECT *, speed > 25 AS active, 'any' AS detail, speed AS intensity, cast(floor(seq / 97e0) AS bigint) AS epoch FROM motion", "session_uid, epoch"))
 def _(x):
     fast = x.motion.withColumn("active", c("speed") > 25).withColumn("detail", F.lit("any")).withColumn("intensity", c("speed"))
-    return feed.excursions(fast, S, "FAST").select(*EV)
+    return feed.excursions(fast.withColumn("again", c("seq") % 97 == 0), S, "FAST", reset="again").select(*EV)
 
 
-@query("R6_lockup", ISLANDS.format(kind="LOCKUP", flags=FLAGS["LOCKUP"]))
+@query("R6_lockup", islands("LOCKUP", FLAGS["LOCKUP"]))
 def _(x):
     return feed.excursions(feed.lockup(x.motion), S, "LOCKUP").select(*EV)
 
 
-@query("R7_wheelspin", ISLANDS.format(kind="WHEELSPIN", flags=FLAGS["WHEELSPIN"]))
+@query("R7_wheelspin", islands("WHEELSPIN", FLAGS["WHEELSPIN"]))
 def _(x):
     return feed.excursions(feed.wheelspin(x.motion), S, "WHEELSPIN").select(*EV)
 
 
-@query("R8_slide", ISLANDS.format(kind="SLIDE", flags=FLAGS["SLIDE"]))
+@query("R8_slide", islands("SLIDE", FLAGS["SLIDE"]))
 def _(x):
     return feed.excursions(feed.slide(x.motion), S, "SLIDE").select(*EV)
 
 
-@query("R9_braking", ISLANDS.format(kind="BRAKING", flags=FLAGS["BRAKING"]))
+@query("R9_braking", islands("BRAKING", FLAGS["BRAKING"]))
 def _(x):
     return feed.excursions(feed.braking(x.motion), S, "BRAKING").select(*EV)
 
@@ -214,6 +221,61 @@ def _(x):
     return seen.where(ready).select("session_uid", "event_id", "lap_value", "telemetry_value", "epoch")
 
 
+# Packets of the player, whose slot is 19: motion in every frame, the others now and then, a rewind every 97 frames.
+RATIOS = {w: f"cast(cast(ratio_{w} * forward_ms AS float) AS double) / cast(cast(forward_ms AS float) AS double)" for w in ("rl", "rr", "fl", "fr")}
+F4 = "cast(cast({} AS float) AS double) AS {}"
+shared("o_player_frames", f"""
+SELECT m.session_uid, m.seq * 8 + 3 AS seq, cast(floor((m.seq - 1) / 97e0) AS bigint) AS epoch, m.frame_identifier, 19 AS car_index, m.session_uid % 30 AS track_id, 1 + (m.seq - 3 - (m.seq - 3) % 50) % 12 AS session_type,
+  cast(cast(m.t_ms / 1000e0 AS float) AS double) * 1000e0 AS t_ms, l.lap AS lap, l.sector AS sector, l.lap_distance AS lap_distance, t.speed AS speed, t.brake AS brake, t.throttle AS throttle, t.steer AS steer,
+  m.forward_ms, {F4.format('m.yaw', 'yaw')}, {', '.join(f"CASE WHEN m.forward_ms >= 8 THEN {RATIOS[w]} END AS ratio_{w}, {F4.format('slip_' + w, 'slip_' + w)}" for w in RATIOS)},
+  {F4.format('slip_front', 'slip_front')}, {F4.format('slip_rear', 'slip_rear')}
+FROM motion m JOIN (SELECT session_uid, seq, lap % 256 AS lap, sector, lap_distance FROM motion) l ON l.session_uid = m.session_uid AND l.seq = m.seq - m.seq % 2
+JOIN (SELECT session_uid, seq, speed, {F4.format('brake', 'brake')}, {F4.format('throttle', 'throttle')}, {F4.format('steer', 'steer')} FROM motion) t
+  ON t.session_uid = m.session_uid AND t.seq = m.seq - CASE WHEN m.seq % 3 = 1 THEN 1 ELSE 0 END
+WHERE m.seq >= 3""")
+FRAME = (
+    "session_uid", "seq", "epoch", "frame_identifier", "car_index", "track_id", "session_type", "t_ms", "lap", "sector", "lap_distance", "speed", "brake", "throttle", "steer", "forward_ms", "yaw",
+    *[f"{k}_{w}" for w in ("rl", "rr", "fl", "fr") for k in ("ratio", "slip")], "slip_front", "slip_rear",
+)
+
+
+def player_packets(x):
+    m = x.motion
+    slot = F.lit(19)
+    four = lambda *cols: F.array(*[e.cast("float") for e in cols])
+    wheels = ("rl", "rr", "fl", "fr")
+    car = lambda **f: F.array(F.struct(slot.alias("car_slot"), *[e.alias(n) for n, e in f.items()]))
+    axle = four(c("slip_rear"), -c("slip_rear") / 2, c("slip_front") / 2, -c("slip_front"))
+    kinds = [
+        ("session", 0, c("seq") % 50 == 3, F.struct((c("session_uid") % 30).alias("track_id"), (1 + (c("seq") - 3) % 12).alias("session_type"))),
+        ("lap", 1, c("seq") % 2 == 0, car(lap_distance=c("lap_distance").cast("float"), current_lap_num=c("lap") % 256, sector=c("sector"))),
+        ("telemetry", 2, c("seq") % 3 != 1, car(speed=c("speed").cast("int"), **{n: c(n).cast("float") for n in ("brake", "throttle", "steer")})),
+        ("motion", 3, F.lit(True), F.struct(
+            four(*[c(f"ratio_{w}") * c("forward_ms") for w in wheels]).alias("wheel_speed"), four(*[c(f"slip_{w}") for w in wheels]).alias("slip_ratio"), axle.alias("slip_angle"),
+            c("forward_ms").cast("float").alias("velocity_x"), c("yaw").cast("float").alias("yaw"))),
+        ("event", 4, c("seq") % 97 == 0, F.struct(F.lit("FLBK").alias("event_code"), c("seq").alias("rewind_frame"))),
+    ]
+    out = None
+    for kind, n, when, body in kinds:
+        rows = m.where(when).select(
+            (c("seq") * 8 + n).alias("recv_seq"), "session_uid", c("frame_identifier"), (c("t_ms") / 1000.0).cast("float").alias("session_time"), slot.alias("player_car_index"), body.alias("body"))
+        p = pk.pack(rows, kind)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query("R10_player_frames", f"SELECT {', '.join(FRAME)} FROM o_player_frames")
+def _(x):
+    return motion.frames(pk.player_stream(player_packets(x))).select(*FRAME)
+
+
+@query("R6_R9_events_from_packets", " UNION ALL ".join(islands(kind, text.replace("FROM motion", "FROM o_player_frames").replace("PARTITION BY session_uid", "PARTITION BY session_uid, epoch"), "session_uid, epoch")
+    .replace("e.t_ms - o.t_ms", "cast(trunc(e.t_ms - o.t_ms) AS bigint)").replace("e.frame_identifier AS frame_identifier", "e.frame_identifier AS frame_identifier, session_uid % 30 AS track_id") for kind, text in FLAGS.items()))
+def _(x):
+    ev = motion.driving_events(motion.frames(pk.player_stream(player_packets(x))))
+    return ev.select(*EV, "track_id")
+
+
 # Pit status codes spread over the tick feed so that every state is reached.
 PITCODE = "CASE WHEN seq % 17 < 6 THEN 0 WHEN seq % 17 = 11 AND seq % 3 = 0 THEN 2 ELSE 1 END"
 shared("o_pit_feed", f"SELECT session_uid, seq, {PITCODE} AS pit_status, CASE WHEN seq % 5 < 2 THEN speed % 5 ELSE speed END AS speed FROM ticks")

@@ -176,13 +176,37 @@ def of_kind(packets: DataFrame, number: int, least: int) -> DataFrame:
     return packets.where((F.length("payload") >= least) & (packet_id() == number))
 
 
-def _view(payloads: list[bytes], t: np.dtype, offset: int, count: int = 1) -> np.ndarray:
-    size = t.itemsize * count
-    return np.frombuffer(b"".join(p[offset : offset + size] for p in payloads), t).reshape(len(payloads), count)
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The data buffer of a binary column and where each payload starts, with the end of the last."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    return np.frombuffer(data, np.uint8), at[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
+def _view(column: pa.Array, t: np.dtype, offset: int | np.ndarray, count: int = 1, rows: np.ndarray | None = None) -> np.ndarray:
+    """``count`` records of type ``t`` from each payload (of ``rows``), ``offset`` bytes after its start.
+
+    Payloads of one size, the usual case for one kind, are one strided view of the buffer.
+    """
+    data, at = _bytes(column)
+    starts = (at[:-1] if rows is None else at[rows]) + offset
+    n, size = len(starts), t.itemsize * count
+    step = np.diff(starts)
+    if n > 1 and (step == step[0]).all() and step[0] >= 0:
+        flat = np.lib.stride_tricks.as_strided(data[starts[0] :], (n, size), (step[0], 1))
+    else:
+        flat = np.empty((n, size), np.uint8)
+        for i in range(0, n, GATHERED):
+            flat[i : i + GATHERED] = data[starts[i : i + GATHERED, None] + np.arange(size)]
+    return np.ascontiguousarray(flat).view(t).reshape(n, count)
+
+
+GATHERED = 1024  # payloads of mixed sizes copied at once
 HEAD = layout(HEADER)
-KEPT = ("session_uid", "frame_identifier", "player_car_index")
+KEPT = {"session_uid": "bigint", "session_time": "float", "frame_identifier": "bigint", "player_car_index": "bigint"}
+KEPT_SCHEMA = ", ".join(f"{k} {t}" for k, t in KEPT.items())
 
 
 def headers(packets: DataFrame) -> DataFrame:
@@ -191,7 +215,7 @@ def headers(packets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = _view(b.column("payload").to_pylist(), HEAD, 0)[:, 0]
+            h = _view(b.column("payload"), HEAD, 0)[:, 0]
             known = pa.array((h["packet_format"] == 2025) & (h["game_year"] == 25))
             yield pa.RecordBatch.from_arrays([b.column("recv_seq"), *[_arrow(h[n]) for n in names], known], ["recv_seq", *names, "known_format"])
 
@@ -211,7 +235,7 @@ def cars(packets: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column("payload").to_pylist()
+            raw = b.column("payload")
             h, a = _view(raw, HEAD, 0)[:, 0], _view(raw, slot, HEADER_SIZE + before, CARS).reshape(-1)
             lead = [pa.array(np.repeat(np.asarray(b.column("recv_seq")), CARS))]
             lead += [_arrow(np.repeat(h[k], CARS)) for k in KEPT] + [pa.array(np.tile(np.arange(CARS, dtype=np.int64), len(raw)))]
@@ -224,8 +248,7 @@ def cars(packets: DataFrame, kind: str) -> DataFrame:
             yield out
 
     least = HEADER_SIZE + before + CARS * slot.itemsize + after
-    kept = ", ".join(f"{k} bigint" for k in KEPT)
-    return of_kind(packets, number, least).select("recv_seq", "payload", *known).mapInArrow(run, f"recv_seq bigint, {kept}, car_slot bigint, {_schema(slot)}")
+    return of_kind(packets, number, least).select("recv_seq", "payload", *known).mapInArrow(run, f"recv_seq bigint, {KEPT_SCHEMA}, car_slot bigint, {_schema(slot)}")
 
 
 def singles(packets: DataFrame, kind: str) -> DataFrame:
@@ -235,13 +258,19 @@ def singles(packets: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column("payload").to_pylist()
+            raw = b.column("payload")
             h, a = _view(raw, HEAD, 0)[:, 0], _view(raw, t, offset)[:, 0]
             cols = [_arrow(a[n], a[USED[n]] if n in USED else None) for n in names]
             yield pa.RecordBatch.from_arrays([b.column("recv_seq"), *[_arrow(h[k]) for k in KEPT], *cols], ["recv_seq", *KEPT, *names])
 
-    kept = ", ".join(f"{k} bigint" for k in KEPT)
-    return of_kind(packets, number, least).select("recv_seq", "payload").mapInArrow(run, f"recv_seq bigint, {kept}, {_schema(t)}")
+    return of_kind(packets, number, least).select("recv_seq", "payload").mapInArrow(run, f"recv_seq bigint, {KEPT_SCHEMA}, {_schema(t)}")
+
+
+CODE = np.dtype("S4")
+
+
+def _codes(raw: pa.Array, rows: np.ndarray | None = None) -> np.ndarray:
+    return _view(raw, CODE, HEADER_SIZE, rows=rows)[:, 0]
 
 
 def events(packets: DataFrame) -> DataFrame:
@@ -250,26 +279,77 @@ def events(packets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column("payload").to_pylist()
-            h = _view(raw, HEAD, 0)[:, 0]
-            codes = [p[HEADER_SIZE : HEADER_SIZE + 4].decode("ascii", "replace") for p in raw]
-            cols = {f: [None] * len(raw) for f in EVENT_FIELDS}
+            raw = b.column("payload")
+            h, codes, length = _view(raw, HEAD, 0)[:, 0], _codes(raw), np.diff(_bytes(raw)[1])
+            kinds, which = np.unique(codes, return_inverse=True)
+            values = {f: np.zeros(len(raw), np.float32 if k == "float" else np.int64) for f, k in EVENT_FIELDS.items()}
+            missing = {f: np.ones(len(raw), bool) for f in EVENT_FIELDS}
             for code, t in layouts.items():
-                at = [i for i, c in enumerate(codes) if c == code and len(raw[i]) >= HEADER_SIZE + 4 + t.itemsize]
-                if at:
-                    a = _view([raw[i] for i in at], t, HEADER_SIZE + 4)[:, 0]
-                    for f in t.names:
-                        for i, v in zip(at, a[f].tolist()):
-                            cols[f][i] = v
-            kinds = {"bigint": pa.int64(), "float": pa.float32()}
-            out = [b.column("recv_seq"), *[_arrow(h[k]) for k in KEPT], pa.array(codes, pa.string())]
-            out += [pa.array(cols[f], kinds[k]) for f, k in EVENT_FIELDS.items()]
+                rows = np.flatnonzero((codes == code.encode()) & (length >= HEADER_SIZE + 4 + t.itemsize))
+                a = _view(raw, t, HEADER_SIZE + 4, rows=rows)[:, 0]
+                for f in t.names:
+                    values[f][rows], missing[f][rows] = a[f], False
+            names = pa.array([k.decode("ascii", "replace") for k in kinds.tolist()], pa.string())
+            out = [b.column("recv_seq"), *[_arrow(h[k]) for k in KEPT], names.take(pa.array(which.reshape(-1)))]
+            out += [pa.array(values[f], mask=missing[f]) for f in EVENT_FIELDS]
             yield pa.RecordBatch.from_arrays(out, ["recv_seq", *KEPT, "event_code", *EVENT_FIELDS])
 
-    kept = ", ".join(f"{k} bigint" for k in KEPT)
     body = ", ".join(f"{f} {k}" for f, k in EVENT_FIELDS.items())
-    least = HEADER_SIZE + 4
-    return of_kind(packets, 3, least).select("recv_seq", "payload").mapInArrow(run, f"recv_seq bigint, {kept}, event_code string, {body}")
+    return of_kind(packets, 3, HEADER_SIZE + 4).select("recv_seq", "payload").mapInArrow(run, f"recv_seq bigint, {KEPT_SCHEMA}, event_code string, {body}")
+
+
+# What driving events take from a kind of packet; per-car kinds give the player's slot alone.
+PLAYER = {
+    "session": ("track_id", "session_type"), "lap": ("lap_distance", "current_lap_num", "sector"),
+    "telemetry": ("speed", "throttle", "steer", "brake"), "motion": tuple(MOTION),
+}
+
+
+def player_stream(packets: DataFrame) -> DataFrame:
+    """The player's session, lap, telemetry and motion packets and the rewinds as one tagged stream, from one scan.
+
+    A row has the struct of its own kind, the others null; ``rewind`` is true for a rewind. Packets that are too
+    short and per-car packets without a player's slot give no row.
+    """
+    kinds = {}
+    for kind, wanted in PLAYER.items():
+        if kind in CAR_KINDS:
+            number, text, before, after = CAR_KINDS[kind]
+            t = layout(text)
+            kinds[kind] = (number, t, HEADER_SIZE + before, HEADER_SIZE + before + CARS * t.itemsize + after, wanted)
+        else:
+            kinds[kind] = (*SINGLE_KINDS[kind], wanted)
+    types = {kind: f"struct<{', '.join(f'{n}: {_spark_type(k[1][n])}' for n in k[4])}>" for kind, k in kinds.items()}
+    numbers = [k[0] for k in kinds.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = {k: pa.StructArray.from_arrays([_arrow(np.zeros((0, *t[n].shape), t[n].base)) for n in w], list(w)).type for k, (_, t, _, _, w) in kinds.items()}
+        for b in batches:
+            raw = b.column("payload")
+            h, length = _view(raw, HEAD, 0)[:, 0], np.diff(_bytes(raw)[1])
+
+            def out(rows: np.ndarray, mine: str | None = None, body: pa.Array | None = None) -> pa.RecordBatch:
+                cols = [body if k == mine else pa.nulls(len(rows), empty[k]) for k in kinds]
+                lead = [b.column("recv_seq").take(pa.array(rows)), *[_arrow(h[k][rows]) for k in KEPT]]
+                return pa.RecordBatch.from_arrays([*lead, *cols, pa.array(np.full(len(rows), mine is None))], ["recv_seq", *KEPT, *kinds, "rewind"])
+
+            for kind, (number, t, offset, least, wanted) in kinds.items():
+                fits = (h["packet_id"] == number) & (length >= least)
+                if kind in CAR_KINDS:
+                    fits &= h["player_car_index"] < CARS
+                rows = np.flatnonzero(fits)
+                if len(rows):
+                    slot = h["player_car_index"][rows].astype(np.int64) * t.itemsize if kind in CAR_KINDS else 0
+                    a = _view(raw, t, offset + slot, rows=rows)[:, 0]
+                    yield out(rows, kind, pa.StructArray.from_arrays([_arrow(a[n]) for n in wanted], list(wanted)))
+            rows = np.flatnonzero((h["packet_id"] == 3) & (length >= HEADER_SIZE + 4))
+            rows = rows[_codes(raw, rows) == b"FLBK"]
+            if len(rows):
+                yield out(rows)
+
+    found = packets.where((F.length("payload") >= HEADER_SIZE) & packet_id().isin(3, *numbers)).select("recv_seq", "payload")
+    body = ", ".join(f"{k} {t}" for k, t in types.items())
+    return found.mapInArrow(run, f"recv_seq bigint, {KEPT_SCHEMA}, {body}, rewind boolean")
 
 
 # ---- packing, for round trips in tests and checks ---------------------------------------------
@@ -285,7 +365,8 @@ def _fill(slot, values: dict) -> None:
 
 
 def pack(rows_: DataFrame, kind: str, slots: bool = False) -> DataFrame:
-    """Packets from rows of (recv_seq, session_uid, frame_identifier, body).
+    """Packets from rows of (recv_seq, session_uid, frame_identifier, body), and session_time and
+    player_car_index if there.
 
     ``body`` is an array of structs (``car_slot`` and fields) for per-car kinds, else one struct. With
     ``slots`` per-car packets come with their slots in use.
@@ -293,13 +374,15 @@ def pack(rows_: DataFrame, kind: str, slots: bool = False) -> DataFrame:
     """
     import pandas as pd
 
+    more = [k for k in ("session_time", "player_car_index") if k in rows_.columns]
+
     def run(frames):
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
                 number = 0 if kind == "header" else 3 if kind == "event" else (CAR_KINDS.get(kind) or SINGLE_KINDS[kind])[0]
                 h = np.zeros(1, HEAD)
-                _fill(h[0], dict(packet_format=2025, game_year=25, packet_id=number, session_uid=r.session_uid, frame_identifier=r.frame_identifier))
+                _fill(h[0], dict(packet_format=2025, game_year=25, packet_id=number, session_uid=r.session_uid, frame_identifier=r.frame_identifier, **{k: getattr(r, k) for k in more}))
                 body = b""
                 if kind in CAR_KINDS:
                     _, text, before, after = CAR_KINDS[kind]
