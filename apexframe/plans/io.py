@@ -11,6 +11,7 @@ from apexframe.plans.registry import query
 from apexframe.plans.text import DIMS
 from apexframe.plans.ticks import zones
 from apexframe.session import cut_lineage
+from apexframe.sources import keyed
 from apexframe.sources import packets as pk
 from apexframe.sources import tables as tb
 
@@ -262,6 +263,36 @@ def _(x):
     return tb.current(x.spark, path)
 
 
+@query("K1_merge_by_bucket", """
+SELECT session_uid, car_index, lap_number, sector_number, CASE WHEN lap_number % 2 = 0 THEN sector_time_ms ELSE sector_time_ms + 1 END AS sector_time_ms FROM snap""")
+def _(x):
+    """Every even lap, then all laps twice and the replay of that batch, into a table by session buckets."""
+    keys = tb.TABLE_KEYS["sector_snapshots"]
+    rows = x.snap.select(*keys, "sector_time_ms")
+    path = tb.scratch(x.spark, "snapshots-by-key")
+    put = lambda df, n: keyed.merge(df, path, keys, "seq", update=False, writer="laps", batch_id=n)
+    put(rows.where(c("lap_number") % 2 == 0).withColumn("seq", F.lit(0)), 0)
+    late = rows.withColumn("sector_time_ms", c("sector_time_ms") + 2).withColumn("seq", F.lit(2))
+    batch = rows.withColumn("sector_time_ms", c("sector_time_ms") + 1).withColumn("seq", F.lit(1)).unionByName(late)
+    put(batch, 1)
+    put(late, 1)  # comes again, is known
+    return keyed.read(x.spark, path)
+
+
+@query("K2_merge_by_bucket", """
+SELECT session_uid, car_index, set_index, CASE WHEN p % 3 = 0 THEN 99 ELSE visual_compound END AS visual_compound, CASE WHEN p % 3 < 2 THEN wear + 10 ELSE wear END AS wear
+FROM (SELECT *, session_uid + car_index + set_index AS p FROM tyre_sets) t""")
+def _(x):
+    keys = tb.TABLE_KEYS["tyre_sets"]
+    t = x.tyre_sets.select(*keys, "visual_compound", "wear").withColumn("p", (c("session_uid") + c("car_index") + c("set_index")) % 3)
+    path = tb.scratch(x.spark, "tyre-sets-by-key")
+    put = lambda df, n: keyed.merge(df, path, keys, "seq", update=True, writer="sets", batch_id=n, keep=("visual_compound",))
+    put(t.where(c("p") > 0).drop("p").withColumn("seq", F.lit(0)), 0)
+    batch = t.where(c("p") < 2).select(*keys, F.lit(99).cast("bigint").alias("visual_compound"), (c("wear") + 10).alias("wear"), F.lit(1).alias("seq"))
+    put(batch.unionByName(batch.withColumn("wear", F.lit(0).cast("bigint")).withColumn("seq", F.lit(0))), 1)
+    return keyed.read(x.spark, path)
+
+
 @query("K3_append_with_id", "SELECT event_id AS source_id, user_id AS session_uid, true AS has_id, 1 AS copies, 1 AS owners FROM events")
 def _(x):
     path = tb.scratch(x.spark, "events")

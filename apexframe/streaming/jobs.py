@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apexframe.sources import keyed
 from apexframe.sources import tables as tb
 from apexframe.streaming import latches as lt
 
@@ -85,6 +86,36 @@ def upsert_sink(path: str, keys: list[str], order: str, keep: tuple[str, ...] =
     return write
 
 
+def merge_sink(path: str, keys: list[str], order: str, update: bool, writer: str = "", **layout) -> Callable[[DataFrame, int], None]:
+    """Keyed foreachBatch sink on ``sources.keyed``: a micro-batch reads and writes only the buckets of its keys.
+
+    A batch is known by the stream that sent it (or ``writer``) and its number, so what comes again after a failure
+    changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        keyed.merge(batch, path, keys, order, update, writer or stream or "batch", batch_id, **layout)
+
+    return write
+
+
+def known_sessions(packets: DataFrame, sessions: DataFrame, behind: str = "1 day", late: str = "1 minute") -> DataFrame:
+    """Packets of known sessions: those received at or after the first packet of their session.
+
+    ``sessions`` are session packets (session_uid, recv_ts, recv_seq), ``packets`` any others with the same columns. A
+    packet passes if one of its session's was received before it, within ``behind``; both sides' state ends with the time
+    bounds. Whatever order the two streams bring them in, a packet ahead of its session is dropped.
+    """
+    opened = sessions.withWatermark("recv_ts", late).select(c("session_uid").alias("_uid"), c("recv_ts").alias("_ts"), c("recv_seq").alias("_seq"))
+    return packets.withWatermark("recv_ts", late).join(
+        opened,
+        (c("session_uid") == c("_uid")) & (c("recv_seq") >= c("_seq"))
+        & (c("recv_ts") >= c("_ts")) & (c("recv_ts") <= c("_ts") + F.expr(f"INTERVAL {behind}")),
+        "left_semi",
+    )
+
+
 def session_end_sink(on_practice: Callable[[DataFrame], None], on_race: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """Ended sessions by kind: practice sessions recalibrate their tracks, races get evaluated."""
 
